@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vibrata.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from vibrata.llm import bpe, exact_dedup, gru_lm, mixing, quality, sharding, simhash, topk, toxicity
 from vibrata.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_toxicity, op4_sharding, op5_quality_classifier, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
+        op2_toxicity, op3_exact_top_k, op4_sharding, op5_quality_classifier, op6_gru_lm, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
