@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vibrata.llm import bpe, exact_dedup, gru_lm, mixing, quality, sharding, simhash, topk, toxicity
+from vibrata.llm import bpe, exact_dedup, gru_lm, licenses, mixing, quality, sharding, simhash, topk, toxicity
 from vibrata.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_toxicity, op3_exact_top_k, op4_sharding, op5_quality_classifier, op6_gru_lm, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
+        op1_license_scan, op2_toxicity, op3_exact_top_k, op4_sharding, op5_quality_classifier, op6_gru_lm, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
