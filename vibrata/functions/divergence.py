@@ -65,7 +65,11 @@ def kde(values: Column, bins: int = BINS) -> Column:
 
 
 def interpolated(grid: Column, centers: Column, probs: Column) -> Column:
-    """Linear interpolation at ascending grid points between evenly spaced centres; 0 outside them."""
+    """Linear interpolation at ascending grid points between evenly spaced centres; 0 outside them.
+
+    A point that rounding alone puts outside (by a billionth of the range) counts as the end itself, so distributions
+    over one range stay comparable at its ends.
+    """
     n = F.size(centers)
 
     def at(first: Column, last: Column) -> Column:
@@ -73,7 +77,8 @@ def interpolated(grid: Column, centers: Column, probs: Column) -> Column:
             place = (x - first) / (last - first) * (n - 1)
             low = F.least(F.greatest(F.floor(place).cast("int"), F.lit(0)), n - 2)
             value = F.get(probs, low) + (F.get(probs, low + 1) - F.get(probs, low)) * (place - low)
-            return F.when((x < first) | (x > last), 0.0).otherwise(value)
+            slack = (last - first) * 1e-9
+            return F.when((x < first - slack) | (x > last + slack), 0.0).otherwise(value)
 
         return F.transform(grid, one)
 

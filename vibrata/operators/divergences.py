@@ -118,8 +118,8 @@ def with_window_divergence(table: DataFrame, reference: DataFrame, level: int =
     """
     books = reference.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("centers", "probs")))).alias("__book"))
     joined = table.join(books, list(keys), "left") if keys else table.join(F.broadcast(books), F.lit(True), "left")  # without keys the book is one row
-    joined = joined.withColumn("__bands", band_distributions(F.col(w), level))
-    have = F.size("__bands") - 1
+    joined = joined.withColumn("__dists", band_distributions(F.col(w), level))
+    have = F.size("__dists") - 1
     name = lambda i: F.when(i < have, F.concat(F.lit("D"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("A"), have.cast("string")))
 
     def apart(d, i):
@@ -127,7 +127,7 @@ def with_window_divergence(table: DataFrame, reference: DataFrame, level: int =
             pq.isNotNull(), F.struct(name(i).alias("band"), divergence.symmetric_kl(pq["p"], pq["q"]).alias("kl"), divergence.jensen_shannon(pq["p"], pq["q"]).alias("jsd")),
         )))
 
-    told = joined.withColumn("divergences", F.array_compact(F.transform("__bands", apart)))
+    told = joined.withColumn("divergences", F.array_compact(F.transform("__dists", apart)))
     kls, jsds = F.transform("divergences", lambda d: d["kl"]), F.transform("divergences", lambda d: d["jsd"])
     return told.select(*table.columns, "divergences", mean(kls).alias("div_mean_kl"), F.array_max(kls).alias("div_max_kl"), mean(jsds).alias("div_mean_jsd"))
 

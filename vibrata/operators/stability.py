@@ -20,7 +20,13 @@ TINY = 1e-12
 def feature_means(features: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """(by, feature, mean), averages first and turned into rows after, so that windows are shuffled as sums only."""
     means = features.groupBy(*by).agg(*(F.avg(_null(n)).alias(n) for n in names))
-    return means.unpivot(list(by), list(names), "feature", "mean")
+    return _rows(means, by, names, {"mean": "{}"})
+
+
+def _rows(table: DataFrame, by: Sequence[str], names: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """A row for each feature; ``columns`` are names of values with the pattern of their wide columns."""
+    parts = F.array(*(F.struct(F.lit(n).alias("feature"), *(F.col(f"`{pattern.format(n)}`").alias(c) for c, pattern in columns.items())) for n in names))
+    return table.select(*by, F.explode(parts).alias("__f")).select(*by, "__f.*")
 
 
 def _null(name: str):
@@ -92,8 +98,8 @@ def vector_order(selection: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def reference_stats(features: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature, mean, std): std is the sample deviation and a tiny addition."""
-    both = features.groupBy(*keys).agg(*(F.struct(F.avg(_null(n)).alias("mean"), (F.stddev_samp(_null(n)) + TINY).alias("std")).alias(n) for n in names))
-    return both.unpivot(list(keys), list(names), "feature", "s").select(*keys, "feature", "s.mean", "s.std")
+    measured = [f for n in names for f in (F.avg(_null(n)).alias(f"m_{n}"), (F.stddev_samp(_null(n)) + TINY).alias(f"s_{n}"))]
+    return _rows(features.groupBy(*keys).agg(*measured), keys, names, {"mean": "m_{}", "std": "s_{}"})
 
 
 def response_ranks(baseline: DataFrame, degraded: DataFrame, names: Sequence[str], stats: DataFrame, fault: str = "fault_type", keys: Sequence[str] = ()) -> DataFrame:

@@ -199,9 +199,9 @@ def health_models(samples: DataFrame, s: Settings = Settings()) -> dict[str, Dat
     table = _kept(stability.across_conditions(features, "condition", s.wide_names, ["sensor"]))
     stats = _kept(stability.reference_stats(features, s.wide_names, ["sensor"]))
     base = _kept(fault_base(samples, s))
-    base_features = channel_features(base, ["sensor"], s)
-    _, hurt = degraded_features(base, s, [2.0])
-    responses = fault_responses(base_features, hurt, stats, table.where(F.col("stability_rank") <= s.pool), s)
+    base_features = _kept(channel_features(base, ["sensor"], s))
+    hurt_features = _kept(degraded_features(base, s, [2.0])[1])
+    responses = _kept(fault_responses(base_features, hurt_features, stats, table.where(F.col("stability_rank") <= s.pool), s))
     selection = _kept(model_selection(table, responses, s))
     healthy = scoring.quality_vectors(features, s.wide_names, selection, stats, ["sensor"], [*cells, "window_start_sample", "window_start_sec"])
     calibration = _kept(scoring.fit_calibration(healthy, ["sensor"], s.healthy_quantile))

@@ -63,7 +63,7 @@ def histogram(source: str, keys: Sequence[str], value: str, name: str, bins: int
 def _interpolated(x: str, side: str, bins: int) -> str:
     place = f"(({x}) - {side}.c0) / ({side}.c1 - {side}.c0) * {bins - 1}"
     low = f"least(greatest(floor({place}), 0), {bins - 2})::INTEGER"
-    return f"CASE WHEN ({x}) < {side}.c0 OR ({x}) > {side}.c1 THEN 0.0 ELSE {side}.ps[{low} + 1] + ({side}.ps[{low} + 2] - {side}.ps[{low} + 1]) * ({place} - {low}) END"
+    return f"CASE WHEN ({x}) < {side}.c0 - ({side}.c1 - {side}.c0) * 1e-9 OR ({x}) > {side}.c1 + ({side}.c1 - {side}.c0) * 1e-9 THEN 0.0 ELSE {side}.ps[{low} + 1] + ({side}.ps[{low} + 2] - {side}.ps[{low} + 1]) * ({place} - {low}) END"
 
 
 def aligned(pairs: str, columns: str, name: str, bins: int = 50) -> str:

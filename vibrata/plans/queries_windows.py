@@ -141,8 +141,8 @@ def c02_d08_tumbling_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {o.SIGNAL}, n AS (SELECT signal_id, count(*) AS n FROM sig GROUP BY 1),
-starts AS (SELECT signal_id, w AS window, (w * 7919) % (n - 49) AS start FROM n CROSS JOIN range(20) t(w) WHERE n >= 50)
-SELECT signal_id, window::INTEGER AS window, start AS window_start_sample, count(*) AS n, {o.r('avg(value)', 'mean')} FROM starts JOIN sig USING (signal_id) WHERE idx >= start AND idx < start + 50 GROUP BY ALL""")
+starts AS (SELECT signal_id, w AS "window", (w * 7919) % (n - 49) AS start FROM n CROSS JOIN range(20) t(w) WHERE n >= 50)
+SELECT signal_id, "window"::INTEGER AS "window", start AS window_start_sample, count(*) AS n, {o.r('avg(value)', 'mean')} FROM starts JOIN sig USING (signal_id) WHERE idx >= start AND idx < start + 50 GROUP BY ALL""")
 def c03_stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows at the starts of a table."""
     own = signal(spark, sf_dir)
@@ -279,8 +279,8 @@ MS = allan.strides(allan.default_taus(300, FS), 300, FS)
 
 @query(f"""{SIG300}, ph AS (SELECT signal_id, ws, i + 1 AS j, sum(x) OVER (PARTITION BY signal_id, ws ORDER BY i) / 100.0 AS p FROM win UNION ALL SELECT DISTINCT signal_id, ws, 0, 0.0 FROM win),
 av AS (SELECT a.signal_id, a.ws, m, sqrt(avg((c.p - 2 * b.p + a.p) ** 2) / (2 * (m / 100.0) ** 2)) AS ad
-  FROM (SELECT *, unnest({MS}) AS m FROM ph) a JOIN ph b ON b.signal_id = a.signal_id AND b.ws = a.ws AND b.j = a.j + m JOIN ph c ON c.signal_id = a.signal_id AND c.ws = a.ws AND c.j = a.j + 2 * m GROUP BY ALL)
-SELECT signal_id, ws AS window_start_sample, {', '.join(o.r(f'max(CASE WHEN m = {m} THEN ad END)', f'adev_{m}') for m in MS)}, {o.r('regr_slope(log10(ad), log10(m / 100.0))', 'adev_slope')} FROM av GROUP BY ALL""")
+  FROM (SELECT *, unnest({MS}) AS m FROM ph) a JOIN ph b ON b.signal_id = a.signal_id AND b.ws = a.ws AND b.j = a.j + m JOIN ph c ON c.signal_id = a.signal_id AND c.ws = a.ws AND c.j = a.j + 2 * m GROUP BY a.signal_id, a.ws, m)
+SELECT signal_id, ws AS window_start_sample, {', '.join(o.r(f'max(CASE WHEN m = {m} THEN ad END)', f'adev_{m}') for m in MS)}, {o.r('regr_slope(log10(ad), log10(m / 100.0))', 'adev_slope')} FROM av GROUP BY signal_id, ws""")
 def h01_allan_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = windows.sliding(signal(spark, sf_dir), KEY, 300, 150)
     out = window_features(cut, 300, FS, Families(spectrum=False, wavelet_level=None, signal_quality=False))
