@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks, cut around words that license texts use, are compressed once alone and once with each template as a
-raw zstandard dictionary. A template that shortens a block much is a candidate; the winner is confirmed by the exact
+Candidate blocks, cut around words that license texts use, are compressed once with a neutral dictionary and once with
+each template as a raw zstandard dictionary. A template that shortens a block much is a candidate; the winner is confirmed by the exact
 differences in wording between the template and the best-fitting span of the block.
 """
 
@@ -64,7 +64,10 @@ TEMPLATES: dict[str, str] = {
 #: Words of which a text must hold one, in any case, to hold a notice at all; all templates do.
 ANCHOR = r"(?i)licen[cs]e|permission|redistribut|public domain|free software|copyright"
 BEFORE, AFTER = 256, 1024  # bytes of a block before its first anchor and after its last; blocks that meet are one
-RATIO = 0.3  # bytes that a template must save in a block's compressed size, as a share of its own compressed size
+RATIO = 0.2  # bytes that a template must save in a block's compressed size, as a share of its own compressed size
+LEVEL = -1  # negative levels leave literals as they are, so that sizes only tell of matches
+#: A raw dictionary that no text shares anything with: blocks compressed with it pay what any dictionary costs.
+NEUTRAL = bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(128, 160))
 DIFFERENCE = 0.1  # largest share of a template's words that may differ
 
 _ANCHOR, _WORD = re.compile(ANCHOR.encode()), re.compile(rb"\w[\w./+-]*\w|\w")
@@ -89,12 +92,15 @@ def words(text: bytes) -> list[tuple[bytes, int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {k: [w for w, _, _ in words(t.encode())] for k, t in templates.items()}
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.cost = {k: len(self.plain.compress(self._joined(t.encode()))) for k, t in templates.items()}
-        self.with_template = {
-            k: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(self._joined(t.encode()), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for k, t in templates.items()
-        }
+        self.neutral = self._compressor(NEUTRAL)
+        frame = len(self.neutral.compress(b""))
+        self.cost = {k: len(self.neutral.compress(self._joined(t.encode()))) - frame for k, t in templates.items()}
+        self.with_template = {k: self._compressor(self._joined(t.encode())) for k, t in templates.items()}
+
+    @staticmethod
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, dict_data=dictionary)
 
     @staticmethod
     def _joined(text: bytes) -> bytes:
@@ -103,7 +109,7 @@ class Scanner:
     def reductions(self, block: bytes) -> dict[str, float]:
         """Bytes of a block's compressed size that each template saves, as a share of the template's compressed size."""
         data = self._joined(block)
-        alone = len(self.plain.compress(data))
+        alone = len(self.neutral.compress(data))
         return {k: (alone - len(c.compress(data))) / self.cost[k] for k, c in self.with_template.items()}
 
     def confirmed(self, name: str, block: list[tuple[bytes, int, int]], at: int) -> tuple[int, int, int, list[str]] | None:
