@@ -71,8 +71,9 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.sha2(text.cast("binary"), 256).alias("text_sha256"),
         )
     )
-    best = rows.groupBy("__recipe").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("group_size"))
-    # The grouped side has one row per recipe, so a hot recipe is spread by splitting the other side alone.
+    best = checkpointed(rows.groupBy("__recipe").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("group_size")))
+    # The grouped side has one row per recipe and is written first, so that the join's two sides are plain exchanges: the
+    # adaptive planner can then split a hot recipe's rows over several tasks.
     return rows.join(best, "__recipe").select(
         "__row", F.col("__id").alias(id_col), F.col("__best.__id").alias("keep_id"), "group_size",
         (F.col("__row") == F.col("__best.__row")).alias("kept"), "text_sha256", F.size("__recipe").alias("n_chunks"),
