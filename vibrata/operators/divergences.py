@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -85,13 +86,14 @@ def densities(values: DataFrame, keys: Sequence[str], value: str, bins: int = di
 def reference_distributions(samples: DataFrame, keys: Sequence[str], level: int = 5, bins: int = divergence.BINS, method: str = "histogram", idx: str = "idx", value: str = "value") -> DataFrame:
     """keys, band, centers, probs of every band of whole signals; signals under eight finite samples have none.
 
-    Samples that aren't finite are dropped and the rest numbered anew before the transform.
+    Samples that aren't finite are dropped and the rest numbered anew before the transform. Both the samples and the
+    coefficients are read more than once and so persisted; ``spark.catalog.clearCache()`` lets go of them.
     """
     if method not in ("histogram", "kde"):
         raise ValueError(f"unknown method {method}")
-    sound = renumbered(finite(samples.select(*keys, idx, value), value), keys, idx)
+    sound = renumbered(finite(samples.select(*keys, idx, value), value), keys, idx).persist(StorageLevel.MEMORY_AND_DISK)
     enough = sound.join(lengths(sound, keys, "__n").where(F.col("__n") >= wavelet.LEAST).drop("__n"), list(keys), "left_semi")
-    coefs = long_modwt(enough, keys, level, idx, value)
+    coefs = long_modwt(enough, keys, level, idx, value).persist(StorageLevel.MEMORY_AND_DISK)
     return (histograms if method == "histogram" else densities)(coefs, [*keys, "band"], "coef", bins)
 
 

@@ -195,6 +195,7 @@ def health_models(samples: DataFrame, s: Settings = Settings()) -> dict[str, Dat
     ``samples`` are trimmed long samples of healthy sensors. Empty samples give empty tables.
     """
     cells = ["sensor", "condition"]
+    samples = _kept(samples)
     features = _kept(wide_features(channel_features(samples, cells, s), cells, s))
     table = _kept(stability.across_conditions(features, "condition", s.wide_names, ["sensor"]))
     stats = _kept(stability.reference_stats(features, s.wide_names, ["sensor"]))

@@ -347,9 +347,12 @@ def j14_fault_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.fault_validation(health.health_models(samples, s), s, (0.0, 1.0, 2.0), 2)
 
 
-@query()
+@query(f"""WITH j AS ({_faulted_sql()}) SELECT fault_type, severity, {o.r('avg(mean)', 'avg_mean_health_score', 4)}, {o.r('stddev_samp(mean)', 'std_mean_health_score', 4)},
+{o.r('avg(std)', 'avg_mean_div_mean_kl', 4)}, {o.r('stddev_samp(std)', 'std_mean_div_mean_kl', 4)} FROM j GROUP BY ALL""")
 def j18_severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.severity_summary(j14_fault_validation(spark, sf_dir))
+    """Summary by severity; level and spread of faulted signals stand in for health and divergence."""
+    results = j20_pointwise_faults(spark, sf_dir).select("fault_type", "severity", F.col("mean").alias("mean_health_score"), F.col("std").alias("mean_div_mean_kl"))
+    return rounded(scoring.severity_summary(results, ["fault_type", "severity"]), 4)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +28,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, idx, value)."""
-    return indexed(events(spark, sf_dir).select("signal_id", "ts", "value"), ["signal_id"], "ts", WEEK).select("signal_id", "idx", "value")
+    """(signal_id, idx, value), persisted, as many a query reads it more than once."""
+    return indexed(events(spark, sf_dir).select("signal_id", "ts", "value"), ["signal_id"], "ts", WEEK).select("signal_id", "idx", "value").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(signal_id, condition, idx, value, k), numbered inside each cell."""
-    return indexed(events(spark, sf_dir), ["signal_id", "condition"], "ts", WEEK).drop("ts")
+    return indexed(events(spark, sf_dir), ["signal_id", "condition"], "ts", WEEK).drop("ts").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def plain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
