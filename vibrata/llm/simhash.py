@@ -252,7 +252,8 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = links(distinct.select("fp"), tau, plan(sample, tau, max(n, 1)))
     member = components(checkpointed(pairs.distinct()), "a", "b")  # (node, root) of linked fingerprints only
     rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    # Written first, so that the join's two sides are plain exchanges and the fingerprints of a large component can be split.
+    best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best")))
     lookup = rooted.join(best, "root").select("fp", "best")
     # One row per fingerprint on the right, so a hot fingerprint is spread by splitting the left side alone.
     return rows.join(lookup, "fp").select("__row", F.col("__id").alias(id_col), "fp", F.col("best.__id").alias("component_id"), F.col("best.__row").alias("__first"))
