@@ -177,3 +177,14 @@ def test_licenses_against_plain_search(spark):
         for name, words in wanted.items():
             if f" {words} " in flat:
                 assert found.get(r.doc_id), (r.doc_id, name)
+
+
+def test_lm_counts_joined_or_at_hand_are_the_same(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i))) for i in range(60)]
+    table = documents(spark, rows)
+    few, counts = gru_lm.fit(table, known_words=20)
+    assert len(few.words) <= 20 and gru_lm.known_level(counts, 10**6) == 0
+    many, _ = gru_lm.fit(table)
+    a, b = ({r.doc_id: r for r in gru_lm.score(table, m, counts).collect()} for m in (few, many))
+    for d in a:
+        assert a[d].n_known == b[d].n_known and math.isclose(a[d].base_score, b[d].base_score, rel_tol=1e-9, abs_tol=1e-9)
