@@ -7,7 +7,6 @@ differences in wording between the template and the best-fitting span of the blo
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pyarrow as pa
@@ -69,6 +68,8 @@ LEVEL = -1  # negative levels leave literals as they are, so that sizes only tel
 #: A raw dictionary that no text shares anything with: blocks compressed with it pay what any dictionary costs.
 NEUTRAL = bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(128, 160))
 DIFFERENCE = 0.1  # largest share of a template's words that may differ
+RUN = 3  # words; with so few differences, any template of so many words shares a longer run than this with its notice
+SHORT = 24  # words of the templates that are ranked in short windows
 
 _ANCHOR, _WORD = re.compile(ANCHOR.encode()), re.compile(rb"\w[\w./+-]*\w|\w")
 
@@ -92,6 +93,12 @@ def words(text: bytes) -> list[tuple[bytes, int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {k: [w for w, _, _ in words(t.encode())] for k, t in templates.items()}
+        self.runs: dict[str, dict[tuple[bytes, ...], list[int]]] = {k: {} for k in templates}
+        for k, want in self.words.items():
+            for i in range(len(want) - RUN + 1):
+                self.runs[k].setdefault(tuple(want[i : i + RUN]), []).append(i)
+        longest = max((len(w) for w in self.words.values()), default=SHORT)
+        self.sizes = [(size, names) for size, names in ((SHORT, [k for k, w in self.words.items() if len(w) <= SHORT]), (longest, [k for k, w in self.words.items() if len(w) > SHORT])) if names]
         self.neutral = self._compressor(NEUTRAL)
         frame = len(self.neutral.compress(b""))
         self.cost = {k: len(self.neutral.compress(self._joined(t.encode()))) - frame for k, t in templates.items()}
@@ -106,57 +113,86 @@ class Scanner:
     def _joined(text: bytes) -> bytes:
         return b" ".join(w for w, _, _ in words(text))
 
-    def reductions(self, block: bytes) -> dict[str, float]:
+    def reductions(self, block: bytes, names: list[str]) -> dict[str, float]:
         """Bytes of a block's compressed size that each template saves, as a share of the template's compressed size."""
         data = self._joined(block)
         alone = len(self.neutral.compress(data))
-        return {k: (alone - len(c.compress(data))) / self.cost[k] for k, c in self.with_template.items()}
-
-    def confirmed(self, name: str, block: list[tuple[bytes, int, int]], at: int) -> tuple[int, int, int, list[str]] | None:
-        """First and last word of the template's span from place ``at`` of the block, and the differences in wording."""
-        want = self.words[name]
-        have = [w for w, _, _ in block[at : at + len(want) + len(want) // 4 + 2]]
-        matcher = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        same = [m for m in matcher.get_matching_blocks() if m.size]
-        if not same:
+        return {k: (alone - len(self.with_template[k].compress(data))) / self.cost[k] for k in names}
+
+    def places(self, name: str, block: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
+        """Parts of a block that the template may lie in: around runs of RUN words that both share, wherever in the template."""
+        want, slack = self.words[name], int(DIFFERENCE * len(self.words[name]))
+        starts = sorted({at - i for at in range(len(block)) for i in self.runs[name].get(tuple(w for w, _, _ in block[at : at + RUN]), ())} if len(want) >= RUN else {at for at, (w, _, _) in enumerate(block) if w == want[0]})
+        groups: list[list[int]] = []
+        for at in starts:
+            if groups and at - groups[-1][-1] <= slack:
+                groups[-1].append(at)
+            else:
+                groups.append([at])
+        return [(max(g[0] - slack, 0), min(g[-1] + len(want) + slack, len(block))) for g in groups]
+
+    def confirmed(self, name: str, block: list[tuple[bytes, int, int]], lo: int, hi: int) -> tuple[int, int, int, list[str]] | None:
+        """First and last word of the template's best-fitting span in block[lo:hi], and the differences in wording.
+
+        The span has the fewest words replaced, left out or put in (edit distance with free ends).
+        """
+        want, have = self.words[name], [w for w, _, _ in block[lo:hi]]
+        rows = [[0] * (len(have) + 1)]
+        for i, w in enumerate(want):
+            above, row = rows[-1], [i + 1]
+            for j, h in enumerate(have):
+                row.append(above[j] if w == h else 1 + min(above[j], above[j + 1], row[j]))
+            rows.append(row)
+        cost = min(rows[-1])
+        if cost > DIFFERENCE * len(want):
             return None
-        first, last = same[0].b, same[-1].b + same[-1].size
-        changes, cost = [], 0
-        for op, i, j, k, l in difflib.SequenceMatcher(None, want, have[first:last], autojunk=False).get_opcodes():
-            if op != "equal":
-                cost += max(j - i, l - k)
-                changes.append(f"{b' '.join(want[i:j]).decode(errors='replace')} -> {b' '.join(have[first + k : first + l]).decode(errors='replace')}")
-        return at + first, at + last, cost, changes
+        i, j, same = len(want), rows[-1].index(cost), []
+        while i and j:
+            if want[i - 1] == have[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                same.append((i, j))
+            elif rows[i][j] == rows[i - 1][j - 1] + 1:
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        same.reverse()
+        changes, i, j = [], 0, same[0][1]
+        for to_i, to_j in [*same, (len(want), same[-1][1] + 1)]:
+            if i < to_i or j < to_j:
+                changes.append(f"{b' '.join(want[i:to_i]).decode(errors='replace')} -> {b' '.join(have[j:to_j]).decode(errors='replace')}")
+            i, j = to_i + 1, to_j + 1
+        return lo + same[0][1], lo + same[-1][1] + 1, cost, changes
 
     def scan(self, text: bytes) -> list[tuple[str, int, int, float, int, int, list[str]]]:
         """Notices: template, start, end (bytes), reduction, its words, words that differ, differences.
 
-        Of templates that fit at overlapping places, the one with fewer differences for its length wins, then the
-        longer, then the greater reduction, then the name.
+        Of templates that fit at overlapping places, the one with most words that agree over those that differ wins, so
+        that a notice is not named by a shorter one in it; then the greater reduction, then the name.
         """
         out = []
         for lo, hi in blocks(text):
             block = text[lo:hi]
             spans = words(block)
-            # Windows of two notices' length keep a block of many notices from hiding the smaller ones.
+            # Windows are twice as long as the longest template ranked in them and overlap by half, so each holds any such
+            # notice whole; short templates have short windows, in which a block of many notices doesn't hide them.
             chosen: dict[tuple[int, int, str], tuple] = {}
-            size, step = 48, 24
-            for s in range(0, max(len(spans) - step, 1), step):
-                part = spans[s : s + size]
-                if not part or not _ANCHOR.search(block[part[0][1] : part[-1][2]]):
-                    continue
-                gains = self.reductions(block[part[0][1] : part[-1][2]])
-                ranked = sorted((-g, k) for k, g in gains.items() if g >= RATIO)
-                for gain, name in ranked:
-                    opening = self.words[name][0]
-                    for at in (s + i for i, (w, _, _) in enumerate(part) if w == opening):
-                        hit = self.confirmed(name, spans, at)
-                        if hit and hit[2] <= DIFFERENCE * len(self.words[name]):
-                            key = (hit[0], hit[1], name)
-                            if key not in chosen or -gain > chosen[key][3]:
-                                chosen[key] = (name, lo + spans[hit[0]][1], lo + spans[hit[1] - 1][2], -gain, len(self.words[name]), hit[2], hit[3])
+            for step, names in self.sizes:
+                for s in range(0, max(len(spans) - step, 1), step):
+                    part = spans[s : s + 2 * step]
+                    if not part or not _ANCHOR.search(block[part[0][1] : part[-1][2]]):
+                        continue
+                    gains = self.reductions(block[part[0][1] : part[-1][2]], names)
+                    for gain, name in sorted((-g, k) for k, g in gains.items() if g >= RATIO):
+                        for first, last in self.places(name, part):
+                            hit = self.confirmed(name, spans, s + first, s + last)
+                            if hit:
+                                key = (hit[0], hit[1], name)
+                                if key not in chosen or -gain > chosen[key][3]:
+                                    chosen[key] = (name, lo + spans[hit[0]][1], lo + spans[hit[1] - 1][2], -gain, len(self.words[name]), hit[2], hit[3])
             taken: list[tuple] = []
-            for c in sorted(chosen.values(), key=lambda c: (c[5] / c[4], -c[4], -c[3], c[0], c[1])):
+            for c in sorted(chosen.values(), key=lambda c: (2 * c[5] - c[4], -c[3], c[0], c[1])):
                 if all(c[2] <= t[1] or c[1] >= t[2] for t in taken):
                     taken.append(c)
             out += sorted(taken, key=lambda c: c[1])
