@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 from vibrata.llm.common import binaries, carried
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+)
+_BINARY = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
 # Notices as they are written into works, by SPDX identifier. "{}" stands for any few words.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -39,15 +47,37 @@ TEMPLATES: dict[str, str] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.0-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "LGPL-2.1-only": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "AGPL-3.0-only": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
         "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "BSD-1-Clause": _BSD,
+    "BSD-2-Clause": f"{_BSD} {_BINARY}",
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        f"{_BSD} {_BINARY} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
@@ -71,6 +101,12 @@ DIFFERENCE = 0.1  # largest share of a template's words that may differ
 RUN = 3  # words; with so few differences, any template of so many words shares a longer run than this with its notice
 SHORT = 24  # words of the templates that are ranked in short windows
 
+#: Words that tell kin licenses apart: versions must agree, and the names of families be neither missing nor put in.
+VERSION, FAMILY = re.compile(rb"v?\d{1,2}(\.\d+)*"), {b"lesser", b"affero"}
+#: A template that another goes on from, and a word of what follows: close behind the span, the notice is another.
+GOES_ON = {"BSD-1-Clause": b"redistributions", "BSD-2-Clause": b"neither"}
+SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[\w.+-]+)*)")
+
 _ANCHOR, _WORD = re.compile(ANCHOR.encode()), re.compile(rb"\w[\w./+-]*\w|\w")
 
 
@@ -158,6 +194,15 @@ class Scanner:
             else:
                 j -= 1
         same.reverse()
+        agree, met = {i for i, _ in same}, {j for _, j in same}
+        family = lambda ws, k: ws[k] in FAMILY or ws[k] == b"library" and k > 0 and ws[k - 1] == b"gnu"
+        if any(i not in agree and (VERSION.fullmatch(w) or family(want, i)) for i, w in enumerate(want)):
+            return None
+        if any(j not in met and family(have, j) for j in range(same[0][1], same[-1][1])):
+            return None
+        end = lo + same[-1][1] + 1
+        if GOES_ON.get(name) in [w for w, _, _ in block[end : end + 6]]:
+            return None
         changes, i, j = [], 0, same[0][1]
         for to_i, to_j in [*same, (len(want), same[-1][1] + 1)]:
             if i < to_i or j < to_j:
@@ -169,8 +214,10 @@ class Scanner:
         """Notices: template, start, end (bytes), reduction, its words, words that differ, differences.
 
         Of templates that fit at overlapping places, the one with most words that agree over those that differ wins, so
-        that a notice is not named by a shorter one in it; then the greater reduction, then the name.
+        that a notice is not named by a shorter one in it; then the greater reduction, then the name. An SPDX tag is a
+        notice by itself: its expression is the license.
         """
+        tags = [(m[1].decode(errors="replace"), m.start(), m.end(1), 1.0, len(words(m[0])), 0, []) for m in SPDX.finditer(text)]
         out = []
         for lo, hi in blocks(text):
             block = text[lo:hi]
@@ -196,7 +243,7 @@ class Scanner:
                 if all(c[2] <= t[1] or c[1] >= t[2] for t in taken):
                     taken.append(c)
             out += sorted(taken, key=lambda c: c[1])
-        return out
+        return sorted([*out, *tags], key=lambda c: c[1])
 
 
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
