@@ -10,7 +10,7 @@ from vibrata.plans import health, oracle as o
 from vibrata.plans.queries_windows import KEY, PLAIN_SQL
 from vibrata.plans.registry import query
 from vibrata.plans.tables import CELLS_KEYS, FS, PLAIN_NAMES, cells, events, plain_features, read, rounded, signal
-from vibrata.streaming.windows import timed
+from vibrata.streaming.windows import timed_totals
 
 NAMES = ["mean", "variance", "rms", "kurtosis", "quantile_50"]
 UNPIVOT = f"unnest({NAMES}) AS feature, unnest([{', '.join(NAMES)}]) AS value"
@@ -324,8 +324,8 @@ SELECT signal_id, s::BIGINT AS window_start, count(*) AS n, round(sum(value), 6)
 def k02_timed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming window operator over a finished table: windows of a day every half day."""
     rows = events(spark, sf_dir).select("signal_id", "ts", "value")
-    cut = timed(rows, "signal_id", "ts", "value", "1 day", "12 hours")
-    return rounded(cut.select("signal_id", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), F.size("value").cast("long").alias("n"), F.aggregate("value", F.lit(0.0), lambda s, x: s + x).alias("total")))
+    cut = timed_totals(rows, "signal_id", "ts", "value", "1 day", "12 hours")
+    return rounded(cut.select("signal_id", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n", "total"))
 
 
 def _sensors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, health.Settings]:

@@ -22,6 +22,17 @@ def timed(samples: DataFrame, key: str, time: str, value: str, length: str = "3
     return cut.where(F.size(value) == whole) if whole is not None else cut
 
 
+def timed_totals(samples: DataFrame, key: str, time: str, value: str, length: str, step: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """(key, window_start, n, total) of the windows of ``timed``, for windows whose number of samples has no bound.
+
+    Counts and sums are combined before the shuffle and no samples are gathered. A null value makes its window's total null.
+    """
+    span = F.window(time, length, step) if step else F.window(time, length)
+    total = F.when(F.count(F.lit(1)) == F.count(value), F.sum(value))
+    rows = samples.withWatermark(time, late).groupBy(key, span.alias("__w")).agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
+    return rows.select(key, F.col("__w.start").alias("window_start"), "n", "total")
+
+
 def counted(samples: DataFrame, key: str, time: str, value: str, size: int, step: int) -> DataFrame:
     """(key, window_start_sample, array): windows of ``size`` samples every ``step``, across micro-batches.
 
