@@ -1,7 +1,5 @@
 """Every registered query: rows against DuckDB where there is SQL, else that it runs and has rows."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
@@ -9,8 +7,6 @@ from tests.oracle import compared, connection
 from vibrata.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
-#: The whole health plan has not been seen to finish within minutes; run it with SLOW_TESTS=1.
-SLOW = {"j13_health_model", "j14_fault_validation"}
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +16,6 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    if name in SLOW and not os.environ.get("SLOW_TESTS"):
-        pytest.skip("the health plan is slow; set SLOW_TESTS=1")
     table = QUERIES[name](spark, SF)
     if name in ORACLE_SQL:
         rows, wrong = compared(table, duck, ORACLE_SQL[name])

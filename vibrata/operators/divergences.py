@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,7 +13,9 @@ from pyspark.sql.functions import pandas_udf
 from vibrata.functions import divergence, wavelet
 from vibrata.functions.arrays import let, mean
 from vibrata.functions.batches import by_length
-from vibrata.operators.signals import finite, lengths, renumbered
+from vibrata.operators.joins import looked_up
+from vibrata.operators.signals import finite, renumbered, with_length
+from vibrata.sources.scratch import written
 
 BLOCK = 1 << 14  # samples of a long signal that one row transforms
 WINDOW_SUMMARY = ("div_mean_kl", "div_max_kl", "div_mean_jsd")
@@ -30,7 +31,7 @@ def long_modwt(samples: DataFrame, keys: Sequence[str], level: int = 5, idx: str
     reach = (wavelet.TAPS - 1) * (2**level - 1)
     if block < reach:
         raise ValueError(f"a block of {block} samples is shorter than the {reach} that coefficients reach back")
-    sized = samples.join(lengths(samples, keys, "__n"), list(keys))
+    sized = with_length(samples, keys)
     own = F.floor(F.col(idx) / block)
     at = lambda b, p: F.struct(b.cast("long").alias("block"), p.cast("long").alias("place"))
     here = at(own, F.col(idx))
@@ -56,7 +57,7 @@ def histograms(values: DataFrame, keys: Sequence[str], value: str, bins: int = d
     """keys, centers, probs: equal bins over each key's range, one added to each count. Constant keys have no row."""
     ranges = values.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).where("high > low")
     place = F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int"), F.lit(bins - 1))
-    counts = values.where(F.col(value).isNotNull()).join(ranges, list(keys)).groupBy(*keys, "low", "high", "n", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts = looked_up(values.where(F.col(value).isNotNull()), ranges, keys).groupBy(*keys, "low", "high", "n", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     # A key has as many rows here as it has bins at most.
     gathered = counts.groupBy(*keys, "low", "high", "n").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("counts"))
     every = F.sequence(F.lit(0), F.lit(bins - 1))
@@ -74,7 +75,7 @@ def densities(values: DataFrame, keys: Sequence[str], value: str, bins: int = di
     margin = 0.1 * (F.col("high") - F.col("low") + 1e-12)
     stats = stats.withColumn("start", F.col("low") - margin).withColumn("step", (F.col("high") - F.col("low") + 2 * margin) / (bins - 1))
     stats = stats.withColumn("width", F.col("sd") * F.pow(3.0 * F.col("n") / 4, F.lit(-0.2))).drop("low", "high", "sd")
-    spread = values.where(F.col(value).isNotNull()).join(stats, list(keys)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    spread = looked_up(values.where(F.col(value).isNotNull()), stats, keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     z = (F.col("start") + F.col("bin") * F.col("step") - F.col(value)) / F.col("width")
     sums = spread.groupBy(*keys, "start", "step", "n", "width", "bin").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
     mass = F.col("s") / (F.col("n") * F.col("width") * float(np.sqrt(2 * np.pi)))
@@ -87,13 +88,12 @@ def reference_distributions(samples: DataFrame, keys: Sequence[str], level: int
     """keys, band, centers, probs of every band of whole signals; signals under eight finite samples have none.
 
     Samples that aren't finite are dropped and the rest numbered anew before the transform. Both the samples and the
-    coefficients are read more than once and so persisted; ``spark.catalog.clearCache()`` lets go of them.
+    coefficients are read more than once, for lengths, ranges and counts, and so written.
     """
     if method not in ("histogram", "kde"):
         raise ValueError(f"unknown method {method}")
-    sound = renumbered(finite(samples.select(*keys, idx, value), value), keys, idx).persist(StorageLevel.MEMORY_AND_DISK)
-    enough = sound.join(lengths(sound, keys, "__n").where(F.col("__n") >= wavelet.LEAST).drop("__n"), list(keys), "left_semi")
-    coefs = long_modwt(enough, keys, level, idx, value).persist(StorageLevel.MEMORY_AND_DISK)
+    sound = with_length(written(renumbered(finite(samples.select(*keys, idx, value), value), keys, idx)), keys)
+    coefs = written(long_modwt(sound.where(F.col("__n") >= wavelet.LEAST).drop("__n"), keys, level, idx, value))
     return (histograms if method == "histogram" else densities)(coefs, [*keys, "band"], "coef", bins)
 
 
@@ -119,7 +119,7 @@ def with_window_divergence(table: DataFrame, reference: DataFrame, level: int =
     have no distribution and are skipped. Windows of a key without a reference stay, with nulls.
     """
     books = reference.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("centers", "probs")))).alias("__book"))
-    joined = table.join(books, list(keys), "left") if keys else table.join(F.broadcast(books), F.lit(True), "left")  # without keys the book is one row
+    joined = looked_up(table, books, keys, "left", most=1 << 12)  # a book has about 5 KB
     joined = joined.withColumn("__dists", band_distributions(F.col(w), level))
     have = F.size("__dists") - 1
     name = lambda i: F.when(i < have, F.concat(F.lit("D"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("A"), have.cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vibrata.operators.joins import looked_up
 from vibrata.operators.running import quantiles, totals_before
 
 
@@ -52,7 +53,7 @@ def auc(scored: DataFrame, score: str, label: str, keys: Sequence[str] = ()) ->
 def detection(scored: DataFrame, score: str, label: str, keys: Sequence[str] = (), healthy_quantile: float = 0.95) -> DataFrame:
     """Precision, recall, f1, accuracy and counts for ``score`` above the healthy scores' quantile."""
     cuts = quantiles(scored.where(F.col(label).cast("int") == 0), keys, score, {"threshold": healthy_quantile})
-    judged = scored.join(cuts, list(keys)) if keys else scored.join(F.broadcast(cuts), F.lit(True))  # without keys one row
+    judged = looked_up(scored, cuts, keys)
     flagged, real = F.col(score) > F.col("threshold"), F.col(label).cast("int") == 1
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     cells = judged.groupBy(*keys, "threshold").agg(count(flagged & real).alias("tp"), count(flagged & ~real).alias("fp"), count(~flagged & ~real).alias("tn"), count(~flagged & real).alias("fn"))

@@ -11,73 +11,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vibrata.functions.draws import normal, uniform
+from vibrata.operators.joins import looked_up
+from vibrata.operators.signals import with_length
+
 # The fault types.
 FAULT_TYPES = ("noise_increase", "bias_drift", "spike_injection", "bandwidth_loss", "saturation", "gain_change")
 LEAST = 4  # samples of a signal that can have a fault
 STRETCH = 1 << 14
+MOST_WIDTHS = 64  # severities of bandwidth loss that ``injected`` takes at once
 
 
-def uniform(seed: int, parts: Sequence[Column], draw: str) -> Column:
-    """A number in (0, 1) from the MD5 of seed, parts and draw: 52 bits, the same in any engine that has MD5."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts), F.lit(draw))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
-
-
-def normal(seed: int, parts: Sequence[Column], draw: str) -> Column:
-    """A standard normal number, by Box and Muller."""
-    return F.sqrt(-2 * F.ln(uniform(seed, parts, draw + "1"))) * F.cos(2 * F.pi() * uniform(seed, parts, draw + "2"))
-
-
-def _mirrored(samples: DataFrame, keys: Sequence[str], width: Column, n: str, idx: str) -> DataFrame:
-    """Copies of samples at the places before 0 and from n on that a box of ``width`` reaches, mirrored at the edges."""
-    half = F.floor(width / 2)
-    turns = F.floor(width / (2 * F.col(n))) + 1
+def _mirrored(samples: DataFrame, reach: int, n: str, idx: str) -> DataFrame:
+    """Copies of samples at the places before 0 and from n on that a box reaches, mirrored at the edges (``__at``)."""
+    turns = F.floor(F.lit(reach) / F.col(n)) + 1
     places = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * F.col(n) * k + F.col(idx), 2 * F.col(n) * k - 1 - F.col(idx))))
-    return samples.withColumn("__at", F.explode(F.filter(places, lambda p: (p >= -half) & (p < F.col(n) + half))))
+    return samples.withColumn("__at", F.explode(F.filter(places, lambda p: (p >= -reach) & (p < F.col(n) + reach))))
 
 
-def box_filtered(samples: DataFrame, keys: Sequence[str], width: Column, n: str, idx: str = "idx", value: str = "value", most_width: int = 64) -> DataFrame:
-    """``samples`` with ``smooth``: the mean of ``width`` samples from idx - width // 2 on, mirrored at the edges.
+def box_filtered(samples: DataFrame, keys: Sequence[str], widths: Sequence[int], n: str, idx: str = "idx", value: str = "value") -> DataFrame:
+    """``samples`` with smooth_<w> for each width: the mean of w samples from idx - w // 2 on, mirrored at the edges.
 
-    Windows run inside stretches of the signal, each with the few samples around it, so no task holds a whole signal.
-    ``width`` is the same for all samples of a key and at most ``most_width``.
+    Moving frames run inside stretches of the signal, each with the few samples around it, so no task holds a whole
+    signal and all widths share one shuffle. Null samples don't count.
     """
-    spread = _mirrored(samples.withColumn("__width", width), keys, width, n, idx)
+    reach = max(widths) // 2 + 1
+    spread = _mirrored(samples, reach, n, idx)
     own = F.floor(F.col("__at") / STRETCH)
     edge = F.col("__at") - own * STRETCH
-    stretches = F.array_compact(F.array(own, F.when(edge < most_width, own - 1), F.when(edge >= STRETCH - most_width, own + 1)))
+    stretches = F.array_compact(F.array(own, F.when(edge < reach, own - 1), F.when(edge >= STRETCH - reach, own + 1)))
     dealt = spread.withColumn("__stretch", F.explode(stretches))
     around = Window.partitionBy(*keys, "__stretch").orderBy("__at")
-    # A fixed frame of the widest box, of which each signal takes its own part.
-    frame = F.collect_list(value).over(around.rowsBetween(-(most_width // 2), most_width // 2))
-    before = F.least(F.row_number().over(around) - 1, F.lit(most_width // 2))
-    box = F.slice(frame, (before - F.floor(F.col("__width") / 2) + 1).cast("int"), F.col("__width"))
-    inside = dealt.withColumn("__box", F.when((F.col("__at") == F.col(idx)) & (F.col("__stretch") == own), box))
-    kept = inside.where("__box IS NOT NULL")
-    return kept.withColumn("smooth", F.aggregate("__box", F.lit(0.0), lambda s, x: s + x) / F.size("__box")).select(*samples.columns, "smooth")
+    means = [F.avg(value).over(around.rowsBetween(-(w // 2), w - 1 - w // 2)).alias(f"smooth_{w}") for w in sorted(set(widths))]
+    inside = dealt.select("*", *means).where((F.col("__at") == F.col(idx)) & (F.col("__stretch") == own))
+    return inside.drop("__at", "__stretch")
 
 
-def box_width(severity: Column) -> Column:
-    return F.floor(3 + 20 * severity).cast("int")
+def box_width(severity: float) -> int:
+    return int(3 + 20 * max(severity, 0.0))
 
 
-def injected(samples: DataFrame, keys: Sequence[str], fault: Column, severity: Column, seed: int = 42, idx: str = "idx", value: str = "value", signs: Column | None = None, branches: Column | None = None) -> DataFrame:
-    """``samples`` with faults in their values; ``fault`` and ``severity`` may differ between keys, not inside one.
-
-    Severities below 0 count as 0; signals under four samples stay as they are; an unknown type is an error. At
-    severity 0 noise, drift, spikes and gain change nothing, while saturation clips at 0.95 of the largest size and
-    bandwidth loss filters by three samples. ``signs`` (of a drift) and ``branches`` (whether the gain falls) are drawn
-    for each key unless given. Null samples stay null.
-    """
-    sev = F.greatest(severity.cast("double"), F.lit(0.0))
+def _measured(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``samples`` with their signal's length, mean, deviation and largest size, a row a signal."""
     stats = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), (F.stddev_pop(value) + 1e-8).alias("__std"), F.max(F.abs(F.col(value))).alias("__peak"),
     )
-    known = F.when(fault.isin(*FAULT_TYPES), fault).otherwise(F.raise_error(F.concat(F.lit("unknown fault type "), F.coalesce(fault, F.lit("null")))))
-    rows = samples.join(stats, list(keys)).withColumn("__sev", sev).withColumn("__fault", F.when(F.col("__n") < LEAST, F.lit("none")).otherwise(known))
-    x, s, d = F.col(value), F.col("__sev"), F.col("__std")
+    return looked_up(samples, stats, keys)
+
+
+def _damped(measured: DataFrame, keys: Sequence[str], severities: Sequence[float], idx: str, value: str) -> DataFrame:
+    """``measured`` with slow_<w> for the width of each severity: filtered, and set back to a part of its deviation."""
+    widths = sorted({box_width(s) for s in severities})
+    smooth = box_filtered(measured, keys, widths, "__n", idx, value)
+    levels = smooth.groupBy(*keys).agg(*(f(f"smooth_{w}").alias(f"{name}_{w}") for w in widths for name, f in (("level", F.avg), ("spread", F.stddev_pop))))
+    slow = lambda w: (F.col(f"smooth_{w}") - F.col(f"level_{w}")) * (F.col("__std") / (F.col(f"spread_{w}") + 1e-8)) * 0.6 + F.col("__mean")
+    return looked_up(smooth, levels, keys).select(*measured.columns, *(slow(w).alias(f"slow_{w}") for w in widths))
+
+
+def _hurt(fault: Column, severity: Column, severities: Sequence[float], signal: Sequence[Column], seed: int, idx: str, value: str, signs: Column | None, branches: Column | None, older: bool) -> Column:
+    """A sample's value under a fault. Only the branch of the fault is computed, and only its draws are made."""
+    x, s, d = F.col(value), F.greatest(severity.cast("double"), F.lit(0.0)), F.col("__std")
     u = F.col(idx) / F.greatest(F.col("__n") - 1, F.lit(1))
-    signal = [F.col(k) for k in keys]
     sample = [*signal, F.col(idx)]
     sign = signs if signs is not None else F.when(uniform(seed, signal, "sign") < 0.5, -1.0).otherwise(1.0)
     falls = branches if branches is not None else uniform(seed, signal, "gain") < 0.5
@@ -90,42 +84,86 @@ def injected(samples: DataFrame, keys: Sequence[str], fault: Column, severity: C
     limit = F.least(F.greatest(0.95 - 0.30 * s, F.lit(0.12)), F.lit(0.95)) * scale
     step = F.greatest(scale * (0.01 + 0.02 * s), F.lit(1e-8))
     clipped = F.least(F.greatest(x, -limit), limit)
-    saturated = F.when(s > 0, F.rint(clipped / step) * step).otherwise(clipped)
-    gain = F.when(falls, F.greatest(F.lit(0.1), 1 - 0.45 * s)).otherwise(1 + 1.2 * s)
+    if older:
+        middle, bound = F.col("__mean"), F.greatest(2.0 - 1.2 * s, F.lit(0.3)) * d
+        saturated = F.least(F.greatest(x, middle - bound), middle + bound)
+        gained = (x - middle) * F.when(falls, F.greatest(F.lit(0.2), 1 - 0.6 * s)).otherwise(1 + 0.8 * s) + middle
+    else:
+        saturated = F.when(s > 0, F.rint(clipped / step) * step).otherwise(clipped)
+        gained = x * F.when(falls, F.greatest(F.lit(0.1), 1 - 0.45 * s)).otherwise(1 + 1.2 * s)
+    slow = F.lit(None).cast("double")
+    for w in sorted({box_width(v) for v in severities}):
+        slow = F.when(F.floor(3 + 20 * s) == w, F.col(f"slow_{w}")).otherwise(slow)
     told = (
-        F.when(F.col("__fault") == "noise_increase", noise).when(F.col("__fault") == "bias_drift", drift).when(F.col("__fault") == "spike_injection", spike)
-        .when(F.col("__fault") == "saturation", saturated).when(F.col("__fault") == "gain_change", x * gain).otherwise(x)
+        F.when(fault == "noise_increase", noise).when(fault == "bias_drift", drift).when(fault == "spike_injection", spike)
+        .when(fault == "saturation", saturated).when(fault == "gain_change", gained).when(fault == "bandwidth_loss", slow).otherwise(x)
     )
-    pointwise = rows.where("__fault <> 'bandwidth_loss'").withColumn(value, F.when(x.isNotNull(), told))
-    slow = rows.where("__fault = 'bandwidth_loss'")
-    smooth = box_filtered(slow, keys, box_width(F.col("__sev")), "__n", idx, value)
-    levels = smooth.groupBy(*keys).agg(F.avg("smooth").alias("__level"), (F.stddev_pop("smooth") + 1e-8).alias("__spread"))
-    damped = smooth.join(levels, list(keys)).withColumn(value, (F.col("smooth") - F.col("__level")) * (d / F.col("__spread")) * 0.6 + F.col("__mean"))
-    return pointwise.select(*samples.columns).unionByName(damped.select(*samples.columns))
+    return F.when(x.isNotNull(), told)
+
+
+def injected(samples: DataFrame, keys: Sequence[str], fault: Column, severity: Column, seed: int = 42, idx: str = "idx", value: str = "value", signs: Column | None = None, branches: Column | None = None, older: bool = False) -> DataFrame:
+    """``samples`` with faults in their values; ``fault`` and ``severity`` may differ between keys, not inside one.
+
+    Severities below 0 count as 0; signals under four samples stay as they are; an unknown type is an error. At
+    severity 0 noise, drift, spikes and gain change nothing, while saturation clips at 0.95 of the largest size and
+    bandwidth loss filters by three samples. ``signs`` (of a drift) and ``branches`` (whether the gain falls) are drawn
+    for each key unless given. Null samples stay null. The severities of bandwidth losses must be few, as each has a
+    column of its own. ``older`` takes the older rules of saturation and gain, which work about the signal's mean.
+    """
+    known = F.when(fault.isin(*FAULT_TYPES), fault).otherwise(F.raise_error(F.concat(F.lit("unknown fault type "), F.coalesce(fault, F.lit("null")))))
+    rows = _measured(samples, keys, value).withColumn("__sev", severity.cast("double")).withColumn("__fault", F.when(F.col("__n") < LEAST, F.lit("none")).otherwise(known))
+    slow = samples.where(fault == "bandwidth_loss").select(severity.cast("double")).distinct().limit(MOST_WIDTHS + 1).collect()
+    severities = sorted({r[0] or 0.0 for r in slow})
+    if len(severities) > MOST_WIDTHS:
+        raise ValueError(f"over {MOST_WIDTHS} severities of bandwidth loss at once")
+    if severities:
+        rows = _damped(rows, keys, severities, idx, value)
+    told = _hurt(F.col("__fault"), F.col("__sev"), severities, [F.col(k) for k in keys], seed, idx, value, signs, branches, older)
+    return rows.withColumn(value, told).select(*samples.columns)
+
 
+def injected_cells(
+    samples: DataFrame, keys: Sequence[str], faults: Sequence[str] = FAULT_TYPES, severities: Sequence[float] = (2.0,), trials: int | None = None,
+    seed: int = 42, idx: str = "idx", value: str = "value", older: bool = False,
+) -> DataFrame:
+    """A copy of ``samples`` under each fault and severity (and trial), with columns fault_type, severity (and trial).
 
-def with_cells(samples: DataFrame, faults: Sequence[str] = FAULT_TYPES, severities: Sequence[float] = (2.0,), trials: int = 1) -> DataFrame:
-    """A copy of ``samples`` for each of a stated set of cells: columns fault_type, severity and trial."""
-    cells = F.array(*(F.struct(F.lit(f).alias("fault_type"), F.lit(float(s)).alias("severity"), F.lit(t).alias("trial")) for f in faults for s in severities for t in range(trials)))
-    return samples.withColumn("__cell", F.explode(cells)).select(*samples.columns, "__cell.*")
+    Lengths, deviations and filtered values are those of the signal, so they are taken before the samples are copied. The
+    draws of a cell are hashes of the keys and the cell, as if ``injected`` had them all as keys.
+    """
+    unknown = sorted(set(faults) - set(FAULT_TYPES))
+    if unknown:
+        raise ValueError(f"unknown fault types {unknown}")
+    rows = _measured(samples, keys, value)
+    slow = severities if "bandwidth_loss" in faults else ()
+    if slow:
+        rows = _damped(rows, keys, slow, idx, value)
+    cell = ["fault_type", "severity", *(["trial"] if trials is not None else [])]
+    every = [(f, float(s), t) for f in faults for s in severities for t in range(trials if trials is not None else 1)]
+    cells = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, cell, strict=False))) for c in every))
+    copies = rows.withColumn("__cell", F.explode(cells)).select(*rows.columns, "__cell.*")
+    fault = F.when(F.col("__n") < LEAST, F.lit("none")).otherwise(F.col("fault_type"))
+    told = _hurt(fault, F.col("severity"), slow, [F.col(c) for c in (*keys, *cell)], seed, idx, value, None, None, older)
+    return copies.withColumn(value, told).select(*samples.columns, *cell)
 
 
 DEGRADATIONS = ("noise_increase", "bias_drift", "bandwidth_loss", "spike_injection")
 
 
 def degraded(samples: DataFrame, keys: Sequence[str], mode: str, severity: float = 1.0, seed: int = 42, idx: str = "idx", value: str = "value") -> DataFrame:
-    """The plainer degradations, which grow over the signal: noise, squared drift, a widening local mean, spikes of 5."""
+    """The plainer degradations, which grow over the signal: noise, squared drift, a widening local mean, spikes of 5.
+
+    The local mean reaches half of 1 + 20 * severity * idx / n samples to each side, cut off at the signal's ends.
+    """
     if mode not in DEGRADATIONS:
         raise ValueError(f"unknown degradation {mode}")
-    rows = samples.withColumn(value, F.col(value).cast("double")).join(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(keys))
+    rows = with_length(samples.withColumn(value, F.col(value).cast("double")), keys)
     t = F.col(idx) / F.greatest(F.col("__n") - 1, F.lit(1))
     sample = [*(F.col(k) for k in keys), F.col(idx)]
     if mode == "bandwidth_loss":
         widest = int(1 + severity * 20) // 2
-        source = rows.select(*keys, "__n", F.explode(F.sequence(F.greatest(F.col(idx) - widest, F.lit(0)), F.least(F.col(idx) + widest, F.col("__n") - 1))).alias("__to"), F.col(idx).alias("__from"), F.col(value).alias("__x"))
-        half = F.floor(F.greatest(F.floor(1 + severity * 20 * (F.col("__to") / F.col("__n"))), F.lit(1)) / 2)
-        means = source.where(F.abs(F.col("__to") - F.col("__from")) <= half).groupBy(*keys, F.col("__to").alias(idx)).agg(F.avg("__x").alias("__local"))
-        return rows.join(means, [*keys, idx]).withColumn(value, F.col("__local")).select(*samples.columns)
+        half = F.floor(F.greatest(F.floor(1 + severity * 20 * (F.col(idx) / F.col("__n"))), F.lit(1)) / 2)
+        return _local_means(rows, keys, half, widest, idx, value).select(*samples.columns)
     x = F.col(value)
     told = {
         "noise_increase": x + normal(seed, sample, "noise") * (3.0 * severity) * t,
@@ -135,8 +173,31 @@ def degraded(samples: DataFrame, keys: Sequence[str], mode: str, severity: float
     return rows.withColumn(value, told).select(*samples.columns)
 
 
+def _local_means(rows: DataFrame, keys: Sequence[str], half: Column, widest: int, idx: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` as the mean of the samples up to ``half`` (at most ``widest``) places to either side.
+
+    A moving frame for each half width runs inside stretches with margins; each sample takes the one of its own.
+    """
+    own = F.floor(F.col(idx) / STRETCH)
+    edge = F.col(idx) - own * STRETCH
+    stretches = F.array_compact(F.array(own, F.when(edge < widest, own - 1), F.when(edge >= STRETCH - widest, own + 1)))
+    around = Window.partitionBy(*keys, "__stretch").orderBy(idx)
+    dealt = rows.withColumn("__stretch", F.explode(stretches))
+    told = F.lit(None).cast("double")
+    for h in range(widest + 1):
+        told = F.when(half == h, F.avg(value).over(around.rowsBetween(-h, h))).otherwise(told)
+    return dealt.withColumn("__local", told).where(F.col("__stretch") == own).withColumn(value, F.col("__local"))
+
+
 def linear_drift(samples: DataFrame, keys: Sequence[str], severity: float, idx: str = "idx", value: str = "value") -> DataFrame:
     """A straight drift up to ``severity`` times the signal's range."""
     stats = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), (F.max(value) - F.min(value)).alias("__range"))
     t = F.col(idx) / F.greatest(F.col("__n") - 1, F.lit(1))
-    return samples.join(stats, list(keys)).withColumn(value, F.col(value) + severity * F.col("__range") * t).select(*samples.columns)
+    return looked_up(samples, stats, keys).withColumn(value, F.col(value) + severity * F.col("__range") * t).select(*samples.columns)
+
+
+def added_noise(samples: DataFrame, keys: Sequence[str], severity: float, seed: int = 42, idx: str = "idx", value: str = "value") -> DataFrame:
+    """White noise of ``severity`` population deviations of the signal, the same all along it."""
+    stats = samples.groupBy(*keys).agg(F.stddev_pop(value).alias("__std"))
+    draw = normal(seed, [*(F.col(k) for k in keys), F.col(idx)], "noise")
+    return looked_up(samples, stats, keys).withColumn(value, F.col(value) + draw * severity * F.col("__std")).select(*samples.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -14,6 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vibrata.functions.draws import uniform
+from vibrata.operators.extract import Families, FeatureExtractor
+from vibrata.operators.faults import FAULT_TYPES, injected
+from vibrata.operators.joins import looked_up
+from vibrata.operators.signals import with_length
+
 LEAST = 200  # samples of a signal whose modality can be told
 
 
@@ -65,6 +72,80 @@ def signal_predictions(windows: DataFrame, keys: Sequence[str], order: str = "wi
     return won.select(*keys, F.col("predicted").alias("modality"), (F.col("v") / F.col("n_windows")).alias("confidence"), "n_windows").join(maps, list(keys))
 
 
+@dataclass(frozen=True)
+class ModalityPredictor:
+    """A fitted pipeline (scaling, forest, labels) with the features it reads; it can be saved and loaded."""
+
+    model: PipelineModel
+    names: tuple[str, ...]
+    families: Families = Families()
+
+    def save(self, path: str) -> None:
+        """The pipeline as Spark ML writes it, with the feature names in the assembler; an older model there is replaced."""
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str, families: Families = Families()) -> ModalityPredictor:
+        model = PipelineModel.load(path)
+        return cls(model, tuple(model.stages[0].getInputCols()), families)
+
+    def predict(self, samples: DataFrame, keys: Sequence[str], fs: float = 100.0, window_sec: float = 2.0, step_sec: float = 1.0) -> DataFrame:
+        """(keys, modality, confidence, probabilities, n_windows, error) for every signal of long samples.
+
+        A signal of fewer than LEAST samples, or without a whole window, has no modality, and ``error`` says so. The
+        empty table gives an empty result.
+        """
+        lengths = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        long_enough = with_length(samples, keys).where(F.col("__n") >= LEAST).drop("__n")
+        features = FeatureExtractor(fs, self.families).process(long_enough, keys, window_sec, step_sec)
+        told = signal_predictions(window_predictions(self.model, features, self.names), keys)
+        error = F.when(F.col("__n") < LEAST, F.lit(f"under {LEAST} samples")).when(F.col("modality").isNull(), F.lit("no whole window"))
+        return lengths.join(told, list(keys), "left").withColumn("error", error).drop("__n")
+
+
+# Shares of the subjects that are trained on and validated on; the rest are for tests.
+SPLITS = (0.7, 0.15)
+
+
+def subject_splits(windows: DataFrame, subject: str) -> DataFrame:
+    """``windows`` with ``split`` (train, val, test): whole subjects in their order, 70, 15 and 15 per cent of them.
+
+    Subjects are few, so one task ranks them.
+    """
+    subjects = windows.select(subject).where(F.col(subject).isNotNull()).distinct()
+    every = Window.partitionBy(F.lit(0))
+    place = subjects.withColumn("__k", F.row_number().over(every.orderBy(subject)) - 1).withColumn("__n", F.count(F.lit(1)).over(every))
+    cut = lambda share: F.floor(F.lit(share) * F.col("__n") + 1e-9)
+    split = F.when(F.col("__k") < cut(SPLITS[0]), "train").when(F.col("__k") < cut(sum(SPLITS)), "val").otherwise("test")
+    return looked_up(windows, place.select(subject, split.alias("split")), [subject])
+
+
+def degraded_share(windows: DataFrame, keys: Sequence[str], share: float = 0.5, severities: tuple[float, float] = (0.8, 2.0), grid: int = 13, seed: int = 42, w: str = "value") -> DataFrame:
+    """``windows`` with ``label``: 1 for about ``share`` of them, drawn by hashes of ``keys``, which get a random fault.
+
+    A drawn window's fault type and severity (one of ``grid`` between the two ends) are hashes too. A window is an array,
+    so it is laid out as a short signal of its own, hurt and put together again.
+    """
+    own = [F.col(k) for k in keys]
+    drawn = windows.withColumn("label", (uniform(seed, own, "degraded") < share).cast("int"))
+    kinds = F.array(*(F.lit(f) for f in FAULT_TYPES))
+    fault = F.get(kinds, F.floor(uniform(seed, own, "type") * len(FAULT_TYPES)).cast("int"))
+    low, high = severities
+    severity = low + (high - low) * F.floor(uniform(seed, own, "severity") * grid) / (grid - 1)
+    bad = drawn.where("label = 1").select(*keys, fault.alias("__kind"), severity.alias("__severity"), F.posexplode(w).alias("idx", "value"))
+    hurt = injected(bad, keys, F.col("__kind"), F.col("__severity"), seed, older=True)
+    again = hurt.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("__hurt"))
+    joined = drawn.join(again, list(keys), "left")
+    return joined.select(*(F.when(F.col("label") == 1, F.col("__hurt")).otherwise(F.col(w)).alias(w) if c == w else F.col(c) for c in windows.columns), "label")
+
+
+def scaled_windows(windows: DataFrame, reference: DataFrame, w: str = "value") -> DataFrame:
+    """Windows as deviations from the mean of all samples of ``reference``'s windows; a deviation of 0 counts as 1."""
+    stats = reference.select(F.explode(w).alias("x")).agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"))
+    scale = F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)
+    return looked_up(windows, stats, []).withColumn(w, F.transform(w, lambda x: (x - F.col("__m")) / scale)).drop("__m", "__s")
+
+
 def cross_validated(features: DataFrame, names: Sequence[str], label: str, folds: int = 5, seed: int = 42, **options) -> float:
     """Mean accuracy over folds."""
     evaluator = MulticlassClassificationEvaluator(labelCol="__label", metricName="accuracy")

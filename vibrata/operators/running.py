@@ -12,24 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 128
+from vibrata.operators.joins import looked_up
+from vibrata.sources.scratch import written
+
+BUCKETS, COARSE = 1024, 32  # buckets of a key; cuts between them are searched in COARSE steps of as many
+MOST_KEYS = 1 << 11  # keys whose cuts are broadcast, 16 MB at most
+LEAST = 4096  # distinct values of a key that a bucket should hold: a smaller key has fewer buckets
 
 
 def totals_before(table: DataFrame, keys: Sequence[str], order: str, amounts: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """``table`` with before_<amount> and all_<amount>: sums over the key's rows of smaller ``order``, and over all.
 
-    ``order`` is numeric and unique within a key; rows where it is null are left out.
+    ``order`` is numeric and unique within a key; rows where it is null are left out. The table is written once, as it is
+    read for its cuts, for the buckets' totals and for its rows.
     """
-    rows = table.where(F.col(order).isNotNull()).withColumn("__all", F.lit(0))
-    own = [*keys, "__all"]
-    cuts = F.percentile_approx(order, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10 * buckets))
-    whole = rows.groupBy(*own).agg(cuts.alias("__cuts"), *(F.sum(a).alias(f"all_{a}") for a in amounts))
-    placed = rows.join(whole, own).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
-    sums = placed.groupBy(*own, "__bucket").agg(*(F.sum(a).alias(f"__sum_{a}") for a in amounts))
-    earlier = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*own, "__bucket", *(F.coalesce(F.sum(f"__sum_{a}").over(earlier), F.lit(0)).alias(f"__start_{a}") for a in amounts))
-    inside = Window.partitionBy(*own, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.select("*", *(F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__inside_{a}") for a in amounts)).join(starts, [*own, "__bucket"])
+    rows = written(table.where(F.col(order).isNotNull()))
+    share = lambda i: F.lit(i / buckets)
+    cuts = F.percentile_approx(order, F.array(*(share(i) for i in range(1, buckets))), F.lit(10 * buckets))
+    whole = rows.groupBy(*keys).agg(cuts.alias("__cuts"), F.count(F.lit(1)).alias("__n"), *(F.sum(a).alias(f"all_{a}") for a in amounts))
+    # A key of few rows keeps every so manieth cut.
+    stride = F.greatest(F.floor(buckets / F.greatest(F.ceil(F.col("__n") / LEAST), F.lit(1))), F.lit(1))
+    few = F.filter("__cuts", lambda c, i: (i + 1) % F.col("__stride") == 0)
+    whole = whole.withColumn("__stride", stride).withColumn("__cuts", few).withColumn("__steps", F.filter("__cuts", lambda c, i: (i + 1) % COARSE == 0)).drop("__n", "__stride")
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(order)))
+    placed = looked_up(rows, whole, keys, most=MOST_KEYS).withColumn("__step", below("__steps") * COARSE)
+    placed = placed.withColumn("__bucket", F.col("__step") + below(F.slice("__cuts", F.col("__step") + 1, F.lit(COARSE)))).drop("__cuts", "__steps", "__step")
+    sums = placed.groupBy(*keys, "__bucket").agg(*(F.sum(a).alias(f"__sum_{a}") for a in amounts))
+    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__sum_{a}").over(earlier), F.lit(0)).alias(f"__start_{a}") for a in amounts))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.select("*", *(F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__inside_{a}") for a in amounts))
+    joined = looked_up(own, starts, [*keys, "__bucket"])
     return joined.select(*table.columns, *((F.col(f"__start_{a}") + F.col(f"__inside_{a}")).alias(f"before_{a}") for a in amounts), *(f"all_{a}" for a in amounts))
 
 

@@ -11,27 +11,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vibrata.operators.joins import looked_up
 from vibrata.operators.running import quantiles
 
+STRETCH = 1 << 16  # rows of a stretch, on average, where nothing else is asked for
+
 
 def nan_to_null(value: str | Column) -> Column:
     column = (F.col(value) if isinstance(value, str) else value).cast("double")
     return F.when(~F.isnan(column), column)
 
 
+def _place(samples: DataFrame, order: str) -> Column:
+    """``order`` as a double: seconds, where it is a timestamp."""
+    is_time = samples.schema[order].dataType.typeName().startswith("timestamp")
+    return F.unix_micros(F.col(order).cast("timestamp")) / 1e6 if is_time else F.col(order).cast("double")
+
+
+def stretched(samples: DataFrame, order: str, spread: float | None = None, stretch: str = "__stretch") -> DataFrame:
+    """``samples`` with the number of the stretch of ``order`` that they lie in, each ``spread`` long.
+
+    Without ``spread`` one pass finds a length that gives stretches of STRETCH rows on average.
+    """
+    place = _place(samples, order)
+    if spread is None:
+        low, high, n = samples.agg(F.min(place), F.max(place), F.count(F.lit(1))).head()
+        spread = (high - low) / (n / STRETCH) if n and high > low else 1.0
+    return samples.withColumn(stretch, F.floor(place / F.lit(float(spread))).cast("long"))
+
+
 def indexed(samples: DataFrame, keys: Sequence[str], order: str, spread: float | None = None, idx: str = "idx") -> DataFrame:
     """``samples`` with ``idx`` in ascending ``order``, a number or timestamp that is unique within a key.
 
     ``spread`` is the length of order values (seconds for timestamps) that one task numbers at a time: a signal of any
-    length is cut into such stretches, which are numbered apart and moved by the count of what lies before. Without it
-    a task numbers a whole signal. Rows whose key or order is null belong to no signal and are left out.
+    length is cut into such stretches, which are numbered apart and moved by the count of what lies before. Rows whose
+    key or order is null belong to no signal and are left out.
     """
-    rows = samples.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, order)))
-    if spread is None:
-        return rows.withColumn(idx, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)
-    is_time = rows.schema[order].dataType.typeName().startswith("timestamp")
-    place = F.unix_micros(F.col(order).cast("timestamp")) / 1e6 if is_time else F.col(order).cast("double")
-    rows = rows.withColumn("__stretch", F.floor(place / spread).cast("long"))
+    rows = stretched(samples.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, order))), order, spread)
     counts = rows.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*keys, "__stretch", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -59,15 +75,15 @@ def finite(samples: DataFrame, value: str = "value") -> DataFrame:
     return samples.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
 
 
-def _with_length(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return samples.join(lengths(samples, keys, "__n"), list(keys))
+def with_length(samples: DataFrame, keys: Sequence[str], n: str = "__n") -> DataFrame:
+    return looked_up(samples, lengths(samples, keys, n), keys)
 
 
 def trimmed(samples: DataFrame, keys: Sequence[str], fs: float, start_sec: float = 60, end_sec: float = 30, idx: str = "idx") -> DataFrame:
     """Without the first and last seconds, numbered from 0; a signal no longer than both together stays whole."""
     head, tail = int(start_sec * fs), int(end_sec * fs)
     short = head + tail >= F.col("__n")
-    kept = _with_length(samples, keys).where(short | ((F.col(idx) >= head) & (F.col(idx) < F.col("__n") - tail)))
+    kept = with_length(samples, keys).where(short | ((F.col(idx) >= head) & (F.col(idx) < F.col("__n") - tail)))
     return kept.withColumn(idx, F.when(short, F.col(idx)).otherwise(F.col(idx) - head)).select(*samples.columns)
 
 
@@ -78,7 +94,7 @@ def head(samples: DataFrame, seconds: float, fs: float, idx: str = "idx") -> Dat
 def middle(samples: DataFrame, keys: Sequence[str], size: int, idx: str = "idx") -> DataFrame:
     """The ``size`` samples in the middle of each signal, numbered from 0; a shorter signal stays whole."""
     start = F.greatest(F.floor((F.col("__n") - size) / 2), F.lit(0))
-    kept = _with_length(samples, keys).where((F.col(idx) >= start) & (F.col(idx) < start + size))
+    kept = with_length(samples, keys).where((F.col(idx) >= start) & (F.col(idx) < start + size))
     return kept.withColumn(idx, F.col(idx) - start).select(*samples.columns)
 
 
@@ -92,12 +108,12 @@ def normalised(samples: DataFrame, keys: Sequence[str], value: str = "value") ->
     """Values as deviations from the signal's mean in population standard deviations; a deviation of 0 counts as 1."""
     stats = samples.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
     scale = F.when(F.col("__std") == 0, 1.0).otherwise(F.col("__std"))
-    return samples.join(stats, list(keys)).withColumn(value, (F.col(value) - F.col("__mean")) / scale).select(*samples.columns)
+    return looked_up(samples, stats, keys).withColumn(value, (F.col(value) - F.col("__mean")) / scale).select(*samples.columns)
 
 
 def centred(samples: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     means = samples.groupBy(*keys).agg(F.avg(value).alias("__mean"))
-    return samples.join(means, list(keys)).withColumn(value, F.col(value) - F.col("__mean")).select(*samples.columns)
+    return looked_up(samples, means, keys).withColumn(value, F.col(value) - F.col("__mean")).select(*samples.columns)
 
 
 def scaled(samples: DataFrame, factors: dict[str, float], channel: str = "channel", value: str = "value") -> DataFrame:
@@ -106,12 +122,18 @@ def scaled(samples: DataFrame, factors: dict[str, float], channel: str = "channe
     return samples.withColumn(value, F.col(value) * factor)
 
 
-def sample_rates(samples: DataFrame, keys: Sequence[str], order: str, rate: str = "sample_rate") -> DataFrame:
-    """One over the exact median of the positive steps of ``order`` (seconds or a timestamp); no row where there is none."""
-    is_time = samples.schema[order].dataType.typeName().startswith("timestamp")
-    seconds = F.unix_micros(F.col(order).cast("timestamp")) / 1e6 if is_time else F.col(order).cast("double")
-    step = seconds - F.lag(seconds).over(Window.partitionBy(*keys).orderBy(order))
-    steps = samples.where(F.col(order).isNotNull()).select(*keys, step.alias("__step")).where("__step > 0")
+def sample_rates(samples: DataFrame, keys: Sequence[str], order: str, rate: str = "sample_rate", spread: float | None = None) -> DataFrame:
+    """One over the exact median of the positive steps of ``order`` (seconds or a timestamp); no row where there is none.
+
+    Steps are taken inside stretches (see ``stretched``) and, from each stretch's last value to the next one's first,
+    between them, so no task walks a whole signal. Rows without ``order`` don't count.
+    """
+    sound = samples.where(F.col(order).isNotNull())
+    rows = stretched(sound.select(*keys, _place(sound, order).alias("__at")), "__at", spread)
+    inside = F.col("__at") - F.lag("__at").over(Window.partitionBy(*keys, "__stretch").orderBy("__at"))
+    ends = rows.groupBy(*keys, "__stretch").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    between = F.col("__first") - F.lag("__last").over(Window.partitionBy(*keys, F.lit(0)).orderBy("__stretch"))
+    steps = rows.select(*keys, inside.alias("__step")).unionByName(ends.select(*keys, between.alias("__step"))).where("__step > 0")
     return quantiles(steps, keys, "__step", {"__median": 0.5}).select(*keys, (1 / F.col("__median")).alias(rate))
 
 
@@ -119,4 +141,4 @@ def collected_channels(samples: DataFrame, keys: Sequence[str], least: int = 100
     """Non-null samples of the signals that have at least ``least`` of them."""
     sound = samples.where(F.col(value).isNotNull())
     own = [*keys, channel]
-    return sound.join(lengths(sound, own, "__n").where(F.col("__n") >= least).drop("__n"), own, "left_semi")
+    return with_length(sound, own).where(F.col("__n") >= least).drop("__n")

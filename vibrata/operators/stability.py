@@ -59,7 +59,11 @@ def across_conditions(features: DataFrame, condition: str, names: Sequence[str],
 
     A feature that a condition has no value of has a null variation, and comes last. With one condition std is 0.
     """
-    means = feature_means(features, [*keys, condition], names)
+    return across_means(feature_means(features, [*keys, condition], names), keys)
+
+
+def across_means(means: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``across_conditions`` from means that are there already: a row for each key, condition and feature."""
     whole = F.count("mean") == F.count(F.lit(1))
     table = means.groupBy(*keys, "feature").agg(
         F.when(whole, F.avg("mean")).alias("mean_across_conditions"),
@@ -69,6 +73,26 @@ def across_conditions(features: DataFrame, condition: str, names: Sequence[str],
     return _ranked(table, keys, "cv_across_conditions")
 
 
+def calm(stability: DataFrame, keys: Sequence[str] = (), most: float = 0.35, least: int = 8, fallback: int = 48, cv: str = "cv_across_conditions") -> DataFrame:
+    """``stability`` with ``fits``: whether a feature's variation is at most ``most``.
+
+    Where fewer than ``least`` features of a key are so calm, the ``fallback`` first in rank fit instead. A feature
+    without a variation doesn't fit the first way.
+    """
+    enough = F.sum(F.when(F.col(cv) <= most, 1).otherwise(0)).over(Window.partitionBy(*keys, F.lit(0))) >= least
+    return stability.withColumn("fits", F.when(enough, F.coalesce(F.col(cv) <= most, F.lit(False))).otherwise(F.col("stability_rank") <= fallback))
+
+
+def log_variation(features: DataFrame, condition: str, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, feature, cv_log, cv_raw): variation over condition means of a feature's logarithm, and of the feature.
+
+    The first takes population deviations and the second sample ones; only positive features have a logarithm of use.
+    """
+    logs = features.select(*keys, condition, *(F.ln(_null(n) + TINY).alias(n) for n in names))
+    cv = lambda table, std: feature_means(table, [*keys, condition], names).groupBy(*keys, "feature").agg((std("mean") / (F.abs(F.avg("mean")) + TINY)).alias("cv"))
+    return cv(logs, F.stddev_pop).withColumnRenamed("cv", "cv_log").join(cv(features, F.stddev_samp).withColumnRenamed("cv", "cv_raw"), [*keys, "feature"])
+
+
 def selected(stability: DataFrame, n_stable: int = 8, n_sensitive: int = 4, cv: str = "cv", mandatory: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """(keys, role, place, feature): mandatory features as given, the most stable, and the least stable ones.
 

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibrata.operators.signals import lengths
+from vibrata.functions.draws import uniform
+from vibrata.operators.signals import lengths, with_length
 
 
 def samples_of(seconds: float, fs: float) -> int:
@@ -59,10 +60,11 @@ def at_starts(samples: DataFrame, starts: DataFrame, keys: Sequence[str], size:
 
 
 def random_starts(samples: DataFrame, keys: Sequence[str], size: int, count: int, seed: int = 42) -> DataFrame:
-    """keys, window, start: ``count`` starts in every signal that fits a window, with replacement, from seeded hashes."""
+    """keys, window, start: ``count`` starts in every signal that fits a window, with replacement, from seeded hashes (MD5)."""
     room = lengths(samples, keys, "__n").where(F.col("__n") >= size)
     drawn = room.select(*keys, "__n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("window"))
-    return drawn.select(*keys, "window", F.pmod(F.xxhash64(F.lit(seed), *keys, "window"), F.col("__n") - size + 1).alias("start"))
+    share = uniform(seed, [F.col(k) for k in (*keys, "window")], "start")
+    return drawn.select(*keys, "window", F.floor(share * (F.col("__n") - size + 1)).alias("start"))
 
 
 def segments(samples: DataFrame, keys: Sequence[str], count: int, keep_rest: bool = True, idx: str = "idx", segment: str = "segment") -> DataFrame:
@@ -70,7 +72,7 @@ def segments(samples: DataFrame, keys: Sequence[str], count: int, keep_rest: boo
 
     Signals with fewer than ``count`` samples have no segments.
     """
-    sized = samples.join(lengths(samples, keys, "__n"), list(keys)).withColumn("__size", F.floor(F.col("__n") / count)).where(F.col("__size") > 0)
+    sized = with_length(samples, keys).withColumn("__size", F.floor(F.col("__n") / count)).where(F.col("__size") > 0)
     number = F.floor(F.col(idx) / F.col("__size"))
     if keep_rest:
         sized = sized.withColumn(segment, F.least(number, F.lit(count - 1)).cast("int"))

@@ -1,7 +1,8 @@
 """The health analysis of sensors end to end, as one set of distributed jobs over all sensors and conditions.
 
-Samples are long: (sensor, condition, channel, idx, value). What is collected is nothing; tables that several steps read
-are persisted on executors and can be computed again from their inputs.
+Samples are long: (sensor, condition, channel, idx, value), and so are features, a row for each window of a channel: no
+step turns channels into columns. Tables that several steps read are written once to the shared folder, so plans stay
+small and a lost executor costs little; only tables of a row for each sensor, condition or feature reach the driver.
 """
 
 from __future__ import annotations
@@ -9,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vibrata.operators import divergences, faults, scoring, signals, stability, windows
 from vibrata.operators.extract import Families, FeatureExtractor
+from vibrata.operators.joins import looked_up
 from vibrata.sources.conditions import AXES, CONDITIONS, TRIADS, condition_table
+from vibrata.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,11 @@ class Settings:
     n_stable: int = 8
     n_sensitive: int = 4
     seed: int = 42
+    chosen_families: Families | None = None
 
     @property
     def families(self) -> Families:
-        return Families(allan=False, wavelet_level=self.level)
+        return self.chosen_families or Families(allan=False, wavelet_level=self.level)
 
     @property
     def size(self) -> int:
@@ -72,10 +75,6 @@ SIGNAL = ("sensor", "condition", "channel")
 CELL = ("sensor", "fault_type", "severity", "trial")
 
 
-def _kept(table: DataFrame) -> DataFrame:
-    return table.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def samples_of_recordings(recordings: DataFrame, s: Settings, axes: dict[str, str] = AXES) -> DataFrame:
     """Trimmed long samples of the recordings' axes, ordered by Time_ms."""
     numbered = signals.indexed(recordings, ["sensor", "condition"], "Time_ms", spread=1e6)
@@ -114,7 +113,7 @@ def fault_base(samples: DataFrame, s: Settings, wanted: Sequence[str] | None = N
     last = F.element_at("cs", -1)["condition"]
     full = lambda a: F.concat(a["parts"], F.when(a["rest"] > 0, F.array(part(last, a["rest"], total - a["rest"]))).otherwise(none))
     planned = listed.select("sensor", "channel", F.explode(F.aggregate("cs", state(F.lit(total), F.size("cs"), none), step, full)).alias("p")).select("sensor", "channel", "p.*")
-    placed = active.join(sizes, ["sensor", "condition", "channel"]).join(planned, ["sensor", "condition", "channel"])
+    placed = looked_up(active, sizes.join(planned, ["sensor", "condition", "channel"]), ["sensor", "condition", "channel"])
     start = F.greatest(F.floor((F.col("n") - F.col("take")) / 2), F.lit(0))
     inside = placed.where((F.col("idx") >= start) & (F.col("idx") < start + F.col("take")))
     return inside.select("sensor", "channel", (F.col("at") + F.col("idx") - start).cast("long").alias("idx"), "value").where(F.col("idx") < total)
@@ -122,9 +121,7 @@ def fault_base(samples: DataFrame, s: Settings, wanted: Sequence[str] | None = N
 
 def degraded_features(base: DataFrame, s: Settings, severities: Sequence[float], trials: int = 1, types: Sequence[str] = faults.FAULT_TYPES) -> tuple[DataFrame, DataFrame]:
     """Samples and channel features of every cell of fault, severity and trial."""
-    cells = faults.with_cells(base, types, severities, trials)
-    keys = [*CELL, "channel"]
-    hurt = faults.injected(cells, keys, F.col("fault_type"), F.col("severity"), s.seed)
+    hurt = faults.injected_cells(base, ["sensor", "channel"], types, severities, trials, s.seed)
     return hurt, channel_features(hurt, CELL, s)
 
 
@@ -134,8 +131,14 @@ def long_means(features: DataFrame, by: Sequence[str], s: Settings) -> DataFrame
     return means.select(*by, F.concat_ws("_", "channel", "feature").alias("feature"), "mean")
 
 
+def long_stats(features: DataFrame, by: Sequence[str], s: Settings) -> DataFrame:
+    """(by, feature, mean, std) with features named <channel>_<feature>."""
+    stats = stability.reference_stats(features, s.names, [*by, "channel"])
+    return stats.select(*by, F.concat_ws("_", "channel", "feature").alias("feature"), "mean", "std")
+
+
 def fault_responses(base_features: DataFrame, hurt_features: DataFrame, stats: DataFrame, candidates: DataFrame, s: Settings) -> DataFrame:
-    """(sensor, feature, fault_response, response_rank) of the candidates."""
+    """(sensor, feature, fault_response, response_rank) of the candidates: mean over faults of how far a mean moves, in std."""
     own = ["sensor", "feature"]
     before = long_means(base_features, ["sensor"], s).withColumnRenamed("mean", "base")
     after = long_means(hurt_features, ["sensor", "fault_type"], s)
@@ -149,9 +152,7 @@ def model_selection(table: DataFrame, responses: DataFrame, s: Settings) -> Data
 
     A sensor without any stable feature gets the plain selection by variation.
     """
-    cv, rank = F.col("cv_across_conditions"), F.col("stability_rank")
-    calm = F.sum(F.when(cv <= s.most_cv, 1).otherwise(0)).over(Window.partitionBy("sensor"))
-    judged = table.withColumn("fits", F.when(calm >= s.n_stable, F.coalesce(cv <= s.most_cv, F.lit(False))).otherwise(rank <= s.pool))
+    judged = stability.calm(table, ["sensor"], s.most_cv, s.n_stable, s.pool)
     ranked = responses.join(judged.select("sensor", "feature", "fits"), ["sensor", "feature"]).where(~F.col("feature").isin(*s.wide_mandatory))
     number = lambda *part: F.row_number().over(Window.partitionBy("sensor", *part).orderBy("response_rank"))
     marked = ranked.withColumn("k", number("fits")).withColumn("is_stable", F.col("fits") & (F.col("k") <= s.n_stable))
@@ -174,7 +175,7 @@ def pooled(samples: DataFrame, s: Settings) -> DataFrame:
     ords = F.create_map(*(F.lit(x) for i, c in enumerate(s.conditions) for x in (c, i)))
     sizes = own.groupBy("sensor", "condition").agg(F.count(F.lit(1)).alias("n")).withColumn("o", F.element_at(ords, F.col("condition")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sensor").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.join(sizes.withColumn("before", before), ["sensor", "condition"]).select("sensor", (F.col("before") + F.col("idx")).alias("idx"), "value")
+    return looked_up(own, sizes.withColumn("before", before), ["sensor", "condition"]).select("sensor", (F.col("before") + F.col("idx")).alias("idx"), "value")
 
 
 def window_divergences(samples: DataFrame, reference: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
@@ -184,9 +185,8 @@ def window_divergences(samples: DataFrame, reference: DataFrame, keys: Sequence[
     return divergences.with_window_divergence(cut, reference, s.level, keys=["sensor"]).drop("value").where("div_mean_kl IS NOT NULL")
 
 
-def vectors(features: DataFrame, model: dict[str, DataFrame], keep: Sequence[str], s: Settings) -> DataFrame:
-    scored = scoring.quality_vectors(features, s.wide_names, model["selection"], model["stats"], ["sensor"], keep)
-    return scoring.calibrated(scored, model["calibration"], ["sensor"])
+def raw_vectors(features: DataFrame, model: dict[str, DataFrame], keep: Sequence[str], s: Settings) -> DataFrame:
+    return scoring.channel_vectors(features, s.names, s.channels, model["selection"], model["stats"], ["sensor"], keep)
 
 
 def health_models(samples: DataFrame, s: Settings = Settings()) -> dict[str, DataFrame]:
@@ -194,31 +194,32 @@ def health_models(samples: DataFrame, s: Settings = Settings()) -> dict[str, Dat
 
     ``samples`` are trimmed long samples of healthy sensors. Empty samples give empty tables.
     """
-    cells = ["sensor", "condition"]
-    samples = _kept(samples)
-    features = _kept(wide_features(channel_features(samples, cells, s), cells, s))
-    table = _kept(stability.across_conditions(features, "condition", s.wide_names, ["sensor"]))
-    stats = _kept(stability.reference_stats(features, s.wide_names, ["sensor"]))
-    base = _kept(fault_base(samples, s))
-    base_features = _kept(channel_features(base, ["sensor"], s))
-    hurt_features = _kept(degraded_features(base, s, [2.0])[1])
-    responses = _kept(fault_responses(base_features, hurt_features, stats, table.where(F.col("stability_rank") <= s.pool), s))
-    selection = _kept(model_selection(table, responses, s))
-    healthy = scoring.quality_vectors(features, s.wide_names, selection, stats, ["sensor"], [*cells, "window_start_sample", "window_start_sec"])
-    calibration = _kept(scoring.fit_calibration(healthy, ["sensor"], s.healthy_quantile))
-    reference = _kept(divergences.reference_distributions(pooled(samples, s), ["sensor"], s.level))
-    model = {"features": features, "stability": table, "stats": stats, "base": base, "selection": selection, "calibration": calibration, "reference": reference}
-    lengths = signals.lengths(samples.where(F.col("channel") == s.reference_channel), cells, "n").withColumn("seconds", F.col("n") / F.lit(s.fs)).drop("n")
-    places = lengths.join(F.broadcast(condition_table(samples.sparkSession, {c: CONDITIONS.get(c, 0) for c in s.conditions})), "condition")  # a row a condition
-    model["vectors"] = scoring.timeline(scoring.calibrated(healthy, calibration, ["sensor"]), places)
-    model["divergences"] = scoring.timeline(window_divergences(samples, reference, cells, s), places)
+    cells, window = ["sensor", "condition"], ["window_start_sample", "window_start_sec"]
+    samples = written(samples)
+    features = written(channel_features(samples, cells, s))
+    table = written(stability.across_means(long_means(features, cells, s), ["sensor"]))
+    stats = written(long_stats(features, ["sensor"], s))
+    base = written(fault_base(samples, s))
+    hurt_features = degraded_features(base, s, [2.0])[1]
+    responses = written(fault_responses(channel_features(base, ["sensor"], s), hurt_features, stats, table.where(F.col("stability_rank") <= s.pool), s))
+    model = {"features": features, "stability": table, "stats": stats, "base": base, "responses": responses}
+    model["selection"] = written(model_selection(table, responses, s))
+    healthy = written(raw_vectors(features, model, [*cells, *window], s))
+    model["calibration"] = written(scoring.fit_calibration(healthy, ["sensor"], s.healthy_quantile))
+    model["reference"] = written(divergences.reference_distributions(pooled(samples, s), ["sensor"], s.level))
+    own = signals.lengths(samples.where(F.col("channel") == s.reference_channel), cells, "n").withColumn("seconds", F.col("n") / F.lit(s.fs)).drop("n")
+    conditions = condition_table(samples.sparkSession, {c: CONDITIONS.get(c, 0) for c in s.conditions})  # a row a condition
+    places = own.join(F.broadcast(conditions), "condition")
+    model["vectors"] = scoring.timeline(scoring.calibrated(healthy, model["calibration"], ["sensor"]), places)
+    model["divergences"] = scoring.timeline(window_divergences(samples, model["reference"], cells, s), places)
     return model
 
 
 def fault_validation(model: dict[str, DataFrame], s: Settings = Settings(), severities: Sequence[float] = tuple(2 * i / 6 for i in range(7)), trials: int = 3, types: Sequence[str] = faults.FAULT_TYPES) -> DataFrame:
     """(sensor, fault_type, severity, trial) with mean health, raw health and divergences of the degraded base signal."""
     hurt, features = degraded_features(model["base"], s, severities, trials, types)
-    health = vectors(wide_features(features, CELL, s), model, CELL, s)
+    raw = raw_vectors(features, model, [*CELL, "window_start_sample"], s)
+    health = scoring.calibrated(raw, model["calibration"], ["sensor"])
     scores = health.groupBy(*CELL).agg(F.avg("qv_health_score").alias("mean_health_score"), F.avg("qv_health_score_raw").alias("mean_health_score_raw"))
     apart = window_divergences(hurt, model["reference"], CELL, s).groupBy(*CELL).agg(F.avg("div_mean_kl").alias("mean_div_mean_kl"), F.avg("div_mean_jsd").alias("mean_div_mean_jsd"))
     return scores.join(apart, list(CELL), "left")
@@ -226,7 +227,7 @@ def fault_validation(model: dict[str, DataFrame], s: Settings = Settings(), seve
 
 def analysis(recordings: DataFrame, s: Settings = Settings(), severities: Sequence[float] = tuple(2 * i / 6 for i in range(7)), trials: int = 3) -> dict[str, DataFrame]:
     """All results from recordings: trimmed samples, models, summaries, cross-sensor divergences, fault validation, norms."""
-    samples = _kept(samples_of_recordings(recordings, s))
+    samples = written(samples_of_recordings(recordings, s))
     model = health_models(samples, s)
     return {
         "trimmed_signals": samples, **model,

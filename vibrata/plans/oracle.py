@@ -33,20 +33,20 @@ def time_features(source: str, keys: Sequence[str], name: str) -> str:
   FROM (SELECT *, lag(x) OVER (PARTITION BY {k}, ws ORDER BY i) AS before FROM {source}) GROUP BY {k}, ws)"""
 
 
-def modwt(source: str, keys: Sequence[str], level: int, n: str, name: str) -> str:
-    """``name`` (keys, band, i, v) from (keys, i, x) whose length is the expression ``n`` over alias a."""
+def modwt(source: str, keys: Sequence[str], level: int, name: str) -> str:
+    """``name`` (keys, band, i, v) from (keys, i, x), a signal or window for each key, with the levels that its length allows."""
     k = ", ".join(keys)
     taps = ", ".join(f"({i}, {g!r}, {h!r})" for i, (g, h) in enumerate(zip(SMOOTH, DETAIL, strict=True)))
-    parts = [f"{name}_f(l, g, h) AS (VALUES {taps})", f"{name}_0 AS (SELECT {k}, i, x, count(*) OVER (PARTITION BY {k}) AS n FROM {source})"]
+    parts = [f"{name}_f(l, g, h) AS (VALUES {taps})", f"{name}_0 AS (SELECT *, least({level}, greatest(1, floor(log2(n / {len(SMOOTH) - 1}.0)))) AS lv FROM (SELECT {k}, i, x, count(*) OVER (PARTITION BY {k}) AS n FROM {source}))"]
     on = " AND ".join(f"b.{c} = a.{c}" for c in keys)
     for j in range(1, level + 1):
         stride = 1 << (j - 1)
         parts.append(
-            f"{name}_{j} AS (SELECT {', '.join('a.' + c for c in keys)}, a.i, a.n, sum(f.g * b.x) AS x, sum(f.h * b.x) AS d FROM {name}_{j - 1} a CROSS JOIN {name}_f f "
+            f"{name}_{j} AS (SELECT {', '.join('a.' + c for c in keys)}, a.i, a.n, a.lv, sum(f.g * b.x) AS x, sum(f.h * b.x) AS d FROM {name}_{j - 1} a CROSS JOIN {name}_f f "
             f"JOIN {name}_{j - 1} b ON {on} AND b.i = (a.i - {stride} * f.l + 8 * a.n) % a.n GROUP BY ALL)"
         )
-    bands = [f"SELECT {k}, 'D{j}' AS band, i, d AS v FROM {name}_{j}" for j in range(1, level + 1)]
-    parts.append(f"{name} AS ({' UNION ALL '.join(bands)} UNION ALL SELECT {k}, 'A{level}' AS band, i, x AS v FROM {name}_{level})")
+    bands = [f"SELECT {k}, 'D{j}' AS band, i, d AS v FROM {name}_{j} WHERE lv >= {j} UNION ALL SELECT {k}, 'A{j}' AS band, i, x AS v FROM {name}_{j} WHERE lv = {j}" for j in range(1, level + 1)]
+    parts.append(f"{name} AS ({' UNION ALL '.join(bands)})")
     return ",\n".join(parts)
 
 

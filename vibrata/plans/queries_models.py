@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibrata.operators import evaluation, faults, learning, scoring, signals, stability, windows
+from vibrata.operators import divergences, evaluation, faults, learning, scoring, signals, stability, windows
+from vibrata.operators.extract import FeatureExtractor
 from vibrata.plans import health, oracle as o
 from vibrata.plans.queries_windows import KEY, PLAIN_SQL
 from vibrata.plans.registry import query
-from vibrata.plans.tables import CELLS_KEYS, FS, PLAIN_NAMES, cells, events, plain_features, read, rounded, signal
+from vibrata.plans.tables import CELLS_KEYS, FS, PLAIN, PLAIN_NAMES, cells, events, plain_features, read, rounded, signal
+from vibrata.sources.scratch import shared_folder, written
 from vibrata.streaming.windows import timed_totals
 
 NAMES = ["mean", "variance", "rms", "kurtosis", "quantile_50"]
@@ -32,9 +36,6 @@ long AS (SELECT signal_id, least(rn // s, 3) AS seg, {UNPIVOT} FROM seg WHERE s
 t AS (SELECT signal_id, feature, avg(v) AS mean, stddev_samp(v) AS std, stddev_samp(v) / (abs(avg(v)) + 1e-12) AS cv FROM m GROUP BY ALL)
 SELECT signal_id, feature, {o.r('mean', 'mean')}, {o.r('std', 'std')}, {o.r('cv', 'cv')}, row_number() OVER (PARTITION BY signal_id ORDER BY cv, feature)::INTEGER AS stability_rank FROM t""")
 def j01_stability_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vibrata.operators.extract import FeatureExtractor
-    from vibrata.plans.tables import PLAIN
-
     features = FeatureExtractor(FS, PLAIN).process(signal(spark, sf_dir), KEY, 0.64, 0.32)
     return rounded(stability.over_time(features, KEY, "window_start_sample", NAMES, spread=1 << 16))
 
@@ -82,14 +83,9 @@ def j06_health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT signal_id, condition, ws AS window_start_sample, {', '.join(f'round(fa.{n}, 6) + 0.0 AS AccX_{n}, round(fb.{n}, 6) + 0.0 AS AccY_{n}' for n in PLAIN_NAMES)} FROM fa JOIN fb USING (signal_id, condition, ws)""")
 def j07_multi_channel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of two channels side by side, which meet by key and start."""
-    from vibrata.operators.extract import FeatureExtractor
-    from vibrata.plans.tables import PLAIN
-
     long = signals.long_channels(cells(spark, sf_dir), [*CELLS_KEYS, "idx"], {"AccX": "value", "AccY": "k"})
-    features = FeatureExtractor(FS, PLAIN).process(long, [*CELLS_KEYS, "channel"], 0.64, 0.32)
-    own = [*CELLS_KEYS, "window_start_sample"]
-    wide = features.groupBy(*own).agg(*(F.max(F.when(F.col("channel") == c, F.col(n))).alias(f"{c}_{n}") for c in ("AccX", "AccY") for n in PLAIN_NAMES))
-    return rounded(wide)
+    s = health.Settings(window_sec=0.64, step_sec=0.32, channels=("AccX", "AccY"), chosen_families=PLAIN)
+    return rounded(health.wide_features(health.channel_features(long, CELLS_KEYS, s), CELLS_KEYS, s).drop("window_start_sec"))
 
 
 @query(f"{LONG}, {STATS} SELECT signal_id, feature, {o.r('mean', 'mean')}, {o.r('std', 'std')} FROM st")
@@ -118,14 +114,57 @@ def j12_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.timeline(told, lengths, KEY).select(*CELLS_KEYS, "window_start_sec", "window_start_sec_global", "qv_health_score"))
 
 
-@query(f"""{VECTORS}, {CALIBRATION}, {HEALTH} SELECT signal_id, condition, {o.r('avg(health)', 'mean_health_score')}, {o.r('stddev_samp(health)', 'std_health_score')}, {o.r('avg(raw)', 'mean_health_score_raw')},
-{o.r('avg(degradation)', 'mean_div_mean_kl')}, {o.r('avg(excess)', 'mean_div_mean_jsd')} FROM hl GROUP BY ALL""")
+SHORT = health.Settings(window_sec=0.64, step_sec=0.32, level=3, channels=("AccX",), conditions=("c0", "c1", "c2"), base_conditions=("c1", "c2"), chosen_families=PLAIN)
+#: Distributions of the pooled conditions of each sensor (``ref``), and divergences of windows of cells from them (``dv``).
+POOLED = f"""pooled AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY condition, idx) - 1 AS i, value AS x FROM cells), {o.modwt('pooled', KEY, 3, 'pc')}, {o.histogram('pc', ['signal_id', 'band'], 'v', 'ref')}"""
+
+
+def _apart(source: str, keys: list[str], name: str) -> str:
+    k = ", ".join(keys)
+    return f"""{o.modwt(source, [*keys, 'ws'], 3, f'{name}_c')}, {o.histogram(f'{name}_c', [*keys, 'ws', 'band'], 'v', f'{name}_h')},
+{o.aligned(f'ref p JOIN {name}_h q ON p.signal_id = q.signal_id AND p.band = q.band', ', '.join(f'q.{c}' for c in [*keys, 'ws', 'band']), f'{name}_al')}, {o.divergences(f'{name}_al', f'{k}, ws, band', f'{name}_dv')},
+{name} AS (SELECT {k}, ws, avg(sym) AS kl, max(sym) AS worst, avg(jsd) AS jsd FROM {name}_dv GROUP BY {k}, ws)"""
+
+
+def _short_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).select(F.col("signal_id").alias("sensor"), "condition", F.lit(SHORT.channels[0]).alias("channel"), "idx", "value")
+
+
+def _reference(samples: DataFrame) -> DataFrame:
+    return written(divergences.reference_distributions(health.pooled(samples, SHORT), ["sensor"], SHORT.level))
+
+
+def _window_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _short_samples(spark, sf_dir)
+    return health.window_divergences(samples, _reference(samples), ["sensor", "condition"], SHORT).withColumnRenamed("sensor", "signal_id")
+
+
+DIVERGED = f"WITH {o.CELLS}, {o.windows('cells', CELLS_KEYS, 64, 32)}, {POOLED}, {_apart('win', CELLS_KEYS, 'ap')}"
+
+
+@query(f"""{DIVERGED}, n AS (SELECT signal_id, condition, count(*) / 100.0 AS s FROM cells GROUP BY ALL),
+b AS (SELECT signal_id, condition, coalesce(sum(s) OVER (PARTITION BY signal_id ORDER BY condition ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT signal_id, condition, {o.r('before + ws / 100.0', 'window_start_sec_global')}, {o.r('kl', 'div_mean_kl')}, {o.r('worst', 'div_max_kl')}, {o.r('jsd', 'div_mean_jsd')} FROM ap JOIN b USING (signal_id, condition)""")
+def i11_divergence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of every condition's windows from the sensor's pooled distributions, conditions one after another."""
+    lengths = signals.lengths(cells(spark, sf_dir), CELLS_KEYS).select(*CELLS_KEYS, (F.col("n") / F.lit(FS)).alias("seconds"), F.col("condition").alias("ord"))
+    told = scoring.timeline(_window_divergences(spark, sf_dir), lengths, KEY)
+    return rounded(told.select(*CELLS_KEYS, "window_start_sec_global", "div_mean_kl", "div_max_kl", "div_mean_jsd"))
+
+
+@query(f"{DIVERGED} SELECT signal_id, condition, count(*) AS n_windows, {o.r('avg(kl)', 'mean_kl')}, {o.r('max(worst)', 'max_kl')}, {o.r('avg(jsd)', 'mean_jsd')} FROM ap GROUP BY ALL")
+def i12_divergence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scoring.divergence_summary(_window_divergences(spark, sf_dir), CELLS_KEYS))
+
+
+@query(f"""{VECTORS}, {CALIBRATION}, {HEALTH}, {POOLED}, {_apart('win', CELLS_KEYS, 'ap')}, a AS (SELECT signal_id, condition, avg(kl) AS kl, avg(jsd) AS jsd FROM ap GROUP BY ALL)
+SELECT signal_id, condition, {o.r('avg(health)', 'mean_health_score')}, {o.r('stddev_samp(health)', 'std_health_score')}, {o.r('avg(raw)', 'mean_health_score_raw')},
+{o.r('any_value(kl)', 'mean_div_mean_kl')}, {o.r('any_value(jsd)', 'mean_div_mean_jsd')} FROM hl JOIN a USING (signal_id, condition) GROUP BY ALL""")
 def j15_condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary by condition; degradation and excess stand in for the two divergences, which have a query of their own."""
+    """Health scores and divergences by condition."""
     scored = _vectors(plain_features(spark, sf_dir))
     told = scoring.calibrated(scored, scoring.fit_calibration(scored, KEY), KEY)
-    apart = told.select(*CELLS_KEYS, F.col("qv_degradation_score_raw").alias("div_mean_kl"), F.col("qv_health_excess").alias("div_mean_jsd"))
-    return rounded(scoring.condition_summary(told, apart, CELLS_KEYS))
+    return rounded(scoring.condition_summary(told, _window_divergences(spark, sf_dir), CELLS_KEYS))
 
 
 @query(f"""SELECT l_returnflag, {o.r('avg(sqrt(l_quantity ** 2 + l_discount ** 2 + l_tax ** 2))', 'cal_norm')}, {o.r('avg(sqrt(l_extendedprice ** 2 + l_quantity ** 2 + l_linenumber ** 2))', 'raw_norm', 3)} FROM lineitem GROUP BY 1""")
@@ -139,28 +178,28 @@ SEVERITIES = (0.0, 0.5, 1.0, 2.0)
 POINTWISE = [f for f in faults.FAULT_TYPES if f != "bandwidth_loss"]
 
 
-def _faulted_sql() -> str:
+def _hurt_sql() -> str:
+    """``hurt`` (signal_id, fault_type, severity, idx, value) from ``sig``."""
     key, sample = ["signal_id", "fault_type", "severity"], ["signal_id", "fault_type", "severity", "idx"]
     u = "(idx / greatest(n - 1, 1))"
     sign = f"(CASE WHEN {o.uniform(42, key, 'sign')} < 0.5 THEN -1.0 ELSE 1.0 END)"
     side = f"(CASE WHEN {o.uniform(42, sample, 'side')} < 0.5 THEN -1.0 ELSE 1.0 END)"
-    return f"""WITH {o.SIGNAL}, st AS (SELECT signal_id, count(*) AS n, avg(value) AS m, stddev_pop(value) + 1e-8 AS d, greatest(max(abs(value)), stddev_pop(value) + 1e-8, 1e-8) AS scale FROM sig GROUP BY 1),
-cells AS (SELECT unnest({POINTWISE}) AS fault_type), rows AS (SELECT sig.*, n, d, scale, fault_type, severity::DOUBLE AS severity FROM sig JOIN st USING (signal_id) CROSS JOIN cells CROSS JOIN (SELECT unnest({list(SEVERITIES)}) AS severity)),
-clipped AS (SELECT *, least(greatest(value, -least(greatest(0.95 - 0.30 * severity, 0.12), 0.95) * scale), least(greatest(0.95 - 0.30 * severity, 0.12), 0.95) * scale) AS c, greatest(scale * (0.01 + 0.02 * severity), 1e-8) AS q FROM rows),
-hurt AS (SELECT signal_id, fault_type, severity, CASE fault_type
+    return f"""f_st AS (SELECT signal_id, count(*) AS n, avg(value) AS m, stddev_pop(value) + 1e-8 AS d, greatest(max(abs(value)), stddev_pop(value) + 1e-8, 1e-8) AS scale FROM sig GROUP BY 1),
+f_cells AS (SELECT unnest({POINTWISE}) AS fault_type), f_rows AS (SELECT sig.*, n, d, scale, fault_type, severity::DOUBLE AS severity FROM sig JOIN f_st USING (signal_id) CROSS JOIN f_cells CROSS JOIN (SELECT unnest({list(SEVERITIES)}) AS severity)),
+clipped AS (SELECT *, least(greatest(value, -least(greatest(0.95 - 0.30 * severity, 0.12), 0.95) * scale), least(greatest(0.95 - 0.30 * severity, 0.12), 0.95) * scale) AS c, greatest(scale * (0.01 + 0.02 * severity), 1e-8) AS q FROM f_rows),
+hurt AS (SELECT signal_id, fault_type, severity, idx, CASE fault_type
   WHEN 'noise_increase' THEN value + {o.normal(42, sample, 'noise')} * (0.5 + 2.5 * {u} ** 1.5) * d * severity
   WHEN 'bias_drift' THEN value + {sign} * 3.0 * d * severity * {u} ** 1.5
   WHEN 'spike_injection' THEN CASE WHEN {o.uniform(42, sample, 'spike')} < 0.02 * severity + 0.08 * severity * {u} THEN value + {side} * (3 + 3 * {o.uniform(42, sample, 'size')}) * d * severity ELSE value END
   WHEN 'saturation' THEN CASE WHEN severity > 0 THEN round_even(c / q, 0) * q ELSE c END
-  ELSE value * CASE WHEN {o.uniform(42, key, 'gain')} < 0.5 THEN greatest(0.1, 1 - 0.45 * severity) ELSE 1 + 1.2 * severity END END AS value FROM clipped)
-SELECT signal_id, fault_type, severity, count(*) AS n, {o.r('avg(value)', 'mean', 5)}, {o.r('stddev_pop(value)', 'std', 5)}, {o.r('min(value)', 'low', 5)}, {o.r('max(value)', 'high', 5)} FROM hurt GROUP BY ALL"""
+  ELSE value * CASE WHEN {o.uniform(42, key, 'gain')} < 0.5 THEN greatest(0.1, 1 - 0.45 * severity) ELSE 1 + 1.2 * severity END END AS value FROM clipped)"""
 
 
-@query(_faulted_sql())
+@query(f"""WITH {o.SIGNAL}, {_hurt_sql()}
+SELECT signal_id, fault_type, severity, count(*) AS n, {o.r('avg(value)', 'mean', 5)}, {o.r('stddev_pop(value)', 'std', 5)}, {o.r('min(value)', 'low', 5)}, {o.r('max(value)', 'high', 5)} FROM hurt GROUP BY ALL""")
 def j20_pointwise_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise, drift, spikes, saturation and gain at four severities; draws are hashes, so SQL can make the same."""
-    own = faults.with_cells(signal(spark, sf_dir), POINTWISE, SEVERITIES).drop("trial")
-    hurt = faults.injected(own, ["signal_id", "fault_type", "severity"], F.col("fault_type"), F.col("severity"))
+    hurt = faults.injected_cells(signal(spark, sf_dir), KEY, POINTWISE, SEVERITIES)
     told = hurt.groupBy("signal_id", "fault_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
     return rounded(told, 5)
 
@@ -293,19 +332,14 @@ def j47_sensor_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT signal_id, {o.r('stddev_pop(l) / (abs(avg(l)) + 1e-12)', 'cv_log')}, {o.r('stddev_samp(v) / (abs(avg(v)) + 1e-12)', 'cv_raw')} FROM m GROUP BY 1""")
 def b12_log_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a logarithm makes a feature calmer over conditions."""
-    features = plain_features(spark, sf_dir).withColumn("logged", F.ln(F.col("variance") + 1e-12))
-    means = features.groupBy(*CELLS_KEYS).agg(F.avg("logged").alias("l"), F.avg("variance").alias("v"))
-    cv = lambda std, c: std(c) / (F.abs(F.avg(c)) + 1e-12)
-    return rounded(means.groupBy(*KEY).agg(cv(F.stddev_pop, "l").alias("cv_log"), cv(F.stddev_samp, "v").alias("cv_raw")))
+    return rounded(stability.log_variation(plain_features(spark, sf_dir), "condition", ["variance"], KEY).drop("feature"))
 
 
 @query(f"{ACROSS} SELECT signal_id, feature, {o.r('cv', 'cv_across_conditions')} FROM rk r WHERE CASE WHEN (SELECT count(*) FROM rk c WHERE c.signal_id = r.signal_id AND c.cv <= 0.1) >= 2 THEN cv <= 0.1 ELSE stability_rank <= 3 END")
 def b10_variation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features under a variation; where too few are, the calmest ones."""
     table = stability.across_conditions(plain_features(spark, sf_dir), "condition", NAMES, KEY)
-    calm = table.where("cv_across_conditions <= 0.1").groupBy(*KEY).agg(F.count(F.lit(1)).alias("calm"))
-    judged = table.join(calm, KEY, "left").where(F.when(F.coalesce("calm", F.lit(0)) >= 2, F.col("cv_across_conditions") <= 0.1).otherwise(F.col("stability_rank") <= 3))
-    return rounded(judged.select(*KEY, "feature", "cv_across_conditions"))
+    return rounded(stability.calm(table, KEY, 0.1, 2, 3).where("fits").select(*KEY, "feature", "cv_across_conditions"))
 
 
 @query(f"SELECT n_nationkey, {o.r('2 * pi() * (n_nationkey * 10) / 60', 'omega')}, {o.r('(2 * pi() * (n_nationkey * 10) / 60) ** 2 * 0.019', 'a_c')} FROM nation")
@@ -347,12 +381,74 @@ def j14_fault_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.fault_validation(health.health_models(samples, s), s, (0.0, 1.0, 2.0), 2)
 
 
-@query(f"""WITH j AS ({_faulted_sql()}) SELECT fault_type, severity, {o.r('avg(mean)', 'avg_mean_health_score', 4)}, {o.r('stddev_samp(mean)', 'std_mean_health_score', 4)},
-{o.r('avg(std)', 'avg_mean_div_mean_kl', 4)}, {o.r('stddev_samp(std)', 'std_mean_div_mean_kl', 4)} FROM j GROUP BY ALL""")
+CELL = ["signal_id", "fault_type", "severity"]
+
+
+@query(f"""{VECTORS}, {CALIBRATION}, {o.SIGNAL}, {_hurt_sql()}, {o.windows('hurt', CELL, 64, 32, 'hw')}, {o.time_features('hw', CELL, 'hf')},
+hlong AS (SELECT signal_id, fault_type, severity, ws, {UNPIVOT} FROM hf),
+hqv AS (SELECT signal_id, fault_type, severity, ws, avg(abs((value - mean) / std)) AS raw FROM hlong JOIN st USING (signal_id, feature) JOIN pick USING (signal_id, feature) GROUP BY ALL),
+hh AS (SELECT signal_id, fault_type, severity, avg(1 / (1 + greatest(raw - threshold, 0) / scale)) AS health FROM hqv JOIN cal USING (signal_id) GROUP BY ALL),
+{POOLED}, {_apart('hw', CELL, 'ap')}, hk AS (SELECT signal_id, fault_type, severity, avg(kl) AS kl FROM ap GROUP BY ALL)
+SELECT fault_type, severity, {o.r('avg(health)', 'avg_mean_health_score')}, {o.r('stddev_samp(health)', 'std_mean_health_score')}, {o.r('avg(kl)', 'avg_mean_div_mean_kl')}, {o.r('stddev_samp(kl)', 'std_mean_div_mean_kl')}
+FROM hh JOIN hk USING (signal_id, fault_type, severity) GROUP BY ALL""")
 def j18_severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary by severity; level and spread of faulted signals stand in for health and divergence."""
-    results = j20_pointwise_faults(spark, sf_dir).select("fault_type", "severity", F.col("mean").alias("mean_health_score"), F.col("std").alias("mean_div_mean_kl"))
-    return rounded(scoring.severity_summary(results, ["fault_type", "severity"]), 4)
+    """Health and divergence of all signals under pointwise faults, by severity, against the healthy cells' calibration."""
+    healthy = plain_features(spark, sf_dir)
+    selection, stats = _selection(healthy), stability.reference_stats(healthy, NAMES, KEY)
+    calibration = scoring.fit_calibration(_vectors(healthy), KEY)
+    hurt = written(faults.injected_cells(signal(spark, sf_dir), KEY, POINTWISE, SEVERITIES))
+    features = FeatureExtractor(FS, PLAIN).process(hurt, CELL, 0.64, 0.32)
+    scored = scoring.calibrated(scoring.quality_vectors(features, NAMES, selection, stats, KEY, CELL), calibration, KEY)
+    scores = scored.groupBy(*CELL).agg(F.avg("qv_health_score").alias("mean_health_score"))
+    sensors = hurt.withColumnRenamed("signal_id", "sensor").withColumn("channel", F.lit(SHORT.channels[0]))
+    apart = health.window_divergences(sensors, _reference(_short_samples(spark, sf_dir)), ["sensor", *CELL[1:]], SHORT)
+    apart = apart.withColumnRenamed("sensor", "signal_id").groupBy(*CELL).agg(F.avg("div_mean_kl").alias("mean_div_mean_kl"))
+    return rounded(scoring.severity_summary(scores.join(apart, CELL), ["fault_type", "severity"]))
+
+
+@query(f"""WITH {o.SIGNAL}, st AS (SELECT signal_id, count(*) AS n, avg(value) AS m, stddev_pop(value) + 1e-8 AS d, stddev_pop(value) AS s FROM sig GROUP BY 1)
+SELECT signal_id, idx, {o.r("least(greatest(value, m - greatest(2.0 - 1.2, 0.3) * d), m + greatest(2.0 - 1.2, 0.3) * d)", 'saturated')},
+{o.r(f"(value - m) * CASE WHEN {o.uniform(42, ['signal_id'], 'gain')} < 0.5 THEN greatest(0.2, 1 - 0.6) ELSE 1.8 END + m", 'gained')},
+{o.r(f"value + {o.normal(42, ['signal_id', 'idx'], 'noise')} * 0.5 * s", 'noisy')} FROM sig JOIN st USING (signal_id)""")
+def j26_j28_older_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rules of saturation and gain, about the mean, and noise in deviations of the signal."""
+    own = signal(spark, sf_dir)
+    of = lambda fault, name: faults.injected(own, KEY, F.lit(fault), F.lit(1.0), older=True).withColumnRenamed("value", name)
+    noisy = faults.added_noise(own, KEY, 0.5).withColumnRenamed("value", "noisy")
+    return rounded(of("saturation", "saturated").join(of("gain_change", "gained"), [*KEY, "idx"]).join(noisy, [*KEY, "idx"]))
+
+
+@query(f"""{LONG}, {STATS}, v AS (SELECT unnest(['level', 'level', 'shape']) AS vector, unnest(['mean', 'rms', 'kurtosis']) AS feature)
+SELECT vector, signal_id, condition, {o.r('avg(score)', 'mean_health_score')} FROM (
+  SELECT vector, signal_id, condition, ws, avg(abs((value - mean) / std)) AS score FROM long JOIN st USING (signal_id, feature) JOIN v USING (feature) GROUP BY ALL) GROUP BY ALL""")
+def j48_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of different features compared over conditions."""
+    features = plain_features(spark, sf_dir)
+    return rounded(scoring.composition(features, NAMES, {"level": ["mean", "rms"], "shape": ["kurtosis"]}, features, ["condition"], KEY))
+
+
+@query(f"""WITH {o.CELLS}, {o.windows('cells', CELLS_KEYS, 128, 64)}, w AS (SELECT DISTINCT signal_id, condition, ws FROM win),
+k AS (SELECT condition, row_number() OVER (ORDER BY condition) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT condition FROM cells))
+SELECT signal_id, condition, ws AS window_start_sample, CASE WHEN k < floor(0.7 * n + 1e-9) THEN 'train' WHEN k < floor(0.85 * n + 1e-9) THEN 'val' ELSE 'test' END AS split,
+({o.uniform(42, ['signal_id', 'condition', 'ws'], 'degraded')} < 0.5)::INTEGER AS label, 128::BIGINT AS n FROM w JOIN k USING (condition)""")
+def j41_window_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows split by subject (here condition), half of them degraded, scaled by the healthy training windows."""
+    cut = written(windows.sliding(cells(spark, sf_dir), CELLS_KEYS, 128, 64))
+    split = learning.subject_splits(cut, "condition")
+    mixed = written(learning.degraded_share(split, [*CELLS_KEYS, "window_start_sample"]))
+    scaled = learning.scaled_windows(mixed, mixed.where("split = 'train' AND label = 0"))
+    return scaled.select(*CELLS_KEYS, "window_start_sample", "split", "label", F.size("value").cast("long").alias("n"))
+
+
+@query()
+def j35_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor that is fitted, saved, loaded and asked about every signal and condition."""
+    samples = cells(spark, sf_dir)
+    features = written(FeatureExtractor(FS, PLAIN).process(samples, CELLS_KEYS, 2.0, 1.0))
+    model = learning.fit_modality(features, PLAIN.names(200, FS), "signal_id", trees=20, depth=5)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    learning.ModalityPredictor(model, tuple(PLAIN.names(200, FS)), PLAIN).save(path)
+    return learning.ModalityPredictor.load(path, PLAIN).predict(samples, CELLS_KEYS, FS).select(*CELLS_KEYS, "modality", "confidence", "n_windows", "error")
 
 
 @query()

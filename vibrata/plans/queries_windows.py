@@ -53,7 +53,19 @@ def a06_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tables.shl_motion(lines).select("timestamp", "accel_x", "accel_y")
 
 
-@query()
+NOISE = f"""draws AS (SELECT kind, c AS channel, i AS idx, CASE kind WHEN 'white' THEN {o.normal(42, ['c', 'i'], 'white')} ELSE {o.normal(42, ['c', 'i'], 'brown')} END AS d
+  FROM (SELECT unnest(['white', 'brown']) AS kind) CROSS JOIN range(2) a(c) CROSS JOIN range(4096) b(i)),
+raw AS (SELECT kind, channel, idx, CASE kind WHEN 'white' THEN d ELSE sum(d) OVER (PARTITION BY kind, channel ORDER BY idx) END AS v FROM draws)"""
+
+
+@query(f"WITH {NOISE} SELECT kind, channel::INTEGER AS channel, idx, {o.r('(v - avg(v) OVER w) / stddev_pop(v) OVER w * 2.0 + 1.5', 'value')} FROM raw WINDOW w AS (PARTITION BY kind, channel)")
+def a11_drawn_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White and brown noise, sample by sample."""
+    made = [synthetic.noise(spark, 4096, 2, 1.5, 2.0, kind).withColumn("kind", F.lit(kind)) for kind in ("white", "brown")]
+    return rounded(made[0].unionByName(made[1]))
+
+
+@query("SELECT unnest(['white', 'brown', 'pink']) AS kind, channel, 1.5::DOUBLE AS mean, 2.0::DOUBLE AS std, 4096::BIGINT AS n FROM (SELECT unnest([0, 1])::INTEGER AS channel)")
 def a11_synthetic_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of the three kinds of noise; they are what was asked for."""
     made = None
@@ -152,7 +164,8 @@ def c03_stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cut.select(*KEY, "window", "window_start_sample", F.size("value").cast("long").alias("n"), (F.aggregate("value", F.lit(0.0), lambda s, x: s + x) / 50).alias("mean")))
 
 
-@query()
+@query(f"""WITH {o.SIGNAL}, n AS (SELECT signal_id, count(*) AS n FROM sig GROUP BY 1)
+SELECT signal_id, w::INTEGER AS "window", floor({o.uniform(42, ['signal_id', 'w'], 'start')} * (n - 49))::BIGINT AS window_start_sample, 50 AS n FROM n CROSS JOIN range(20) t(w) WHERE n >= 50""")
 def c03_random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = signal(spark, sf_dir)
     return windows.at_starts(own, windows.random_starts(own, KEY, 50, 20), KEY, 50).select(*KEY, "window", "window_start_sample", F.size("value").alias("n"))
@@ -230,7 +243,7 @@ def e02_spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*KEY, "window_start_sample", *(F.col(f"`{n}`").alias(n.replace(".", "_")) for n in names)))
 
 
-EMB = f"WITH emb AS (SELECT vec_id, p.i - 1 AS i, embedding[p.i]::DOUBLE AS x FROM embeddings CROSS JOIN range(1, 65) p(i)), {o.modwt('emb', ['vec_id'], 3, '64', 'coef')}"
+EMB = f"WITH emb AS (SELECT vec_id, p.i - 1 AS i, embedding[p.i]::DOUBLE AS x FROM embeddings CROSS JOIN range(1, 65) p(i)), {o.modwt('emb', ['vec_id'], 3, 'coef')}"
 STATS = """stats AS (SELECT vec_id, band, energy, variance, rms, -sum(q * log2(q)) AS entropy, CASE WHEN sqrt(variance) < 1e-12 THEN 0 ELSE kurt END AS kurtosis FROM (
   SELECT c.vec_id, c.band, energy, variance, rms, kurt, greatest(v * v / (energy + 1e-12), 1e-12) AS q FROM coef c
   JOIN (SELECT vec_id, band, sum(v * v) AS energy, var_pop(v) AS variance, sqrt(avg(v * v)) AS rms, kurtosis_pop(v) AS kurt FROM coef GROUP BY ALL) USING (vec_id, band)) GROUP BY ALL)"""
@@ -287,6 +300,28 @@ def h01_allan_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*KEY, "window_start_sample", *(F.col(f"`adev_{m / FS:.2f}s`").alias(f"adev_{m}") for m in MS), "adev_slope"))
 
 
+@query(f"""WITH emb AS (SELECT vec_id, 0 AS ws, p.i - 1 AS i, embedding[p.i]::DOUBLE AS x FROM embeddings CROSS JOIN range(1, 65) p(i)), {o.time_features('emb', ['vec_id'], 'feat')}
+SELECT vec_id, {', '.join(o.r(n, n) for n in PLAIN_NAMES)} FROM feat""")
+def c09_whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of vectors as whole signals, without windowing."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("value"))
+    return rounded(FeatureExtractor(FS, PLAIN).process_whole(rows, 64))
+
+
+TWENTY = allan.default_taus(1000, FS, 20)
+MS20 = allan.strides(TWENTY, 1000, FS)
+
+
+@query(f"""WITH {o.SIGNAL}, {o.windows('sig', KEY, 1000, 1000)}, ph AS (SELECT signal_id, ws, i + 1 AS j, sum(x) OVER (PARTITION BY signal_id, ws ORDER BY i) / 100.0 AS p FROM win UNION ALL SELECT DISTINCT signal_id, ws, 0, 0.0 FROM win)
+SELECT a.signal_id, a.ws AS window_start_sample, {o.r('m / 100.0', 'tau')}, {o.r('sqrt(avg((c.p - 2 * b.p + a.p) ** 2) / (2 * (m / 100.0) ** 2))', 'adev')}
+FROM (SELECT *, unnest({MS20}) AS m FROM ph) a JOIN ph b ON b.signal_id = a.signal_id AND b.ws = a.ws AND b.j = a.j + m JOIN ph c ON c.signal_id = a.signal_id AND c.ws = a.ws AND c.j = a.j + 2 * m GROUP BY a.signal_id, a.ws, m""")
+def h02_twenty_taus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allan deviations of windows of ten seconds at twenty taus."""
+    cut = windows.sliding(signal(spark, sf_dir), KEY, 1000, 1000)
+    told = cut.select(*KEY, "window_start_sample", F.explode(allan.allan_deviation(F.col("value"), FS, TWENTY)).alias("a"))
+    return rounded(told.select(*KEY, "window_start_sample", "a.tau", "a.adev"))
+
+
 @query()
 def c10_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All families at the default settings, Allan deviation included; each is checked by a query of its own."""
@@ -294,7 +329,10 @@ def c10_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(f"`{c}`").alias(c.replace(".", "_")) for c in out.columns))
 
 
-@query()
+@query(f"""WITH {o.SIGNAL}, base AS (SELECT signal_id, idx AS i, value AS x FROM sig WHERE signal_id = 'view'), {o.modwt('base', KEY, 5, 'coef')}, {o.histogram('coef', ['signal_id', 'band'], 'v', 'h')},
+{o.windows('sig', KEY, 300, 150)}, {o.modwt('win', ['signal_id', 'ws'], 5, 'wc')}, {o.histogram('wc', ['signal_id', 'ws', 'band'], 'v', 'wh')},
+{o.aligned('h p JOIN wh q ON p.band = q.band', 'q.signal_id, q.ws, q.band', 'al')}, {o.divergences('al', 'signal_id, ws, band', 'dv')}
+SELECT signal_id, ws AS window_start_sample, {o.r('avg(sym)', 'div_mean_kl')}, {o.r('max(sym)', 'div_max_kl')}, {o.r('avg(jsd)', 'div_mean_jsd')} FROM dv GROUP BY signal_id, ws""")
 def i08_divergence_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with divergences from one reference through the extractor."""
     from vibrata.operators.divergences import reference_distributions
@@ -302,7 +340,8 @@ def i08_divergence_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = signal(spark, sf_dir)
     reference = reference_distributions(own.where("signal_id = 'view'"), KEY).drop("signal_id")
     families = Families(spectrum=False, allan=False, wavelet_level=5, signal_quality=False, divergence=True)
-    return FeatureExtractor(FS, families).process(own, KEY, 3.0, 1.5, reference=reference).select(*KEY, "window_start_sample", "div_mean_kl", "div_max_kl", "div_mean_jsd")
+    out = FeatureExtractor(FS, families).process(own, KEY, 3.0, 1.5, reference=reference)
+    return rounded(out.select(*KEY, "window_start_sample", "div_mean_kl", "div_max_kl", "div_mean_jsd"))
 
 
 @query(f"""WITH {o.SIGNAL}, {o.histogram('sig', KEY, 'value', 'h')} SELECT signal_id, b - 1 AS bin, {o.r('cs[b]', 'center')}, {o.r('ps[b]', 'prob', 9)} FROM (SELECT *, unnest(range(1, 51))::INTEGER AS b FROM h)""")
@@ -340,7 +379,7 @@ def i03_i06_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(met.select("sensor_a", "sensor_b", divergence.kl(p, q).alias("kl"), divergence.symmetric_kl(p, q).alias("symmetric_kl"), divergence.jensen_shannon(p, q).alias("jsd")))
 
 
-LONG = f"WITH {o.SIGNAL}, base AS (SELECT signal_id, idx AS i, value AS x FROM sig WHERE signal_id IN (SELECT signal_id FROM sig GROUP BY 1 HAVING count(*) >= 224)), {o.modwt('base', KEY, 5, 'n', 'coef')}"
+LONG = f"WITH {o.SIGNAL}, base AS (SELECT signal_id, idx AS i, value AS x FROM sig WHERE signal_id IN (SELECT signal_id FROM sig GROUP BY 1 HAVING count(*) >= {wavelet.LEAST})), {o.modwt('base', KEY, 5, 'coef')}"
 
 
 @query(f"{LONG} SELECT signal_id, band, i AS idx, {o.r('v', 'coef')} FROM coef")
@@ -348,9 +387,8 @@ def f01_long_modwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform of whole signals, block by block."""
     from vibrata.operators.divergences import long_modwt
 
-    own = signal(spark, sf_dir)
-    enough = own.join(signals.lengths(own, KEY).where("n >= 224").drop("n"), KEY, "left_semi")
-    return rounded(long_modwt(enough, KEY, 5, block=512).select(*KEY, "band", "idx", "coef"))
+    own = signals.with_length(signal(spark, sf_dir), KEY, "n").where(F.col("n") >= wavelet.LEAST).drop("n")
+    return rounded(long_modwt(own, KEY, 5, block=512).select(*KEY, "band", "idx", "coef"))
 
 
 @query(f"{LONG}, {o.histogram('coef', ['signal_id', 'band'], 'v', 'h')} SELECT signal_id, band, {o.r('c0', 'first_center')}, {o.r('c1', 'last_center')}, {o.r('list_max(ps)', 'largest', 9)}, {o.r('list_sum(list_transform(ps, lambda p: p * ln(p)))', 'information', 9)} FROM h")
@@ -358,13 +396,12 @@ def i07_reference_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vibrata.operators.divergences import reference_distributions
 
     own = signal(spark, sf_dir)
-    enough = own.join(signals.lengths(own, KEY).where("n >= 224").drop("n"), KEY, "left_semi")
-    found = reference_distributions(enough, KEY)
+    found = reference_distributions(own, KEY)
     told = found.select(*KEY, "band", F.get("centers", 0).alias("first_center"), F.element_at("centers", -1).alias("last_center"), F.array_max("probs").alias("largest"), F.aggregate("probs", F.lit(0.0), lambda s, p: s + p * F.ln(p)).alias("information"))
     return told.select(*KEY, "band", *((F.round(c, d) + 0.0).alias(c) for c, d in (("first_center", 6), ("last_center", 6), ("largest", 9), ("information", 9))))
 
 
-@query(f"""{LONG}, {o.histogram('coef', ['signal_id', 'band'], 'v', 'h')}, {o.windows('sig', KEY, 300, 150)}, {o.modwt('win', ['signal_id', 'ws'], 5, 'n', 'wc')}, {o.histogram('wc', ['signal_id', 'ws', 'band'], 'v', 'wh')},
+@query(f"""{LONG}, {o.histogram('coef', ['signal_id', 'band'], 'v', 'h')}, {o.windows('sig', KEY, 300, 150)}, {o.modwt('win', ['signal_id', 'ws'], 5, 'wc')}, {o.histogram('wc', ['signal_id', 'ws', 'band'], 'v', 'wh')},
 {o.aligned('h p JOIN wh q ON p.signal_id = q.signal_id AND p.band = q.band', 'q.signal_id, q.ws, q.band', 'al')}, {o.divergences('al', 'signal_id, ws, band', 'dv')}
 SELECT signal_id, ws AS window_start_sample, {o.r('avg(sym)', 'div_mean_kl')}, {o.r('max(sym)', 'div_max_kl')}, {o.r('avg(jsd)', 'div_mean_jsd')},
   {', '.join(o.r(f"max(CASE band WHEN '{b}' THEN sym END)", f'div_{n}_kl') for b, n in (('D1', 'd1'), ('D5', 'd5'), ('A5', 'a')))} FROM dv GROUP BY signal_id, ws""")
@@ -373,9 +410,8 @@ def i08_window_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vibrata.operators.divergences import band_columns, reference_distributions, with_window_divergence
 
     own = signal(spark, sf_dir)
-    enough = own.join(signals.lengths(own, KEY).where("n >= 224").drop("n"), KEY, "left_semi")
-    cut = windows.sliding(enough, KEY, 300, 150)
-    told = band_columns(with_window_divergence(cut, reference_distributions(enough, KEY), keys=KEY))
+    cut = windows.sliding(own, KEY, 300, 150)
+    told = band_columns(with_window_divergence(cut, reference_distributions(own, KEY), keys=KEY))
     return rounded(told.select(*KEY, "window_start_sample", "div_mean_kl", "div_max_kl", "div_mean_jsd", "div_d1_kl", "div_d5_kl", "div_a_kl"))
 
 
@@ -385,7 +421,6 @@ def i09_cross_sensor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vibrata.operators.divergences import cross_matrix, reference_distributions
 
     own = signal(spark, sf_dir)
-    enough = own.join(signals.lengths(own, KEY).where("n >= 224").drop("n"), KEY, "left_semi")
-    return rounded(cross_matrix(reference_distributions(enough, KEY), "signal_id"))
+    return rounded(cross_matrix(reference_distributions(own, KEY), "signal_id"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibrata.operators.extract import Families, FeatureExtractor
 from vibrata.operators.signals import indexed
+from vibrata.sources.scratch import written
 
 FS = 100.0
 CELLS_KEYS = ["signal_id", "condition"]
@@ -28,18 +28,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, idx, value), persisted, as many a query reads it more than once."""
-    return indexed(events(spark, sf_dir).select("signal_id", "ts", "value"), ["signal_id"], "ts", WEEK).select("signal_id", "idx", "value").persist(StorageLevel.MEMORY_AND_DISK)
+    """(signal_id, idx, value)."""
+    return indexed(events(spark, sf_dir).select("signal_id", "ts", "value"), ["signal_id"], "ts", WEEK).select("signal_id", "idx", "value")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(signal_id, condition, idx, value, k), numbered inside each cell."""
-    return indexed(events(spark, sf_dir), ["signal_id", "condition"], "ts", WEEK).drop("ts").persist(StorageLevel.MEMORY_AND_DISK)
+    return indexed(events(spark, sf_dir), ["signal_id", "condition"], "ts", WEEK).drop("ts")
 
 
 def plain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, condition, window_start_sample, window_start_sec, plain features) of windows of 64 samples every 32."""
-    return FeatureExtractor(FS, PLAIN).process(cells(spark, sf_dir), ["signal_id", "condition"], 0.64, 0.32)
+    """(signal_id, condition, window_start_sample, window_start_sec, plain features) of windows of 64 samples every 32.
+
+    Written once, as what is done with feature tables reads them several times.
+    """
+    return written(FeatureExtractor(FS, PLAIN).process(cells(spark, sf_dir), ["signal_id", "condition"], 0.64, 0.32))
 
 
 def rounded(table: DataFrame, digits: int = 6) -> DataFrame:

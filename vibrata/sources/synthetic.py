@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibrata.operators.faults import normal
+from vibrata.functions.draws import normal
 from vibrata.operators.running import totals_before
 
 KINDS = ("white", "brown", "pink")

@@ -1,6 +1,6 @@
 """Sensor recordings in text files as DataFrames: whitespace columns by position, CSV and Parquet by name.
 
-Lines are split by Spark's text reader and stay JVM expressions; nothing is read on the driver. Row numbers, where a
+Lines are split by Spark's text reader and stay JVM expressions. Row numbers, where a
 format needs them, come with the file's name, as a file is one recording.
 """
 
@@ -11,8 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from vibrata.operators.joins import looked_up
 from vibrata.operators.signals import nan_to_null
+from vibrata.sources.scratch import written
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -94,15 +97,20 @@ def flattened_rows(rows: DataFrame, keys: Sequence[str], row: str, values: str,
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row, value) with rows numbered from 0 within one file, by its byte order."""
-    from pyspark.sql.window import Window
-
-    read = lines(spark, path).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("line_no"))
-    counts = read.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split of a file
-    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    return read.withColumn("__i", inside).join(F.broadcast(starts), "__part").select((F.col("__before") + F.col("__i") - 1).alias("row"), "value")
+    """(row, value) with rows numbered from 0 within one file, in its order.
+
+    ``line_no`` rises with the place in the file. The lines are written once with it, as they are read both for the counts
+    and for the rows, and then numbered in stretches.
+    """
+    read = written(lines(spark, path).select("line_no", "value"))
+    # The upper part of a line's number is the split that it was read from, the lower one its place there.
+    split = F.shiftright("line_no", 33).alias("__split")
+    counts = read.groupBy(split).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split of a file
+    starts = counts.select("__split", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__split").orderBy("line_no"))
+    placed = looked_up(read.withColumn("__split", split).withColumn("__i", inside), starts, ["__split"])
+    return placed.select((F.col("__before") + F.col("__i") - 1).alias("row"), "value")
 
 
 def uci_har(spark: SparkSession, directory: str, split: str = "train", signals: Sequence[str] = HAR_SIGNALS) -> DataFrame:
