@@ -107,8 +107,6 @@ def test_simhash_of_odd_rows(spark, clashing):
     table = documents(spark, ODD, clashing)
     got = [tuple(r) for r in simhash.simhash_near_dedup(table).collect()]
     assert sorted(got, key=by_row) == sorted(want, key=by_row)
-    kept = simhash.near_deduplicated(table)
-    assert kept.columns == table.columns and kept.count() == len({c for _, _, c in want})
     assert simhash.simhash_near_dedup(documents(spark, [])).count() == 0
 
 
@@ -151,3 +149,122 @@ def test_components_of_chains_and_cycles(spark):
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def sets_of(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similar_components(rows):
+    """(doc_id, text) -> lists of the places of rows that similarities of 0.8 or more connect, over all pairs."""
+    sets, root = [sets_of(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            a, b = sets[i], sets[j]
+            if len(b) >= 0.8 * len(a) and (a == b or a and b and len(a & b) >= 0.8 * len(a | b)):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return list(groups.values())
+
+
+def varied(n=60, length=120, seed=5):
+    """Texts and copies of each with single words changed, from very alike to not alike."""
+    import random
+
+    draw = random.Random(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{draw.randrange(5000)}" for _ in range(length)]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 6):
+            changed = list(words)
+            for place in draw.sample(range(length), c):
+                changed[place] = f"x{draw.randrange(5000)}"
+            rows.append((10 * k + c, " ".join(changed)))
+    return rows
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rows = varied()
+    kept = {r.doc_id for r in simhash.near_deduplicated(documents(spark, rows)).collect()}
+    groups = [{rows[i][0] for i in g} for g in similar_components(rows)]
+    # Of texts whose similarity is exactly decided none is lost wrongly, and few groups keep a second one.
+    assert all(g & kept for g in groups) and len(kept) - len(groups) < 0.1 * len(rows)
+    assert sum(min(g) in kept for g in groups) == len(groups)
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_near_deduplication_of_odd_rows(spark, clashing):
+    table = documents(spark, ODD, clashing)
+    if clashing:
+        table = table.withColumn("__row", F.lit("x")).withColumn("fp", F.lit(1.5)).withColumn("raw_text", F.lit(None).cast("string"))
+    kept = simhash.near_deduplicated(table)
+    got = kept.collect()
+    groups = similar_components(ODD)
+    assert kept.columns == table.columns and len(got) == len(groups)
+    want = {min((ODD[i][0] for i in g if ODD[i][0] is not None), default=None) for g in groups}
+    assert {r.doc_id for r in got} == want
+    if clashing:
+        assert all(r["__row"] == "x" and r.fp == 1.5 and r["row"] == "clash" for r in got)
+    assert simhash.near_deduplicated(documents(spark, [])).count() == 0
+
+
+def test_small_blocks_of_owners_find_the_same_links(spark):
+    import numpy as np
+
+    fps = [simhash.signed(simhash.majority([simhash.shingle_hashes(t.encode(), 5)])) for _, t in varied(30)]
+    table = spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp long")
+    parts = simhash.plan(np.array(sorted(set(fps)), np.int64), 12, 10**6)
+    assert sum(t + 1 for _, t in parts) == 13
+    distinct = sorted(set(fps))
+    want = defaultdict(set)
+    roots = {f: f for f in distinct}
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 12:
+                roots[find(a)] = find(b)
+    for f in distinct:
+        want[find(f)].add(f)
+    for block in (4, 1 << 15):
+        linked = simhash.candidate_links(table, 12, parts, block)
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 12 for r in linked.collect())
+        got = defaultdict(set)
+        named = {r.node: r.root for r in components.components(linked, "a", "b").collect()}
+        for f in distinct:
+            got[named.get(f, f)].add(f)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_spanning_forests_are_the_lightest():
+    import numpy as np
+
+    edges = np.array([[1, 2], [2, 3], [1, 3], [7, 8]], np.uint64)
+    assert {tuple(edges[i].tolist()) for i in simhash.spanning(edges, np.array([3, 1, 2, 9]))} == {(2, 3), (1, 3), (7, 8)}
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.deduplicated, simhash.near_deduplicated])
+def test_rows_that_come_out_of_a_shuffle(spark, operator):
+    """The same documents stay however they come and whichever columns are read."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in operator(table).collect())
+    for k in (3, 7):
+        mixed = table.repartition(k).withColumn("noise", F.rand()).sort("noise").drop("noise")
+        found = operator(mixed)
+        assert found.count() == len(want) and sorted(r.doc_id for r in found.select("doc_id").collect()) == want
+        assert sorted(r.doc_id for r in found.collect()) == want

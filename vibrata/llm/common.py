@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vibrata.sources.scratch import shared_folder
+
 #: Words are maximal runs of other characters than these; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,21 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's folder for checkpoints, below the one that the cluster names.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's folder; partitions stay as they are."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Only a session that names none, as in tests, gets a temporary folder.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names`` with so many underscores before them that no column of ``taken`` has them, in any case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def fields(documents: DataFrame, names: list[str]) -> str:
+    """DDL of some of a table's columns."""
+    return ", ".join(f"`{n}` {documents.schema[n].dataType.simpleString()}" for n in names)
 
 
 def id_remainder(doc_id: str | Column, divisor: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import checkpointed
+from vibrata.sources.scratch import removed, written
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the edges: root is the component's least node. Loops and copies don't matter.
 
-    Each round writes its edges to the checkpoint folder, so a lost executor costs one round at most. The rounds stop
-    when every node hangs on a node that hangs on none; their number grows with the logarithm of a component's width.
+    Each round writes its edges to the shared folder and removes those of the round before, so a lost executor costs one
+    round at most. The rounds stop when every node hangs on a node that hangs on none; their number grows with the
+    logarithm of a component's width.
     """
-    now = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
         # Stars already: every upper end has one lower end, and no lower end is an upper one.
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)))
+        removed(now.sparkSession, before)
         tops = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         roots = now.select(F.col("v").alias("u")).distinct()
         if tops.where("n > 1").isEmpty() and tops.join(roots, "u", "left_semi").isEmpty():

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import checkpointed
+from vibrata.llm.common import quoted
+from vibrata.sources.scratch import written
 
 #: A chunk ends with a stop or line end before white space, from the shortest length on, or at the longest.
 SHORTEST, LONGEST = 512, 4096
@@ -60,18 +61,18 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical; null counts as empty. The row with the largest id of a group stays, null ids being
     the smallest; of repeated rows with that id the last in the order of the scan stays, so one of a group always does.
-    An empty table gives an empty result; columns other than the two named are ignored. ``__row`` numbers the rows of
-    the scan; it is the same whenever the same files are scanned again.
+    An empty table gives an empty result; columns other than the two named are ignored. ``__row`` is a number that the
+    rows got once, when their recipes were written.
     """
     key = verified_key(documents, text_col, keys)
     text = _text(text_col)
-    rows = checkpointed(
+    rows = written(
         documents.select(
             F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), recipe(text, key).alias("__recipe"),
             F.sha2(text.cast("binary"), 256).alias("text_sha256"),
         )
     )
-    best = checkpointed(rows.groupBy("__recipe").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("group_size")))
+    best = written(rows.groupBy("__recipe").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("group_size")))
     # The grouped side has one row per recipe and is written first, so that the join's two sides are plain exchanges: the
     # adaptive planner can then split a hot recipe's rows over several tasks.
     return rows.join(best, "__recipe").select(
@@ -80,11 +81,17 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = groups(documents, id_col, text_col).where("kept").select("__row")
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*documents.columns)
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[Callable[[Column], Column], ...] = KEYS) -> DataFrame:
+    """The rows that stay, with all their columns: of each group of equal texts the one with the largest id.
+
+    Null texts count as empty, null ids as the smallest; of repeated rows with the largest id one stays, whichever. An
+    empty table gives an empty result. Rows are not numbered: tasks combine the rows of a recipe before the shuffle, so a
+    group of any size reaches the next task as a row for each task, and the result doesn't hang on the order of rows.
+    """
+    key = verified_key(documents, text_col, keys)
+    rows = documents.select(recipe(_text(text_col), key).alias("recipe"), F.struct(F.col(id_col)).alias("id"), F.struct(*quoted(documents.columns)).alias("row"))
+    best = rows.groupBy("recipe").agg(F.max_by("row", "id").alias("row"))
+    return best.select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def exact_dedup(documents: DataFrame) -> DataFrame:

@@ -16,33 +16,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import binaries, carried, checkpointed
+from vibrata.llm.common import binaries, carried, fields, quoted, unused
 from vibrata.llm.components import components
+from vibrata.operators.joins import looked_up
+from vibrata.sources.scratch import written
 
 BITS = 64
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated; the results don't depend on it
-PROBE_COST, VERIFY_COST = 1.0, 0.03  # of one probe row and one verification, relative
+PROBE_COST, VERIFY_COST = 1.0, 0.002  # of one probe row and one verification, relative
+OWNERS = 1 << 15  # fingerprints of a key that one task compares its visitors with
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """Majority of the bits of the shingles' hashes; a text without words gives 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def digests(words: list[bytes], shingle: int, seed: int = 42):
+    """Hashes of the shingles of some words, repeats included, in blocks that bound the memory of very long texts."""
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        if words:
+            yield np.array([digest(joined, seed)], np.uint64)
+        return
     starts = np.zeros(len(words), np.int64)
     np.cumsum(np.fromiter(map(len, words[:-1]), np.int64, len(words) - 1) + 1, out=starts[1:])
     ends = np.append(starts[1:] - 1, len(joined))[shingle - 1 :].tolist()
-    total, n = np.zeros(BITS, np.int64), len(ends)
     starts = starts.tolist()
-    for lo in range(0, n, 1 << 15):  # blocks bound the memory of very long texts
-        block = [digest(joined[s:e], seed) for s, e in zip(starts[lo : lo + (1 << 15)], ends[lo : lo + (1 << 15)], strict=False)]
-        total += np.unpackbits(np.array(block, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    for lo in range(0, len(ends), 1 << 15):
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[lo : lo + (1 << 15)], ends[lo : lo + (1 << 15)], strict=False)], np.uint64)
+
+
+def majority(blocks) -> int:
+    """The bits that are set in over half of some hashes; of none, 0."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for block in blocks:
+        total += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(block)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    """Majority of the bits of the shingles' hashes; a text without words gives 0."""
+    return majority(digests(text.lower().split(), shingle, seed))
+
+
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``__row``, id and ``fp`` (the fingerprint as a signed long) of every row, in one narrow pass over whole texts."""
 
@@ -122,7 +136,7 @@ def plan(sample: np.ndarray, tau: int, n: int) -> list[tuple[list[int], int]]:
     """Parts and thresholds of the least estimated cost, over several numbers of parts."""
     bits = bit_matrix(sample)
     options = []
-    for count in range(max(2, (tau + 2) // 2), tau + 2):
+    for count in range(max(2, (tau + 4) // 4), tau + 2):
         parts = correlated_parts(bits, count)
         thresholds, cost = allotted(bits, parts, tau, n)
         options.append((cost, count, [(p, t) for p, t in zip(parts, thresholds, strict=True) if t >= 0]))
@@ -244,26 +258,193 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the component's smallest id, the first of repeated ones. An empty table gives an empty result; columns other than
     the two named are ignored.
     """
-    rows = checkpointed(fingerprints(documents, id_col, text_col, shingle))
+    rows = written(fingerprints(documents, id_col, text_col, shingle))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first")
-    distinct = checkpointed(rows.groupBy("fp").agg(first))
+    distinct = written(rows.groupBy("fp").agg(first))
     n = distinct.count()
     sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     pairs = links(distinct.select("fp"), tau, plan(sample, tau, max(n, 1)))
-    member = components(checkpointed(pairs.distinct()), "a", "b")  # (node, root) of linked fingerprints only
+    member = components(written(pairs.distinct()), "a", "b")  # (node, root) of linked fingerprints only
     rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Written first, so that the join's two sides are plain exchanges and the fingerprints of a large component can be split.
-    best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best")))
+    best = written(rooted.groupBy("root").agg(F.min("first").alias("best")))
     lookup = rooted.join(best, "root").select("fp", "best")
     # One row per fingerprint on the right, so a hot fingerprint is spread by splitting the left side alone.
     return rows.join(lookup, "fp").select("__row", F.col("__id").alias(id_col), "fp", F.col("best.__id").alias("component_id"), F.col("best.__row").alias("__first"))
 
 
-def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
-    """The first row of each component, with all its columns."""
-    kept = near_groups(documents, id_col, text_col, shingle, tau).where("__row = __first").select("__row")
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*documents.columns)
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; fewer words than a shingle make one, none make none."""
+    blocks = list(digests(text.lower().split(), shingle))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes; two empty sets are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def spanning(edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Places of the edges (k, 2) of a minimum spanning forest; every round each tree takes its lightest edge to another."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    tree, taken, alive = np.arange(len(nodes)), [], np.lexsort((ends[:, 1], ends[:, 0], weights))
+    while True:
+        a, b = tree[ends[alive, 0]], tree[ends[alive, 1]]
+        apart = a != b
+        alive, a, b = alive[apart], a[apart], b[apart]
+        if not len(alive):
+            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        lightest = np.full(len(nodes), len(alive))  # places in ``alive``, which stays in the order of weights
+        np.minimum.at(lightest, a, np.arange(len(alive)))
+        np.minimum.at(lightest, b, np.arange(len(alive)))
+        chosen = np.unique(lightest[lightest < len(alive)])
+        taken.append(alive[chosen])
+        for x, y in zip(a[chosen], b[chosen], strict=True):  # as many as trees that are left
+            while tree[x] != x:
+                x = tree[x]
+            while tree[y] != y:
+                y = tree[y]
+            tree[max(x, y)] = min(x, y)
+        while (up := tree[tree]).tobytes() != tree.tobytes():
+            tree = up
+
+
+def owner_edges(own: np.ndarray, visiting: np.ndarray, tau: int) -> np.ndarray:
+    """Links of a key's owners with each other and with visitors, as a minimum spanning forest of bit distances."""
+    edges, weights, size = [], [], 0
+
+    def thinned() -> None:
+        nonlocal edges, weights, size
+        e, w = np.concatenate(edges), np.concatenate(weights)
+        keep = spanning(e, w)
+        edges, weights, size = [e[keep]], [w[keep]], len(keep)
+
+    step = max((1 << 20) // max(len(own), 1), 1)
+    for rows in (own, visiting):
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            apart = np.bitwise_count(part[:, None] ^ own[None, :])
+            i, j = np.nonzero((apart <= tau) & (apart > 0))
+            if len(i):
+                edges.append(np.stack([part[i], own[j]], 1))
+                weights.append(apart[i, j])
+                size += len(i)
+                if size > 1 << 20:
+                    thinned()
+    if not size:
+        return np.zeros((0, 2), np.uint64)
+    thinned()
+    return edges[0]
+
+
+def candidate_links(distinct: DataFrame, tau: int, parts: list[tuple[list[int], int]], block: int = OWNERS) -> DataFrame:
+    """(a, b), fingerprints at ``tau`` or fewer bits, a minimum spanning forest of each key's links; copies may repeat.
+
+    A key of many owners is dealt in blocks of them: an owner goes to its own block, and whoever probes the key to every
+    block, so a task holds one block of owners and compares its visitors with them in steps of bounded size.
+    """
+    rows = distinct.select("fp", F.explode(probes(F.col("fp"), parts)).alias("p")).select("fp", "p.part", "p.key", "p.own")
+    index = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in p)))).alias("key")) for k, (p, _) in enumerate(parts))))
+    owners = distinct.select(index.alias("p")).groupBy("p.part", "p.key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    met = looked_up(rows, written(owners), ["part", "key"])
+    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    # Owners visit the other blocks of their key too; pairs are met from one side.
+    dealt = met.select("part", "key", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "own", home.alias("home"))
+    dealt = dealt.select("part", "key", "i", "fp", (F.col("own") & (F.col("home") == F.col("i"))).alias("own"))
+    dealt = dealt.repartition("part", "key", "i").sortWithinPartitions("part", "key", "i")
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def settled(last: bool):
+            nonlocal held
+            part, key, i, fp, own = held
+            new = np.ones(len(fp), bool)
+            new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1])
+            starts = np.append(np.flatnonzero(new), len(fp))
+            stop = len(starts) - (1 if last else 2)
+            found = [np.zeros((0, 2), np.uint64)]
+            for s, e in zip(starts[:stop], starts[1 : stop + 1], strict=True):
+                fps, mine = fp[s:e].view(np.uint64), own[s:e].astype(bool)
+                if mine.any() and e - s > 1:
+                    found.append(owner_edges(np.unique(fps[mine]), np.unique(fps[~mine]), tau))
+            held = [] if last else [x[starts[stop] :] for x in held]
+            edges = np.concatenate(found).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*edges.T)), pa.array(np.maximum(*edges.T))], ["a", "b"])
+
+        for b in batches:
+            columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False) for c in ("part", "key", "i", "fp", "own")]
+            held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+            if len(held[0]):
+                yield settled(last=False)
+        if held and len(held[0]):
+            yield settled(last=True)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b: row numbers) whose texts' sets of shingles are as similar as asked, compared exactly.
+
+    ``texts`` is (row, text). A link fetches its two texts; rows of the links are as many as linked texts, about.
+    """
+
+    def run(batches):
+        for b in batches:
+            left, right = binaries(b, "left"), binaries(b, "right")
+            alike = [similarity_of(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= similarity for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays(carried(b, ["a", "b"]), ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    left = links.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 12) -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest id, with all its columns.
+
+    Texts link when the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    Fingerprints of those sets find the candidates, at ``tau`` or fewer of 64 bits, and the texts themselves decide; of
+    texts as similar as 0.8 about one pair in ten has fingerprints further apart and is found through others only. Texts of
+    the same words link, so null texts and texts without words are one group. Null ids come last in a group, and of
+    repeated rows one stays. An empty table gives an empty result. Rows are written once with their number and
+    fingerprint, so the result doesn't hang on the order in which rows come.
+    """
+    columns = documents.columns
+    row, one, two, raw = unused(columns, "row", "fp", "words", "raw_text")
+
+    def run(batches):
+        for b in batches:
+            prints, same = [], []
+            for text in binaries(b, raw):
+                prints.append(majority([shingle_hashes(text, shingle)]))
+                same.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
+            values = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, same)]
+            yield pa.RecordBatch.from_arrays([*carried(b, [*columns, row]), *values], [*columns, row, one, two])
+
+    numbered = documents.select(*quoted(columns), F.monotonically_increasing_id().alias(row))
+    if dict(documents.dtypes)[text_col] == "string":
+        raw = text_col
+    else:
+        numbered = numbered.withColumn(raw, F.col(f"`{text_col}`").cast("string"))
+    rows = written(numbered.mapInArrow(run, f"{fields(documents, columns)}, `{row}` bigint, `{one}` bigint, `{two}` bigint"))
+    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(one).alias("fp"), F.col(two).alias("words"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    # A row for each sequence of words, and of those one for each fingerprint; the rest hang on these.
+    texts = written(narrow.groupBy("fp", "words").agg(F.min(first).alias("first"), F.min("row").alias("row")))
+    prints = written(texts.groupBy("fp").agg(F.min("row").alias("row")))
+    n = prints.count()
+    sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
+    found = written(candidate_links(prints.select("fp"), tau, plan(sample, tau, max(n, 1))).distinct())
+    named = found.join(prints.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = texts.join(prints.select("fp", F.col("row").alias("of")), "fp").where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
+    sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    member = components(written(similar_links(named.unionAll(alike), sources, shingle, similarity)), "a", "b")
+    rooted = texts.join(member, texts.row == member.node, "left").select("first", F.coalesce("root", "row").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*quoted(columns))
 
 
 def simhash_near_dedup(documents: DataFrame) -> DataFrame:
