@@ -60,13 +60,35 @@ def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [1.0, 2.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 0.0]), (7, []), (None, [1.0, 1.0]), (1, [3.0, -1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("score", F.lit(1))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_top_k(table).collect()}
-    vectors = {0: (256, 512), 50: (256, 512), 1: (768, -256), 2: (256, 512), 7: ()}
+    vectors = [(0, (256, 512)), (50, (256, 512)), (1, (768, -256)), (1, (768, -256)), (2, (256, 512)), (7, ())]  # the repeated row is there twice
     for q in (0, 50):
-        want = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q))[:5]
+        want = sorted((-sum(a * b for a, b in zip((256, 512), v)), i) for i, v in vectors if i != q)[:5]
         assert [got[q, k + 1] for k in range(len(want))] == [(i, -s) for s, i in want]
     assert topk.exact_top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeats_and_large_components_against_all_pairs(spark):
+    """Repeated ids are rows of their own, and components of any size are multiplied exactly."""
+    import random
+    from fractions import Fraction
+
+    draw = random.Random(4)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(9)]) for i in range(120)]
+    rows += [(50, [draw.gauss(0, 1) for _ in range(9)]), (7, [9.0] * 9), (7, [9.0] * 9), (100, rows[100][1]), (3, rows[2][1])]
+    rows += [(200, [1e9] * 9), (250, [3e5, -2.0**40] + [0.5] * 7), (300, [1e306] * 3), (301, [-1e306, 5.0]), (302, [2e18, 1.0, 1e-300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(table).collect()))
+    for blocks in ({}, {"candidate_block": 7, "query_block": 2, "pilots": 5}, {"pilots": 0}):
+        found = topk.top_k(table, F.col("vec_id") % 50 == 0, **blocks)
+        assert sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect()) == got, blocks
+    vectors = [(i, [int(Fraction(x) * 256 // 1) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in vectors if i % 50 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in vectors if p == q for i, w in vectors if i != q)
+        want += [(q, k + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(scores[:5])]
+    assert got == want
+
+
 def test_top_k_blocks_agree_with_one_block(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     whole = topk.top_k(table, F.col("vec_id") % 50 == 0).collect()
