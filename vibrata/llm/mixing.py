@@ -7,15 +7,15 @@ is only aggregated and windowed by Spark; the driver sees one row per pattern.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vibrata.llm.common import WORD, checkpointed
+from vibrata.llm.common import WORD, quoted
+from vibrata.sources.scratch import written
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2  # production: weights repeat over the sources, 150 % of all words, 2 repetitions
 BUCKETS = 1024  # into which the seeded order of a pattern's documents is cut
@@ -45,83 +45,107 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], shar
     return out
 
 
+class Flow:
+    """A network from 0 to 1 whose flow is raised, along shortest ways, as capacity is added."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.head: list[int] = []
+        self.room: list[int] = []
+
+    def edge(self, a: int, b: int, room: int) -> int:
+        for tail, head, r in ((a, b, room), (b, a, 0)):
+            self.out[tail].append(len(self.head))
+            self.head.append(head)
+            self.room.append(r)
+        return len(self.head) - 2
+
+    def levels(self) -> list[int]:
+        level, line = [-1] * len(self.out), deque([0])
+        level[0] = 0
+        while line:
+            a = line.popleft()
+            for e in self.out[a]:
+                if self.room[e] and level[self.head[e]] < 0:
+                    level[self.head[e]] = level[a] + 1
+                    line.append(self.head[e])
+        return level
+
+    def fill(self) -> None:
+        """Raise the flow until no way from 0 to 1 has room: all shortest ways at once, again and again."""
+        out, head, room = self.out, self.head, self.room
+        while (level := self.levels())[1] >= 0:
+            at, way, a = [0] * len(out), [], 0
+            while True:
+                if a == 1:
+                    amount = min(room[e] for e in way)
+                    for e in way:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    k = next(i for i, e in enumerate(way) if not room[e])  # go on from the first edge that is full
+                    a, way = head[way[k] ^ 1], way[:k]
+                    continue
+                while at[a] < len(out[a]):
+                    e = out[a][at[a]]
+                    if room[e] and level[head[e]] == level[a] + 1:
+                        break
+                    at[a] += 1
+                if at[a] < len(out[a]):
+                    way.append(out[a][at[a]])
+                    a = head[way[-1]]
+                elif a == 0:
+                    break
+                else:
+                    a = head[way.pop() ^ 1]
+                    at[a] += 1
+
+
 def route(patterns: dict[int, tuple[int, list[str | None]]], quotas: dict[str | None, int], most: int) -> dict[tuple[int, str | None], int]:
     """Words of each (pattern, source) of a min-cost flow: patterns -> their sources -> quotas.
 
-    Repetition r of a pattern's words holds as many words as the pattern and costs r * r, which is convex. Successive
-    shortest paths with potentials; patterns, sources and repetitions alone make the graph. The flow meets all quotas
-    that the patterns' capacity allows.
+    Repetition r of a pattern's words holds as many words as the pattern, at a cost that rises with r. As costs hang on the
+    repetition alone, the cheapest ways are those of the lowest repetition that has room: capacity is added repetition by
+    repetition, and each time the flow is raised as far as it goes, which never takes back what an earlier one sent out.
+    The flow meets all quotas that the patterns' capacity allows.
     """
-    graph: dict[object, list[int]] = defaultdict(list)
-    heads, caps, costs = [], [], []
-
-    def edge(a, b, cap: int, cost: int) -> int:
-        for tail, head, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            graph[tail].append(len(heads))
-            heads.append(head)
-            caps.append(c)
-            costs.append(w)
-        return len(heads) - 2
-
-    out_edges = {}
-    for p, (size, sources) in sorted(patterns.items()):
-        for r in range(most):
-            edge("start", ("p", p), size, (r + 1) ** 2)
+    names = sorted(quotas, key=by_code_point)
+    place = {s: 2 + i for i, s in enumerate(names)}
+    flow, first = Flow(2 + len(names) + len(patterns)), 2 + len(names)
+    for s in names:
+        flow.edge(place[s], 1, quotas[s])
+    inlets, ways = [], {}
+    for node, (p, (size, sources)) in enumerate(sorted(patterns.items()), first):
+        inlets.append((flow.edge(0, node, 0), size))
         for s in sorted(set(sources), key=by_code_point):
-            out_edges[p, s] = edge(("p", p), ("s", s), size * most, 0)
-    for s in sorted(quotas, key=by_code_point):
-        edge(("s", s), "end", quotas[s], 0)
-    potential: dict[object, int] = defaultdict(int)
-    names = {"start": (0,), "end": (3,)}
-    order = lambda x: names.get(x) or ((1, x[1]) if x[0] == "p" else (2, *by_code_point(x[1])))
-    while True:
-        distance, before, heap = {"start": 0}, {}, [(0, order("start"), "start")]
-        while heap:
-            d, _, a = heapq.heappop(heap)
-            if d > distance[a]:
-                continue
-            for e in graph[a]:
-                if caps[e] > 0:
-                    to = d + costs[e] + potential[a] - potential[heads[e]]
-                    if to < distance.get(heads[e], 1 << 60):
-                        distance[heads[e]], before[heads[e]] = to, e
-                        heapq.heappush(heap, (to, order(heads[e]), heads[e]))
-        if "end" not in distance:
-            break
-        far = max(distance.values())
-        for x in list(graph):
-            potential[x] += distance.get(x, far)
-        path, at = [], "end"
-        while at != "start":
-            path.append(before[at])
-            at = heads[before[at] ^ 1]
-        amount = min(caps[e] for e in path)
-        for e in path:
-            caps[e] -= amount
-            caps[e ^ 1] += amount
-    return {k: caps[e ^ 1] for k, e in out_edges.items() if caps[e ^ 1]}
+            ways[p, s] = flow.edge(node, place[s], size * most)
+    for _ in range(most):
+        for e, size in inlets:
+            flow.room[e] += size
+        flow.fill()
+    return {k: flow.room[e ^ 1] for k, e in ways.items() if flow.room[e ^ 1]}
 
 
 def mix(
     documents: DataFrame, members: Column, size: Column, keep: list[str], weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS,
     share: float = SHARE, most: int = MOST, seed: int = 17, order_by: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """The columns ``keep`` of every row, with __size, __members, __copies and __sources.
+    """``row`` (a struct of the columns ``keep``) of every row, with __size, __members, __copies and __sources.
 
     ``members`` is an array of source names (null is a source; a row without any is a member of the source null), sorted
     and without repeats in effect. ``weights`` are by source, or repeat over the sources by code point, null last.
     __copies counts how often the mix takes the row, 0 to ``most``; __sources are structs (source, source_size, target)
-    of its members. Within a pattern, rows are taken in an order of seeded hashes of ``order_by`` until its routed words
+    of its members. Within a pattern, rows are taken in an order of seeded hashes of ``order_by`` and size until its routed words
     are reached, to the nearest row; the same rows always give the same mix. Rows that tie there (repeated rows)
     are ordered by size, else they are alike. A row of size 0 is never taken. The empty table gives an empty result.
     More than MOST_PATTERNS distinct sets of sources are refused.
     """
-    keys = F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order_by))
+    named = [F.col(f"`{c}`") for c in order_by]
+    keys = F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("")) for c in named), size.cast("string"))
     normal = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(members), F.lit(0)) > 0, members).otherwise(F.array(F.lit(None).cast("string")))))
-    rows = documents.select(*keep, normal.alias("__members"), size.cast("long").alias("__size"), F.md5(keys.cast("binary")).alias("__order"))
+    rows = documents.select(F.struct(*quoted(keep)).alias("row"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(named))).alias("__keys"), normal.alias("__members"), size.cast("long").alias("__size"), F.md5(keys.cast("binary")).alias("__order"))
     rows = rows.withColumn("__bucket", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
     # Buckets are cut from the front of the hash, so their order and the order in them are seeded alike.
-    buckets = checkpointed(rows.groupBy("__members", "__bucket").agg(F.sum("__size").alias("words")))
+    buckets = written(rows.groupBy("__members", "__bucket").agg(F.sum("__size").alias("words")))
     seen = buckets.groupBy("__members").agg(F.sum("words").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(seen) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} sets of sources")
@@ -148,42 +172,41 @@ def mix(
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("__members").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = buckets.withColumn("__ahead", ahead).drop("words")
     # A bucket is a thousandth of a pattern: a pattern with a third of all rows still spreads over all tasks.
-    inside = Window.partitionBy("__members", "__bucket").orderBy("__order", "__size", *order_by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__members", "__bucket").orderBy("__order", "__size", "__keys").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     joined = numbered.join(placed, ["__members", "__bucket"]).join(quota, "__members")
     middle = F.col("__ahead") + F.col("__inside") + F.col("__size") / 2
     whole = F.floor(F.col("__routed") / F.greatest("__pattern", F.lit(1)))
     more = F.when(middle <= F.col("__routed") - whole * F.col("__pattern"), 1).otherwise(0)
     copies = F.when(F.col("__size") > 0, F.least(whole + more, F.lit(most))).otherwise(0)
-    return joined.select(*keep, "__size", "__members", copies.cast("int").alias("__copies"), "__sources")
-
-
-def by_source(documents: DataFrame, keep: list[str], **options) -> DataFrame:
-    """``mix`` for one source a row, by the production rules."""
-    return mix(documents, F.array(F.col("source").cast("string")), n_words(F.col("text").cast("string")), keep, **options)
+    return joined.select("row", "__size", "__members", copies.cast("int").alias("__copies"), "__sources")
 
 
 def mixing(documents: DataFrame) -> DataFrame:
-    """The production query: what the mix takes of every document."""
-    mixed = by_source(documents.select(F.col("doc_id"), "source", "text"), ["doc_id"])
+    """The production query: what the mix takes of every document, one source a row, by the production rules.
+
+    Null texts have no words and are not taken; null sources are a source; null and repeated ids are rows like any other.
+    Texts are read once, for a narrow table of sizes.
+    """
+    narrow = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("words")))
+    mixed = mix(narrow, F.array("source"), F.col("words"), ["doc_id"])
     own = F.element_at("__sources", 1)
     return mixed.select(
-        "doc_id", F.col("__size").alias("size"), own["source_size"].alias("source_size"), F.round(own["target"], 6).alias("target"),
+        F.col("row.doc_id").alias("doc_id"), F.col("__size").alias("size"), own["source_size"].alias("source_size"), F.round(own["target"], 6).alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"), own["source"].alias("source"),
     )
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The rows as often as the mix takes them, with all their columns."""
-    columns = documents.columns
-    taken = by_source(documents, columns).where("__copies > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*columns)
+    """The rows as often as the mix takes them, with all their columns; otherwise as ``mixing``."""
+    taken = mix(documents, F.array(F.col("source").cast("string")), n_words(F.col("text").cast("string")), documents.columns).where("__copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 SQL = r"""
 WITH words AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(concat('17', chr(31), coalesce(doc_id::VARCHAR, ''))) AS ord FROM documents),
+         md5(concat('17', chr(31), coalesce(doc_id::VARCHAR, ''), chr(31), coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::VARCHAR)) AS ord FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS weight
