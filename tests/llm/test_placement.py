@@ -130,3 +130,124 @@ def test_mixing_of_overlapping_sources(spark):
     assert taken[("a",)] <= goal["a"] + 10 and goal["b"] >= goal["a"]
     # Convex costs: nothing is repeated while something that could serve is left out.
     assert max(r["__copies"] for r in got if "b" in r["__members"]) - min(r["__copies"] for r in got if r["__members"] == ["b"]) <= 1
+
+
+def test_routes_are_cheapest_against_brute_force():
+    """All ways to send small patterns to quotas: as much as possible, and of that the fewest repeated words."""
+    import itertools
+    import random
+
+    draw = random.Random(8)
+    for _ in range(60):
+        patterns = {i: (draw.randrange(0, 4), draw.sample(["a", "b", "c"], draw.randrange(1, 4))) for i in range(3)}
+        quotas = {s: draw.randrange(0, 7) for s in "abc"}
+        got = mixing.route(patterns, quotas, 2)
+        sent, used = Counter(), Counter()
+        for (p, s), words in got.items():
+            assert s in patterns[p][1] and words > 0
+            sent[p] += words
+            used[s] += words
+        assert all(sent[p] <= 2 * patterns[p][0] for p in patterns) and all(used[s] <= quotas[s] for s in quotas)
+        best = max(_reached(patterns, quotas, amounts) for amounts in itertools.product(*(range(2 * n + 1) for n, _ in patterns.values())))
+        assert (sum(sent.values()), -sum(max(sent[p] - patterns[p][0], 0) for p in patterns)) == best
+
+
+def _reached(patterns, quotas, amounts):
+    """(words, minus the repeated ones) if these amounts fit the quotas, by Hall's condition over sets of sources."""
+    import itertools
+
+    for k in range(1, 4):
+        for some in itertools.combinations("abc", k):
+            if sum(n for n, (_, sources) in zip(amounts, patterns.values()) if set(sources) <= set(some)) > sum(quotas[s] for s in some):
+                return (-1, 0)
+    return sum(amounts), -sum(max(n - size, 0) for n, (size, _) in zip(amounts, patterns.values()))
+
+
+def test_many_patterns_are_routed():
+    import random
+
+    draw = random.Random(1)
+    patterns = {i: (draw.randrange(1, 1000), draw.sample(range(50), 3)) for i in range(20_000)}
+    patterns = {i: (n, [str(s) for s in ss]) for i, (n, ss) in patterns.items()}
+    quotas = {str(s): 200_000 + 5_000 * s for s in range(50)}
+    got = mixing.route(patterns, quotas, 2)
+    used = Counter()
+    for (_, s), words in got.items():
+        used[s] += words
+    assert all(used[s] <= quotas[s] for s in quotas)
+    assert sum(used.values()) == min(sum(quotas.values()), 2 * sum(n for n, _ in patterns.values()))
+
+
+@pytest.mark.parametrize("operator", ["mixing", "mixed_documents"])
+def test_mixing_of_columns_named_like_its_own(spark, operator):
+    table = documents(spark, ODD)
+    for name in ("__size", "__members", "__order", "__bucket", "row"):
+        table = table.withColumn(name, F.lit("clash"))
+    got = getattr(mixing, operator)(table)
+    assert got.columns == (table.columns if operator == "mixed_documents" else ["doc_id", "size", "source_size", "target", "taken", "source"])
+    assert operator == "mixing" or all(r["__size"] == "clash" for r in got.collect())
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    rows = [(7, "the same text")] * 4000 + [(None, "no id")] * 400 + [(i, f"text {i}") for i in range(200)]
+    got = sharding.sharding(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    loads, slots = Counter(), defaultdict(list)
+    for r in got:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(loads.values()) - min(loads[s] for s in range(40)) < 0.05 * sum(loads.values()) / 40 + 64
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_copies_in_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 8)
+    table = spark.createDataFrame([(1, 2)] * 50 + [(3, 4)] * 3 + [(5, 6)] * 8 + [(7, 8)], "a int, b int")
+    got = sorted(map(tuple, sharding.numbered_copies(table, ["a", "b"], "c").collect()))
+    assert got == sorted([(1, 2, i) for i in range(50)] + [(3, 4, i) for i in range(3)] + [(5, 6, i) for i in range(8)] + [(7, 8, 0)])
+
+
+def test_a_stored_map_is_edited_and_not_made_anew(spark, tmp_path):
+    path, rows = str(tmp_path / "map"), [(i, f"text {i} " * (1 + i % 50)) for i in range(2000)]
+    first = {r.doc_id: r for r in sharding.sharded(documents(spark, rows), shards=8, map_path=path).collect()}
+    again = {r.doc_id: r for r in sharding.sharded(documents(spark, rows), shards=8, map_path=path).collect()}
+    assert {r.version for r in first.values()} == {2} and {r.version for r in again.values()} == {3}
+    assert sum(first[d].shard != again[d].shard for d in first) < 0.1 * len(rows)
+    more = {r.doc_id: r for r in sharding.sharded(documents(spark, rows), shards=9, map_path=path).collect()}
+    assert {r.shard for r in more.values()} == set(range(9))
+    moved = sum(more[d].size for d in more if more[d].shard != again[d].shard)  # a ninth must move
+    assert moved < 0.2 * sum(r.size for r in more.values())
+    assert all(again[d].v_slot == more[d].v_slot for d in more)
+
+
+def plain_rebalanced(shard_of, loads, shards):
+    """The rule of rebalancing in plain Python: what fits into the mean stays, the rest goes to the least loaded."""
+    mean = sum(loads.values()) / shards
+    out, load, moving = {}, Counter({s: 0 for s in range(shards)}), []
+    for shard in sorted(set(shard_of.values())):
+        running = 0
+        for slot in sorted((s for s in shard_of if shard_of[s] == shard), key=lambda s: (-loads.get(s, 0), s)):
+            running += loads.get(slot, 0)
+            if shard < shards and running <= mean:
+                out[slot] = shard
+                load[shard] += loads.get(slot, 0)
+            else:
+                moving.append(slot)
+    for slot in sorted(moving, key=lambda s: (-loads.get(s, 0), s)):
+        least = min(load, key=lambda s: (load[s], s))
+        out[slot] = least
+        load[least] += loads.get(slot, 0)
+    return out
+
+
+def test_rebalancing_against_the_plain_rule(spark):
+    import random
+
+    draw = random.Random(2)
+    loads = {s: draw.randrange(1, 500) for s in range(128) if draw.random() < 0.8}
+    table = spark.createDataFrame(sorted(loads.items()), "v_slot int, bytes long")
+    now = sharding.first_map(spark, 128, 6)
+    shard_of = {s: s % 6 for s in range(128)}
+    for shards in (6, 5, 7):
+        now, shard_of = spark.createDataFrame(sharding.rebalanced(now, table, shards).collect()), plain_rebalanced(shard_of, loads, shards)
+        assert {r.v_slot: r.shard for r in now.collect()} == shard_of

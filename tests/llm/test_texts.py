@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -83,6 +84,91 @@ def test_classifiers_of_odd_rows(spark, train, score, label):
     assert all(0 <= r.score <= 1 for r in scored(train(table, some)))
 
 
+@pytest.mark.parametrize("train,label", [(toxicity.train, "toxic"), (quality.train, "quality")])
+def test_classifiers_of_empty_and_clashing_tables(spark, train, label):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], f"doc_id long, {label} int")
+    empty = documents(spark, [])
+    model = train(empty, labels)
+    assert (toxicity.score(empty, model) if label == "toxic" else quality.score(empty, model, ["doc_id"])).count() == 0
+    table = documents(spark, [(i, "good old words here" if i % 2 else "bad new words there") for i in range(60)])
+    if label == "quality":
+        clash = table.withColumn("score", F.lit("a")).withColumn("text_read", F.lit("b")).withColumn("chars_read", F.lit("c")).drop("n_chars")
+        kept = quality.accepted(clash, labels)
+        rows = kept.collect()
+        assert kept.columns == clash.columns and rows and all((r.score, r.text_read, r.chars_read) == ("a", "b", "c") for r in rows)
+        assert {r.doc_id % 2 for r in rows} == {1}
+        assert quality.accepted(clash, labels.limit(0)).count() == 60
+
+
+def test_samples_are_bounded_in_rows_and_words(spark):
+    from vibrata.llm.common import labelled_sample, within
+
+    rows = [(i % 50, f"text {i} " * (1 + i % 7)) for i in range(400)]  # ids repeat eight times
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    sample = labelled_sample(documents(spark, rows), labels, "toxic", 20, {"text": F.col("text")}).withColumn("n", F.length("text"))
+    got = sample.collect()
+    assert len(got) == 20
+    kept = within(sample, "n", 100).collect()
+    assert 0 < len(kept) < 20 and sum(r.n for r in kept) <= 100
+    assert within(sample, "n", 0).count() == 0
+    model = toxicity.train(documents(spark, rows), labels, most_words=10)
+    assert toxicity.score(documents(spark, rows[:5]), model).count() == 5
+
+
+def test_the_convolution_against_a_plain_loop():
+    """Largest responses over all places of a text, padding included, computed word by word."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    model = toxicity.ToxicityModel(rng.normal(size=(41, 3)), {w: rng.normal(size=(w, 3, 4)) for w in (1, 2, 3)}, {w: rng.normal(size=4) for w in (1, 2, 3)}, rng.normal(size=12), 0.2, 1.3, -0.1, {})
+    model.embedding[-1] = 0
+    texts = [rng.integers(0, 40, n).astype(np.int32) for n in (5, 1, 0, 17)]
+    ids, starts = toxicity.stream(texts, model.pad, 2)
+    scores = model.score(model.pooled(ids, starts, model.tables()))
+    for text, got in zip(texts, scores):
+        padded = [model.pad] * 2 + list(text) + [model.pad] * 2
+        pooled = []
+        for w in (1, 2, 3):
+            places = range(len(text) + 2)
+            best = [max(sum(float(model.embedding[padded[p + k]] @ model.filters[w][k][:, f]) for k in range(w)) for p in places) for f in range(4)]
+            pooled += [max(b + float(c), 0) for b, c in zip(best, model.biases[w])]
+        margin = sum(p * o for p, o in zip(pooled, model.out)) + model.offset
+        assert math.isclose(got, 1 / (1 + math.exp(-(margin * 1.3 - 0.1))), rel_tol=1e-5)
+
+
+def test_bpe_of_columns_named_like_its_own(spark):
+    table = documents(spark, [(1, "some text"), (2, None)]).withColumn("__text", F.lit("clash")).withColumn("text_read", F.lit("too"))
+    encoded = bpe.encode(table, PATH, PATTERN)
+    assert encoded.columns == [*table.columns, "ids"] and {(r["__text"], r.text_read) for r in encoded.collect()} == {("clash", "too")}
+    decoded = bpe.decode(encoded, PATH, PATTERN)
+    assert {bytes(r.decoded) for r in decoded.collect()} == {b"some text", b""}
+    with pytest.raises(ValueError):
+        bpe.decode(decoded, PATH, PATTERN)
+
+
+def test_lm_against_a_plain_recurrence():
+    """Log-likelihoods of texts by the published equations of a gated recurrent unit, word by word in plain numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    net = gru_lm.untrained(rng.random(gru_lm.CLASSES * gru_lm.MEMBERS) * 50)
+    net.w_class[:], net.w_word[:] = rng.normal(0, 0.5, net.w_class.shape), rng.normal(0, 0.5, net.w_word.shape)
+    net.b_in[:] = rng.normal(0, 0.3, net.b_in.shape)
+    docs = [rng.integers(0, gru_lm.CLASSES * gru_lm.MEMBERS, n).astype(np.int16) for n in (1, 7, 300, 40)]
+    hidden, sig = len(net.w_state), lambda x: 1 / (1 + np.exp(-x))
+    for doc, got in zip(docs, gru_lm.log_likelihoods(net, docs)):
+        h, before, total = np.zeros(hidden), net.start, 0.0
+        for symbol in doc:
+            a, b = net.embed[before].astype(float) @ net.w_in + net.b_in, h @ net.w_state
+            z, r = sig(a[:hidden] + b[:hidden]), sig(a[hidden : 2 * hidden] + b[hidden : 2 * hidden])
+            h = z * h + (1 - z) * np.tanh(a[2 * hidden :] + r * b[2 * hidden :])
+            c, m = divmod(int(symbol), gru_lm.MEMBERS)
+            to_class, to_word = h @ net.w_class + net.b_class, h @ net.w_word[c] + net.b_word[c]
+            total += to_class[c] - np.log(np.exp(to_class).sum()) + to_word[m] - np.log(np.exp(to_word).sum())
+            before = int(symbol)
+        assert math.isclose(got, total, rel_tol=1e-4)
+
+
 def test_factorisation_identity():
     import numpy as np
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import binaries, carried
+from vibrata.llm.common import binaries, carried, fields, quoted, unused
 
 REMEMBERED = 1_000_000  # pieces, and pairs of neighbours, that a worker keeps: about 200 MB
 LONG = 1 << 20  # characters from which a text's pieces are taken in blocks
@@ -189,24 +189,33 @@ def _tokenizers(documents: DataFrame, path: str, pattern: str):
 
 
 def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Every row with all its columns and the array of ids of its text."""
+    """Every row with all its columns and the array of ids of its text; null and empty texts have none.
+
+    Repeated rows get a row each, and an empty table gives an empty result. ``ids_col`` must be a new column.
+    """
     own, names = _tokenizers(documents, path, pattern), documents.columns
     if ids_col in names:
         raise ValueError(f"there is a column {ids_col} already")
+    (read,) = unused([*names, ids_col], "text_read")
 
     def run(batches):
         tokenizer = own()
         for b in batches:
-            ids = [tokenizer.encode(t.decode("utf-8", "replace")) for t in binaries(b, "__text")]
+            ids = [tokenizer.encode(t.decode("utf-8", "replace")) for t in binaries(b, read)]
             yield pa.RecordBatch.from_arrays([*carried(b, names), pa.array(ids, pa.list_(pa.int32()))], [*names, ids_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, `{ids_col}` array<int>")
+    source = documents.select(*quoted(names), F.col(f"`{text_col}`").cast("string").alias(read))
+    return source.mapInArrow(run, f"{fields(documents, names)}, `{ids_col}` array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Every row with all its columns and the bytes of its ids; a null array gives no bytes. Unknown ids fail."""
+    """Every row with all its columns and the bytes of its ids; a null array gives no bytes. Unknown ids fail.
+
+    ``out_col`` must be a new column.
+    """
     own, names = _tokenizers(encoded, path, pattern), encoded.columns
+    if out_col in names:
+        raise ValueError(f"there is a column {out_col} already")
 
     def run(batches):
         tokenizer = own()
@@ -214,8 +223,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
             out = [tokenizer.decode(ids or []) for ids in carried(b, [ids_col])[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([*carried(b, names), pa.array(out, pa.binary())], [*names, out_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, `{out_col}` binary")
+    return encoded.mapInArrow(run, f"{fields(encoded, names)}, `{out_col}` binary")
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,17 +98,33 @@ def platt(margin: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float
     return max(float(beta[0]) / spread, 1e-6), float(beta[1])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, columns: list[str]) -> DataFrame:
-    """At most ``most`` labelled rows whose crc32(doc_id) mod 5 is not 0, with ``columns`` and ``y``.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, columns: dict[str, Column]) -> DataFrame:
+    """At most ``most`` labelled rows whose crc32(doc_id) mod 5 is not 0, with ``columns``, ``y`` and ``__at``, their place.
 
     The rows with the smallest hashes of their ids are taken, so every size of table is sampled alike. A document
-    with several labels gets the largest. Labels other than 0 and 1, and null ids, are left out.
+    with several labels gets the largest; of repeated ids one row counts, whichever is largest. Labels other than 0 and
+    1, and null ids, are left out.
     """
     held = id_remainder("doc_id", 5) == 0
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held)
-        .groupBy("doc_id").agg(F.max(label).alias("__y"))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # ``chosen`` holds ``most`` pairs of two numbers at most.
-    return documents.join(F.broadcast(chosen), "doc_id").select(*columns, F.col("__y").alias("y"))
+    met = documents.select("doc_id", F.struct(*(c.alias(n) for n, c in columns.items())).alias("__row")).join(F.broadcast(chosen), "doc_id")
+    once = met.groupBy("doc_id", "__y").agg(F.max("__row").alias("__row"))
+    return once.select("__row.*", F.col("__y").alias("y"), F.xxhash64("doc_id").alias("__at"))
+
+
+def within(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """The rows, by rising ``__at``, whose sizes add up to ``most`` at most; a row that is too large alone is passed over.
+
+    ``rows`` are a bounded sample that is written already; only its places and sizes come to the driver.
+    """
+    kept, total = [], 0
+    for at, n in sorted((tuple(r) for r in rows.select("__at", size).collect())):
+        if total + n <= most:
+            kept.append((at,))
+            total += n
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "__at long")), "__at", "left_semi")

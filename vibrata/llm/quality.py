@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import WordBuckets, binaries, carried, id_remainder, labelled_sample, platt, sigmoid
+from vibrata.llm.common import WordBuckets, binaries, carried, fields, id_remainder, labelled_sample, platt, quoted, sigmoid, unused, within
+from vibrata.sources.scratch import written
 
 #: The structure statistics, in order; n_chars is the table's own column.
 STATISTICS = [
@@ -118,19 +119,29 @@ def fit(words: list[tuple[np.ndarray, np.ndarray]], statistics: np.ndarray, y: n
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 16, most_labelled: int = 6000, epochs: int = 10) -> QualityModel:
-    """Fit on at most ``most_labelled`` labelled rows that aren't held out; tasks send features, not texts."""
+def n_chars(documents: DataFrame) -> Column:
+    """The table's own column of lengths, or none where it has no such column."""
+    return F.col("n_chars").cast("double") if "n_chars" in documents.columns else F.lit(None).cast("double")
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 16, most_labelled: int = 6000, epochs: int = 10, most_features: int = 1 << 22) -> QualityModel:
+    """Fit on at most ``most_labelled`` labelled rows that aren't held out, of at most ``most_features`` features together.
+
+    Tasks send features, not texts, so 34 MB reach the driver at most; a text whose features the rest of that budget
+    can't hold is left out. Null texts have no words. Without labels, or with one class only, see ``fit``.
+    """
 
     def encode(batches):
         hashes = WordBuckets(buckets)
         for b in batches:
             found = [describe(t, n, hashes) for t, n in zip(binaries(b, "text"), carried(b, ["n_chars"])[0].to_pylist(), strict=True)]
             columns = [pa.array([f(x) for x in found], pa.binary()) for f in (lambda x: x[0][0].tobytes(), lambda x: x[0][1].astype(np.float32).tobytes(), lambda x: x[1].tobytes())]
-            yield pa.RecordBatch.from_arrays([*columns, *carried(b, ["y"])], ["index", "count", "stats", "y"])
+            sizes = pa.array([len(x[0][0]) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, sizes, *carried(b, ["y", "__at"])], ["index", "count", "stats", "n", "y", "__at"])
 
-    columns = ["text", F.col("n_chars").cast("double").alias("n_chars")]
-    sample = labelled_sample(documents, labels, label, most_labelled, columns).withColumn("y", F.col("y").cast("int"))
-    rows = sample.mapInArrow(encode, "index binary, count binary, stats binary, y int").toArrow().sort_by([("stats", "ascending"), ("index", "ascending"), ("y", "ascending")])
+    sample = labelled_sample(documents, labels, label, most_labelled, {"text": F.col("text").cast("string"), "n_chars": n_chars(documents)})
+    encoded = written(sample.mapInArrow(encode, "index binary, count binary, stats binary, n bigint, y int, __at bigint"))
+    rows = within(encoded, "n", most_features).toArrow().sort_by([("stats", "ascending"), ("index", "ascending"), ("y", "ascending")])
     words = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.float32).astype(float)) for i, c in zip(rows["index"].to_pylist(), rows["count"].to_pylist(), strict=True)]
     stats = np.array([np.frombuffer(s) for s in rows["stats"].to_pylist()]).reshape(-1, len(STATISTICS))
     return fit(words, stats, np.array(rows["y"].to_pylist(), float), buckets, epochs=epochs)
@@ -139,22 +150,25 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", bucke
 def score(documents: DataFrame, model: QualityModel, keep: list[str], score_col: str = "score") -> DataFrame:
     """The columns ``keep`` of every row and its score, in one narrow pass.
 
-    Null and empty texts are scored as texts without words; a null n_chars counts as 0. Repeated rows get a row each and
-    an empty table gives an empty result. Texts of any length are read whole. Columns not named in ``keep`` are ignored.
+    Null and empty texts are scored as texts without words; a null n_chars, or none, counts as 0. Repeated rows get a row
+    each and an empty table gives an empty result. Texts of any length are read whole. Columns not named in ``keep`` are
+    ignored; ``score_col`` must not be one of them.
     """
+    if score_col in keep:
+        raise ValueError(f"there is a column {score_col} already")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # size fixed by buckets and rank
+    text, chars = unused([*keep, score_col], "text_read", "chars_read")
 
     def run(batches):
         own: QualityModel = shared.value
         hashes = WordBuckets(own.buckets)
         for b in batches:
-            chars = carried(b, ["__n_chars"])[0].to_pylist()
-            margins = np.array([own.margin(*own.features(*describe(t, n, hashes))) for t, n in zip(binaries(b, "__text"), chars, strict=True)])
+            lengths = carried(b, [chars])[0].to_pylist()
+            margins = np.array([own.margin(*own.features(*describe(t, n, hashes))) for t, n in zip(binaries(b, text), lengths, strict=True)])
             yield pa.RecordBatch.from_arrays([*carried(b, keep), pa.array(own.score(margins), pa.float64())], [*keep, score_col])
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    source = documents.select(*keep, F.col("text").cast("string").alias("__text"), F.col("n_chars").cast("double").alias("__n_chars"))
-    return source.mapInArrow(run, f"{kinds}, `{score_col}` double")
+    source = documents.select(*quoted(keep), F.col("text").cast("string").alias(text), n_chars(documents).alias(chars))
+    return source.mapInArrow(run, f"{fields(documents, keep)}, `{score_col}` double")
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,6 +181,11 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, that score ``threshold`` or more."""
+    """The rows, with all their columns, that score ``threshold`` or more.
+
+    Each row is judged by itself: null and empty texts as texts without words, repeated rows alike. The empty table gives
+    an empty result; without labels all rows stay.
+    """
     columns = documents.columns
-    return score(documents, train(documents, labels), columns, "__score").where(F.col("__score") >= threshold).select(*columns)
+    (own,) = unused(columns, "score")
+    return score(documents, train(documents, labels), columns, own).where(F.col(own) >= threshold).select(*quoted(columns))

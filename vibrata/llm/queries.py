@@ -11,30 +11,37 @@ from vibrata.llm.common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, a row each; see ``licenses.scan``."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity, with its fold; see ``toxicity.score`` for nulls, repeats and empty tables."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every vector whose id is divisible by 50; see ``topk.top_k``."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes; see ``sharding.sharded``."""
     return sharding.sharding(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for quality, with its fold; see ``quality.score``."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of all documents; see ``gru_lm.fit`` and ``gru_lm.score``."""
     return gru_lm.lm_scoring(table(spark, sf_dir, "documents"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as hashes; see ``bpe.round_trip``."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,14 +49,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for it; see ``exact_dedup.groups``."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component; see ``simhash.near_groups``."""
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see ``mixing.mix``."""
     return mixing.mixing(table(spark, sf_dir, "documents"))
 
 

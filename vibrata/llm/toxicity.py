@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import PUNCTUATION, WordBuckets, binaries, carried, id_remainder, labelled_sample, platt, sigmoid
+from vibrata.llm.common import PUNCTUATION, WordBuckets, binaries, carried, id_remainder, labelled_sample, platt, sigmoid, within
+from vibrata.sources.scratch import written
 
 CHUNK = 1 << 17  # positions convolved at once
 
@@ -175,17 +176,24 @@ def hashed(words: WordBuckets, text: bytes) -> np.ndarray:
     return words.ids(text.lower().split())
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int = 1 << 18, most_labelled: int = 10000, epochs: int = 8) -> ToxicityModel:
-    """Fit on at most ``most_labelled`` labelled rows that aren't held out; tasks send hashed words, not texts."""
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", buckets: int = 1 << 18, most_labelled: int = 10000, epochs: int = 8, most_words: int = 1 << 23) -> ToxicityModel:
+    """Fit on at most ``most_labelled`` labelled rows that aren't held out, of at most ``most_words`` words together.
+
+    Tasks send hashed words, not texts, so 32 MB reach the driver at most. Texts are learned from whole; one that the
+    rest of the words' budget can't hold is left out. Null texts have no words. Without labels, or with one class only,
+    see ``fit``.
+    """
 
     def encode(batches):
         words = WordBuckets(buckets, PUNCTUATION)
         for b in batches:
             ids = [hashed(words, t).tobytes() for t in binaries(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *carried(b, ["lang", "y"])], ["ids", "lang", "y"])
+            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), sizes, *carried(b, ["lang", "y", "__at"])], ["ids", "n", "lang", "y", "__at"])
 
-    sample = labelled_sample(documents, labels, label, most_labelled, ["text", F.col("lang").cast("string").alias("lang")])
-    rows = sample.withColumn("y", F.col("y").cast("int")).mapInArrow(encode, "ids binary, lang string, y int").toArrow().sort_by([("ids", "ascending"), ("y", "ascending")])
+    sample = labelled_sample(documents, labels, label, most_labelled, {"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
+    encoded = written(sample.mapInArrow(encode, "ids binary, n bigint, lang string, y int, __at bigint"))
+    rows = within(encoded, "n", most_words).toArrow().sort_by([("ids", "ascending"), ("y", "ascending")])
     docs = [np.frombuffer(x, np.int32) for x in rows["ids"].to_pylist()]
     return fit(docs, np.array(rows["y"].to_pylist(), float), rows["lang"].to_pylist(), buckets, epochs=epochs)
 
