@@ -8,6 +8,7 @@ within t_i bits of its own in every part, candidates are verified, and links bec
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +25,7 @@ from vibrata.sources.scratch import written
 BITS = 64
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated; the results don't depend on it
 PROBE_COST, VERIFY_COST = 1.0, 0.002  # of one probe row and one verification, relative
+PROBES = 1 << 19  # rows that a task makes of its fingerprints, about
 OWNERS = 1 << 15  # fingerprints of a key that one task compares its visitors with
 
 
@@ -345,7 +347,10 @@ def candidate_links(distinct: DataFrame, tau: int, parts: list[tuple[list[int],
     A key of many owners is dealt in blocks of them: an owner goes to its own block, and whoever probes the key to every
     block, so a task holds one block of owners and compares its visitors with them in steps of bounded size.
     """
-    rows = distinct.select("fp", F.explode(probes(F.col("fp"), parts)).alias("p")).select("fp", "p.part", "p.key", "p.own")
+    # Fingerprints are few bytes and their probes many rows, so the fingerprints are dealt out before they probe.
+    each = sum(math.comb(len(p), k) for p, t in parts for k in range(t + 1))
+    dealt_out = distinct.repartition(max(math.ceil(distinct.count() * each / PROBES), 1), "fp")
+    rows = dealt_out.select("fp", F.explode(probes(F.col("fp"), parts)).alias("p")).select("fp", "p.part", "p.key", "p.own")
     index = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in p)))).alias("key")) for k, (p, _) in enumerate(parts))))
     owners = distinct.select(index.alias("p")).groupBy("p.part", "p.key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     met = looked_up(rows, written(owners), ["part", "key"])
