@@ -25,6 +25,7 @@ from vibrata.sources.scratch import written
 BITS = 64
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated; the results don't depend on it
 PROBE_COST, VERIFY_COST = 1.0, 0.002  # of one probe row and one verification, relative
+PLANNED = 1 << 21  # fingerprints that near-dedup plans for at least, so that tables of up to some GB cost alike by the row
 PROBES = 1 << 19  # rows that a task makes of its fingerprints, about
 OWNERS = 1 << 15  # fingerprints of a key that one task compares its visitors with
 
@@ -442,7 +443,7 @@ def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: st
     prints = written(texts.groupBy("fp").agg(F.min("row").alias("row")))
     n = prints.count()
     sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
-    found = written(candidate_links(prints.select("fp"), tau, plan(sample, tau, max(n, 1))).distinct())
+    found = written(candidate_links(prints.select("fp"), tau, plan(sample, tau, max(n, PLANNED))).distinct())
     named = found.join(prints.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     alike = texts.join(prints.select("fp", F.col("row").alias("of")), "fp").where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
     sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
