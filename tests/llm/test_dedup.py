@@ -219,36 +219,39 @@ def test_near_deduplication_of_odd_rows(spark, clashing):
     assert simhash.near_deduplicated(documents(spark, [])).count() == 0
 
 
-def test_small_blocks_of_owners_find_the_same_links(spark):
-    import numpy as np
-
-    fps = [simhash.signed(simhash.majority([simhash.shingle_hashes(t.encode(), 5)])) for _, t in varied(30)]
-    table = spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp long")
-    parts = simhash.plan(np.array(sorted(set(fps)), np.int64), 12, 10**6)
-    assert sum(t + 1 for _, t in parts) == 13
-    distinct = sorted(set(fps))
-    want = defaultdict(set)
-    roots = {f: f for f in distinct}
+@pytest.mark.parametrize("block,similarity", [(40, 0.0), (1 << 18, 0.0), (7, 0.8), (40, 0.8), (1 << 18, 0.8)])
+def test_blocks_of_any_size_find_the_same_links(spark, block, similarity):
+    """Texts of several lengths, two of them frequent, against all pairs at 12 bits whose sizes allow the similarity."""
+    rows, sets = varied(20) + varied(20, 130, 6) + varied(12, 300, 7), {}
+    for _, text in rows:
+        hashes = simhash.shingle_hashes(text.encode(), 5)
+        sets[simhash.majority([hashes]), len(hashes)] = len(sets)
+    nodes = sorted(sets)
+    table = spark.createDataFrame([(k, simhash.signed(fp), size) for k, (fp, size) in enumerate(nodes)], "row long, fp long, size long")
+    roots = list(range(len(nodes)))
 
     def find(x):
         while roots[x] != x:
             x = roots[x]
         return x
 
-    for i, a in enumerate(distinct):
-        for b in distinct[:i]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 12:
-                roots[find(a)] = find(b)
-    for f in distinct:
-        want[find(f)].add(f)
-    for block in (4, 1 << 15):
-        linked = simhash.candidate_links(table, 12, parts, block)
-        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 12 for r in linked.collect())
-        got = defaultdict(set)
-        named = {r.node: r.root for r in components.components(linked, "a", "b").collect()}
-        for f in distinct:
-            got[named.get(f, f)].add(f)
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    def linked(x, y):
+        (a, m), (b, n) = nodes[x], nodes[y]
+        return (a ^ b).bit_count() <= 12 and min(m, n) >= similarity * max(m, n)
+
+    for x in range(len(nodes)):
+        for y in range(x):
+            if linked(x, y):
+                roots[find(x)] = find(y)
+    want, got = defaultdict(set), defaultdict(set)
+    found = simhash.candidate_links(table, 12, similarity, block)
+    pairs = [tuple(r) for r in found.distinct().collect()]
+    assert pairs and all(x < y and linked(x, y) for x, y in pairs)
+    named = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    for x in range(len(nodes)):
+        want[find(x)].add(x)
+        got[named.get(x, x)].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def test_spanning_forests_are_the_lightest():

@@ -25,8 +25,8 @@ from vibrata.sources.scratch import written
 BITS = 64
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated; the results don't depend on it
 PROBE_COST, VERIFY_COST = 1.0, 0.002  # of one probe row and one verification, relative
-PROBES = 1 << 19  # rows that a task makes of its fingerprints, about
-OWNERS = 1 << 15  # fingerprints of a key that one task compares its visitors with
+BLOCK, BLOCKS = 1 << 18, 16  # rows of a block, at most about, and blocks of a small table, for near-dedup by similarity
+TILE = [("i", np.int32), ("j", np.int32), ("own", bool), ("row", np.int64), ("fp", np.int64), ("size", np.int64)]  # what a tile holds
 
 
 def digests(words: list[bytes], shingle: int, seed: int = 42):
@@ -313,8 +313,11 @@ def spanning(edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
             tree = up
 
 
-def owner_edges(own: np.ndarray, visiting: np.ndarray, tau: int) -> np.ndarray:
-    """Links of a key's owners with each other and with visitors, as a minimum spanning forest of bit distances."""
+def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float) -> np.ndarray:
+    """Links (k, 2) of places: a key's owners with its visitors, as a minimum spanning forest of bit distances.
+
+    Sets whose sizes alone keep them from being as similar as ``similarity`` don't link.
+    """
     edges, weights, size = [], [], 0
 
     def thinned() -> None:
@@ -324,63 +327,111 @@ def owner_edges(own: np.ndarray, visiting: np.ndarray, tau: int) -> np.ndarray:
         edges, weights, size = [e[keep]], [w[keep]], len(keep)
 
     step = max((1 << 20) // max(len(own), 1), 1)
-    for rows in (own, visiting):
-        for lo in range(0, len(rows), step):
-            part = rows[lo : lo + step]
-            apart = np.bitwise_count(part[:, None] ^ own[None, :])
-            i, j = np.nonzero((apart <= tau) & (apart > 0))
-            if len(i):
-                edges.append(np.stack([part[i], own[j]], 1))
-                weights.append(apart[i, j])
-                size += len(i)
-                if size > 1 << 20:
-                    thinned()
+    for lo in range(0, len(visiting), step):
+        rows = visiting[lo : lo + step]
+        apart = np.bitwise_count(fps[rows][:, None] ^ fps[own][None, :])
+        i, j = np.nonzero(apart <= tau)
+        a, b = rows[i], own[j]
+        fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        if fit.any():
+            edges.append(np.stack([a[fit], b[fit]], 1))
+            weights.append(apart[i[fit], j[fit]])
+            size += int(fit.sum())
+            if size > 1 << 20:
+                thinned()
     if not size:
-        return np.zeros((0, 2), np.uint64)
+        return np.zeros((0, 2), np.int64)
     thinned()
     return edges[0]
 
 
-def candidate_links(distinct: DataFrame, tau: int, parts: list[tuple[list[int], int]], block: int = OWNERS) -> DataFrame:
-    """(a, b), fingerprints at ``tau`` or fewer bits, a minimum spanning forest of each key's links; copies may repeat.
+def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their keys, the keys that occur, and where each begins and ends."""
+    keys = fps[places] & np.uint64(mask)
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(keys[order], return_index=True)
+    return places[order], found, np.append(starts, len(places))
+
+
+def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float) -> np.ndarray:
+    """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold."""
+    found = [np.zeros((0, 2), np.int64)]
+    for part, threshold in parts:
+        mask = sum(1 << b for b in part)
+        flips = np.array([sum(1 << b for b in flip) for k in range(threshold + 1) for flip in combinations(part, k)], np.uint64)
+        mine, keys, begins = keyed(fps, own, mask)
+        guests, theirs, starts = keyed(fps, visiting, mask)
+        step = max((1 << 20) // len(flips), 1)
+        for lo in range(0, len(keys), step):
+            probed = keys[lo : lo + step, None] ^ flips[None, :]
+            at = np.minimum(np.searchsorted(theirs, probed), len(theirs) - 1)
+            hit = theirs[at] == probed
+            for k in np.flatnonzero(hit.any(1)):
+                met = np.concatenate([guests[starts[x] : starts[x + 1]] for x in at[k, hit[k]]])
+                found.append(key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity))
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
+    """``prints`` (row, fp, size) with ``block``: ranges of sizes that hold about as many rows each, from 0 to blocks - 1.
+
+    Rows of one size are spread by the hash of their fingerprint, so a frequent size may fill several blocks.
+    """
+    place = F.col("size") + F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    bounds = prints.select(F.percentile_approx(place, [k / blocks for k in range(1, blocks)], 100 * blocks).alias("x")).first().x if blocks > 1 else None
+    if not bounds:
+        return prints.withColumn("block", F.lit(0))
+    return prints.withColumn("block", F.size(F.filter(F.lit([float(b) for b in bounds]), lambda b: b < place)))
+
+
+def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS) -> DataFrame:
+    """(a, b) rows of ``prints`` (row, fp, size) whose fingerprints differ in at most ``tau`` bits; copies may repeat.
 
-    A key of many owners is dealt in blocks of them: an owner goes to its own block, and whoever probes the key to every
-    block, so a task holds one block of owners and compares its visitors with them in steps of bounded size.
+    The links of each probed key are a minimum spanning forest. Rows lie in blocks by the sizes of their sets, of at
+    most about ``block`` rows, and a tile is a pair of blocks: a row goes only to tiles whose other block holds sizes
+    that can be as similar as ``similarity``. Parts are probed inside a tile, so what is shuffled is a row for each
+    block in reach, however many keys the plan probes; a task holds two blocks of numbers. Small tables are cut in
+    ``least`` blocks (of 256 rows or more), to keep all cores busy.
     """
-    # Fingerprints are few bytes and their probes many rows, so the fingerprints are dealt out before they probe.
-    each = sum(math.comb(len(p), k) for p, t in parts for k in range(t + 1))
-    dealt_out = distinct.repartition(max(math.ceil(distinct.count() * each / PROBES), 1), "fp")
-    rows = dealt_out.select("fp", F.explode(probes(F.col("fp"), parts)).alias("p")).select("fp", "p.part", "p.key", "p.own")
-    index = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in p)))).alias("key")) for k, (p, _) in enumerate(parts))))
-    owners = distinct.select(index.alias("p")).groupBy("p.part", "p.key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    met = looked_up(rows, written(owners), ["part", "key"])
-    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # Owners visit the other blocks of their key too; pairs are met from one side.
-    dealt = met.select("part", "key", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "own", home.alias("home"))
-    dealt = dealt.select("part", "key", "i", "fp", (F.col("own") & (F.col("home") == F.col("i"))).alias("own"))
-    dealt = dealt.repartition("part", "key", "i").sortWithinPartitions("part", "key", "i")
+    n = prints.count()
+    blocks = max(math.ceil(n / block), min(least, n // 256), 1)
+    sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp", "row").limit(SAMPLE).collect()], np.int64)
+    parts = plan(sample, tau, max(n // blocks, 1))
+    placed = written(size_blocks(prints, blocks))
+    # A row for each block, which are as many as the table has millions of rows, times four.
+    ranges = sorted(tuple(r) for r in placed.groupBy("block").agg(F.min("size"), F.max("size")).collect())
+    reach = [
+        (k, min(k, m), max(k, m), float(similarity * lo - 1e-9), float(hi + 1e-9))
+        for k, least_own, most_own in ranges for m, lo, hi in ranges
+        if min(most_own, hi) >= similarity * max(least_own, lo) - 1e-9
+    ]
+    tiles = prints.sparkSession.createDataFrame(reach, "block int, i int, j int, lo double, hi double")
+    met = looked_up(placed, tiles, ["block"]).where((F.col("size") >= F.col("lo")) & (F.col("size") * F.lit(float(similarity)) <= F.col("hi")))
+    dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size")
+    dealt = dealt.repartition(max(len({r[1:3] for r in reach}), 1), "i", "j").sortWithinPartitions("i", "j")
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def settled(last: bool):
             nonlocal held
-            part, key, i, fp, own = held
+            i, j, own, row, fp, size = held
             new = np.ones(len(fp), bool)
-            new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1])
+            new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = np.append(np.flatnonzero(new), len(fp))
             stop = len(starts) - (1 if last else 2)
-            found = [np.zeros((0, 2), np.uint64)]
+            found = [np.zeros((0, 2), np.int64)]
             for s, e in zip(starts[:stop], starts[1 : stop + 1], strict=True):
-                fps, mine = fp[s:e].view(np.uint64), own[s:e].astype(bool)
-                if mine.any() and e - s > 1:
-                    found.append(owner_edges(np.unique(fps[mine]), np.unique(fps[~mine]), tau))
+                mine = np.flatnonzero(own[s:e])
+                others = mine if i[s] == j[s] else np.flatnonzero(~own[s:e])
+                if len(mine) and len(others):
+                    found.append(row[s:e][tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity)])
             held = [] if last else [x[starts[stop] :] for x in held]
-            edges = np.concatenate(found).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*edges.T)), pa.array(np.maximum(*edges.T))], ["a", "b"])
+            edges = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
 
         for b in batches:
-            columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False) for c in ("part", "key", "i", "fp", "own")]
+            columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False).astype(t) for c, t in TILE]
             held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
             if len(held[0]):
                 yield settled(last=False)
@@ -418,33 +469,32 @@ def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: st
     fingerprint, so the result doesn't hang on the order in which rows come.
     """
     columns = documents.columns
-    row, one, two, raw = unused(columns, "row", "fp", "words", "raw_text")
+    row, one, two, three, raw = unused(columns, "row", "fp", "words", "size", "raw_text")
 
     def run(batches):
         for b in batches:
-            prints, same = [], []
+            prints, same, sizes = [], [], []
             for text in binaries(b, raw):
-                prints.append(majority([shingle_hashes(text, shingle)]))
+                hashes = shingle_hashes(text, shingle)
+                prints.append(majority([hashes]))
                 same.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
-            values = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, same)]
-            yield pa.RecordBatch.from_arrays([*carried(b, [*columns, row]), *values], [*columns, row, one, two])
+                sizes.append(len(hashes))
+            values = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, same, sizes)]
+            yield pa.RecordBatch.from_arrays([*carried(b, [*columns, row]), *values], [*columns, row, one, two, three])
 
     numbered = documents.select(*quoted(columns), F.monotonically_increasing_id().alias(row))
     if dict(documents.dtypes)[text_col] == "string":
         raw = text_col
     else:
         numbered = numbered.withColumn(raw, F.col(f"`{text_col}`").cast("string"))
-    rows = written(numbered.mapInArrow(run, f"{fields(documents, columns)}, `{row}` bigint, `{one}` bigint, `{two}` bigint"))
-    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(one).alias("fp"), F.col(two).alias("words"))
+    rows = written(numbered.mapInArrow(run, f"{fields(documents, columns)}, `{row}` bigint, `{one}` bigint, `{two}` bigint, `{three}` bigint"))
+    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(one).alias("fp"), F.col(two).alias("words"), F.col(three).alias("size"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    # A row for each sequence of words, and of those one for each fingerprint; the rest hang on these.
-    texts = written(narrow.groupBy("fp", "words").agg(F.min(first).alias("first"), F.min("row").alias("row")))
-    prints = written(texts.groupBy("fp").agg(F.min("row").alias("row")))
-    n = prints.count()
-    sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
-    found = written(candidate_links(prints.select("fp"), tau, plan(sample, tau, max(n, 1))).distinct())
-    named = found.join(prints.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    alike = texts.join(prints.select("fp", F.col("row").alias("of")), "fp").where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
+    # A row for each sequence of words, and of those one for each fingerprint and size; the rest hang on these.
+    texts = written(narrow.groupBy("fp", "size", "words").agg(F.min(first).alias("first"), F.min("row").alias("row")))
+    prints = written(texts.groupBy("fp", "size").agg(F.min("row").alias("row")))
+    named = written(candidate_links(prints, tau, similarity).distinct())
+    alike = texts.join(prints.select("fp", "size", F.col("row").alias("of")), ["fp", "size"]).where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
     sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     member = components(written(similar_links(named.unionAll(alike), sources, shingle, similarity)), "a", "b")
     rooted = texts.join(member, texts.row == member.node, "left").select("first", F.coalesce("root", "row").alias("root"))
