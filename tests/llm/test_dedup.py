@@ -254,11 +254,25 @@ def test_blocks_of_any_size_find_the_same_links(spark, block, similarity):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_spanning_forests_are_the_lightest():
+def test_forests_are_the_lightest():
+    """The sorted weights of the edges are those that taking all allowed edges by rising weight gives."""
     import numpy as np
 
-    edges = np.array([[1, 2], [2, 3], [1, 3], [7, 8]], np.uint64)
-    assert {tuple(edges[i].tolist()) for i in simhash.spanning(edges, np.array([3, 1, 2, 9]))} == {(2, 3), (1, 3), (7, 8)}
+    rng = np.random.default_rng(2)
+    for n, similarity in ((0, 0.8), (1, 0.8), (40, 0.0), (40, 0.8), (90, 0.8)):
+        fps = np.full(n, 77, np.uint64)
+        for _ in range(9):
+            fps ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        sizes = rng.integers(80, 130, n)
+        pairs = sorted((int(fps[i] ^ fps[j]).bit_count(), i, j) for i in range(n) for j in range(i) if min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]))
+        tree, want = list(range(n)), []
+        for weight, i, j in pairs:
+            if weight <= 12 and tree[i] != tree[j]:
+                want.append(weight)
+                tree = [tree[j] if t == tree[i] else t for t in tree]
+        edges = simhash.lightest_forest(fps, sizes, 12, similarity)
+        assert sorted(int(fps[i] ^ fps[j]).bit_count() for i, j in edges) == want
+        assert all(min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]) for i, j in edges)
 
 
 @pytest.mark.parametrize("operator", [exact_dedup.deduplicated, simhash.near_deduplicated])

@@ -287,62 +287,40 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def spanning(edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Places of the edges (k, 2) of a minimum spanning forest; every round each tree takes its lightest edge to another."""
-    nodes, ends = np.unique(edges, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    tree, taken, alive = np.arange(len(nodes)), [], np.lexsort((ends[:, 1], ends[:, 0], weights))
-    while True:
-        a, b = tree[ends[alive, 0]], tree[ends[alive, 1]]
-        apart = a != b
-        alive, a, b = alive[apart], a[apart], b[apart]
-        if not len(alive):
-            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
-        lightest = np.full(len(nodes), len(alive))  # places in ``alive``, which stays in the order of weights
-        np.minimum.at(lightest, a, np.arange(len(alive)))
-        np.minimum.at(lightest, b, np.arange(len(alive)))
-        chosen = np.unique(lightest[lightest < len(alive)])
-        taken.append(alive[chosen])
-        for x, y in zip(a[chosen], b[chosen], strict=True):  # as many as trees that are left
-            while tree[x] != x:
-                x = tree[x]
-            while tree[y] != y:
-                y = tree[y]
-            tree[max(x, y)] = min(x, y)
-        while (up := tree[tree]).tobytes() != tree.tobytes():
-            tree = up
+def lightest_forest(fps: np.ndarray, sizes: np.ndarray, tau: int, similarity: float) -> np.ndarray:
+    """Edges (k, 2), as places, of a minimum spanning forest of bit distances up to ``tau``, grown from node to node.
 
-
-def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float) -> np.ndarray:
-    """Links (k, 2) of places: a key's owners with its visitors, as a minimum spanning forest of bit distances.
-
-    Sets whose sizes alone keep them from being as similar as ``similarity`` don't link.
+    Sets whose sizes alone keep them from being as similar as ``similarity`` have no edge. Memory is linear in the nodes.
     """
-    edges, weights, size = [], [], 0
+    n = len(fps)
+    away, via, free, edges = np.full(n, tau + 1, np.uint8), np.zeros(n, np.int64), np.ones(n, bool), []
+    alike = not n or sizes.min() >= similarity * sizes.max() - 1e-9
+    at = 0
+    for _ in range(n - 1):
+        free[at], away[at] = False, 255
+        apart = np.bitwise_count(fps ^ fps[at])
+        closer = (apart < away) & free
+        if not alike:
+            closer &= np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-9
+        np.copyto(away, apart, where=closer)
+        via[closer] = at
+        at = int(away.argmin())
+        if away[at] <= tau:
+            edges.append((via[at], at))
+    return np.array(edges, np.int64).reshape(-1, 2)
 
-    def thinned() -> None:
-        nonlocal edges, weights, size
-        e, w = np.concatenate(edges), np.concatenate(weights)
-        keep = spanning(e, w)
-        edges, weights, size = [e[keep]], [w[keep]], len(keep)
 
+def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float) -> np.ndarray:
+    """Links (k, 2) of places: a key's owners with its visitors, thinned to a minimum spanning forest of bit distances."""
+    shared = np.isin(visiting, own)  # in a block's tile with itself owners visit too, and meet themselves
+    by_owner, linked = np.zeros(len(own), np.int64), []
     step = max((1 << 20) // max(len(own), 1), 1)
     for lo in range(0, len(visiting), step):
-        rows = visiting[lo : lo + step]
-        apart = np.bitwise_count(fps[rows][:, None] ^ fps[own][None, :])
-        i, j = np.nonzero(apart <= tau)
-        a, b = rows[i], own[j]
-        fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
-        if fit.any():
-            edges.append(np.stack([a[fit], b[fit]], 1))
-            weights.append(apart[i[fit], j[fit]])
-            size += int(fit.sum())
-            if size > 1 << 20:
-                thinned()
-    if not size:
-        return np.zeros((0, 2), np.int64)
-    thinned()
-    return edges[0]
+        near = np.bitwise_count(fps[visiting[lo : lo + step], None] ^ fps[None, own]) <= tau
+        by_owner += np.count_nonzero(near, axis=0)
+        linked.append(np.count_nonzero(near, axis=1) > shared[lo : lo + step])
+    nodes = np.union1d(own[by_owner > np.isin(own, visiting)], visiting[np.concatenate(linked)])
+    return nodes[lightest_forest(fps[nodes], sizes[nodes], tau, similarity)]
 
 
 def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
