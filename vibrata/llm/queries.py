@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vibrata.llm import bpe, exact_dedup, gru_lm, licenses, mixing, quality, sharding, simhash, topk, toxicity
+from vibrata.llm import bpe, decontamination, exact_dedup, gru_lm, licenses, mixing, quality, sharding, simhash, topk, toxicity
 from vibrata.llm.common import table
 
 
@@ -63,9 +63,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that lie in windows of benchmark items; see ``decontamination.contamination``."""
+    return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_toxicity, op3_exact_top_k, op4_sharding, op5_quality_classifier, op6_gru_lm, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
+        op12_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL, "op12_decontamination": decontamination.SQL}
