@@ -11,25 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import LOWER, UPPER
+from vibrata.llm.common import GAP, LOWER, UPPER, words_of
 from vibrata.sources.scratch import written
 
 WINDOW = 10  # words of an item's window
-#: What lies between words, in texts with or without A-Z.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MOST = 1 << 17  # places of items, with 2 * WINDOW words each at most, that are broadcast at a time
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased and nothing else; texts of ASCII alone take the quicker function."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def words_of(text: Column) -> Column:
-    """The text's words: what a split leaves, as an extraction of all matches copies the text for each of them."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), GAP), "")
-
-
 def gram_size(length: int) -> int:
     """k for windows of ``length`` words; w is length - k + 1."""
     return (length + 1) // 2

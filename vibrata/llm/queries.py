@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vibrata.llm import bpe, decontamination, exact_dedup, gru_lm, licenses, mixing, quality, sharding, simhash, topk, toxicity
+from vibrata.llm import bpe, decontamination, exact_dedup, gru_lm, impact_index, licenses, merkle, mixing, quality, sharding, simhash, topk, toxicity
 from vibrata.llm.common import table
 
 
@@ -63,15 +63,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item; see ``impact_index.ranked``."""
+    return impact_index.ranked_lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that lie in windows of benchmark items; see ``decontamination.contamination``."""
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, with what a tampered text gives; see ``merkle.manifest``."""
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_toxicity, op3_exact_top_k, op4_sharding, op5_quality_classifier, op6_gru_lm, op7_byte_bpe, op8_exact_dedup, op9_simhash, op10_mixing,
-        op12_decontamination,
+        op11_ranked_search, op12_decontamination, op13_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL, "op12_decontamination": decontamination.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL, "op11_ranked_search": impact_index.SQL, "op12_decontamination": decontamination.SQL, "op13_merkle_manifest": merkle.SQL}
