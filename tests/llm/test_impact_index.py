@@ -101,7 +101,7 @@ def test_the_index_holds_every_document_and_impact(spark):
     assert (n, total) == (300, sum(len(terms_of(t)) for _, t in rows))
     for row in index.collect():
         assert list(row.doc_ids) == sorted(row.doc_ids)
-        slices, words = np.frombuffer(row["slices"], np.uint64).reshape(row.bits, -1), np.frombuffer(row.words, np.int32)
+        slices, words = impact_index.unpacked(row["slices"], row.bits), np.frombuffer(row.words, np.int32)
         for i, term in enumerate(row["terms"]):
             lo, hi = row["columns"][i], row["columns"][i + 1]
             dense = np.zeros((row.bits, -(-len(row.doc_ids) // 64)), np.uint64)

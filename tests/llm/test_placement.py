@@ -251,3 +251,37 @@ def test_rebalancing_against_the_plain_rule(spark):
     for shards in (6, 5, 7):
         now, shard_of = spark.createDataFrame(sharding.rebalanced(now, table, shards).collect()), plain_rebalanced(shard_of, loads, shards)
         assert {r.v_slot: r.shard for r in now.collect()} == shard_of
+
+
+def cancelling(rng, q, score):
+    """Whole numbers below 2^31 whose products with q = (a, b, 2^29, 1), of 58 bits each, add up to ``score``."""
+    x, y = (rng.randrange(2**27, 2**28) for _ in "xy")
+    part, rest = divmod(q[0] * x + q[1] * y, 2**29)
+    return [x, y, -part, score - rest]
+
+
+def test_top_k_of_sums_that_rounding_lifts(spark):
+    """First bounds are floating-point sums; candidates whose terms cancel must not fall below them."""
+    rng = random.Random(7)
+    for seed in range(3):
+        q = [rng.randrange(2**28, 2**29) | 1, rng.randrange(2**28, 2**29) | 1, 2**29, 1]
+        rows = [(0, q)] + [(i, cancelling(rng, q, 9)) for i in range(1, 7)] + [(i, cancelling(rng, q, 12)) for i in range(7, 13)]
+        table = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        found = topk.exact_top_k(table).where("query_id = 0").orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in found] == [(i, 12) for i in range(7, 12)], seed
+
+
+def test_top_k_splits_wide_vectors_off(spark):
+    """A few components beyond all longs among ordinary ones: whole numbers decide, also between the two kinds."""
+    rng = random.Random(3)
+    size = lambda i: 2**70 if i % 37 == 0 else 2**33 if i % 11 == 0 else 300
+    rows = [(i, [rng.randrange(-size(i), size(i)) for _ in range(6)]) for i in range(250)]
+    table = spark.createDataFrame([(i, [float(x) / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    exact = {i: [int(float(x)) for x in v] for i, v in rows}
+    clamp = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    want = []
+    for i in range(0, 250, 50):
+        scores = sorted((-sum(a * b for a, b in zip(exact[i], v, strict=True)), j) for j, v in exact.items() if j != i)[:5]
+        want += [(i, rank, j, clamp(-s)) for rank, (s, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, topk.exact_top_k(table).collect())) == want
+    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0, candidate_block=30, query_block=2).collect())) == want

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,10 +100,19 @@ def slices_of(term: np.ndarray, place: np.ndarray, impact: np.ndarray) -> tuple[
     return term[starts], word[starts], np.array(rows, np.uint64).reshape(bits, len(starts))
 
 
+def unpacked(slices: bytes, bits: int) -> np.ndarray:
+    """(bits, columns) of a block."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(slices), np.uint64).reshape(bits, -1) if bits else np.zeros((0, 0), np.uint64)
+
+
 def sliced(blocks: DataFrame, n: int, total: int) -> DataFrame:
-    """The index: blocks with the slices of their impacts, given the collection's number of documents and of terms."""
+    """The index: blocks with the slices of their impacts, given the collection's number of documents and of terms.
+
+    Slices of rare terms are mostly zeros, so a block's are kept compressed; a task unpacks one block at a time.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3)
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.array(row["counts"], np.int64)
@@ -111,7 +121,7 @@ def sliced(blocks: DataFrame, n: int, total: int) -> DataFrame:
                 impact = impacts(np.frombuffer(row["tfs"], np.int32), np.array(row["lengths"], np.int64)[places], n, total)
                 of, words, slices = slices_of(term, places, impact)
                 columns = np.searchsorted(of, np.arange(len(counts) + 1)).astype(np.int32)
-                out = [[row["doc_ids"]], [row["terms"]], [row["counts"]], [columns], [words.astype(np.int32).tobytes()], [slices.tobytes()], [len(slices)]]
+                out = [[row["doc_ids"]], [row["terms"]], [row["counts"]], [columns], [words.astype(np.int32).tobytes()], [pack.compress(slices.tobytes())], [len(slices)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SLICED, strict=True)], schema=SLICED)
 
     return written(blocks.drop("n_docs", "n_terms").mapInArrow(made, SLICED_DDL))
@@ -182,7 +192,7 @@ def searched(row: dict, items: list[list[tuple[str, int, int]]], k: int, togethe
     held = [(t, i) for i, t in enumerate(row["terms"]) if t in needed]
     if not held:
         return
-    slices = np.frombuffer(row["slices"], np.uint64).reshape(row["bits"], -1)
+    slices = unpacked(row["slices"], row["bits"])
     spans = [np.arange(columns[i], columns[i + 1]) for _, i in held]
     taken = np.concatenate(spans)
     product = weighted(slices[:, taken], np.repeat(np.array([needed[t] for t, _ in held], np.int64), [len(s) for s in spans]))

@@ -74,7 +74,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, co
         dims = len(columns)
         most = float(np.abs(rough(queries)).max(initial=0)) * float(np.abs(rough(columns)).max(initial=0)) * max(dims, 1)
     if not most < LONGS:
-        return search_wide(query_ids, queries, ids, columns, k)
+        return search_mixed(query_ids, queries, ids, columns, k, bars, width)
     kind = float if most < EXACT else np.int64
     queries, columns = queries.astype(kind), np.ascontiguousarray(columns.astype(kind))
     cuts = list(range(width, dims, width)) + [dims]
@@ -106,6 +106,26 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, co
     return found
 
 
+def search_mixed(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, bars: np.ndarray | None, width: int) -> tuple[list[int], list[int], list[int]]:
+    """``search_block`` where some products leave the range of longs: the vectors they come from are searched apart.
+
+    A query may get k candidates from each part.
+    """
+    narrow = np.sqrt(LONGS / max(len(columns), 1)) * (1 - 1e-9)
+    small_q, small_c = (np.abs(rough(m)).max(axis=0, initial=0) < narrow for m in (queries, columns))
+    found: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for of_q, of_c in ((small_q, small_c), (small_q, ~small_c), (~small_q, np.ones_like(small_c))):
+        if of_q.any() and of_c.any():
+            mine, theirs = (query_ids[of_q], queries[:, of_q]), (ids[of_c], columns[:, of_c])
+            if of_c is small_c:
+                part = search_block(*mine, *theirs, k, None if bars is None else bars[of_q], width)
+            else:
+                part = search_wide(*mine, *theirs, k)
+            for into, more in zip(found, part, strict=True):
+                into.extend(more)
+    return found
+
+
 def search_wide(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
     """``search_block`` for components so large that products leave the range of longs: whole numbers of any size."""
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
@@ -157,10 +177,13 @@ def top_k(
                 continue
             dims = max(max(map(len, vs), default=0), b["v"].map(len).max(), 1)
             with np.errstate(over="ignore", invalid="ignore"):
-                scores = rough(scaled(list(b["v"]), dims, factor)).T @ rough(scaled(vs, dims, factor))
+                mine, theirs = rough(scaled(list(b["v"]), dims, factor)), rough(scaled(vs, dims, factor))
+                size = lambda m: np.sqrt((m**2).sum(0))
+                # What rounding can have added to a sum of products, so that no bar lies above the true score.
+                scores = mine.T @ theirs - (dims + 4) * 2.0**-51 * size(mine)[:, None] * size(theirs)[None, :]
+                scores[~np.isfinite(scores)] = -np.inf
             scores[b["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
             bar = np.partition(scores, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(b), -np.inf)
-            bar = np.where(np.abs(bar) < EXACT, bar, -np.inf)  # also where it is not a number
             need = np.where(bar > 0, bar / b["norm"].to_numpy() * (1 - 1e-9), -np.inf)
             yield b[["id", "v"]].assign(bar=bar, lowest=np.searchsorted(np.array(norms), need).astype(np.int32))
 
