@@ -5,8 +5,10 @@ A signal is the rows of one key (one or more columns); ``idx`` numbers its sampl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from vibrata.operators.joins import looked_up
 from vibrata.operators.running import quantiles
 
 STRETCH = 1 << 16  # rows of a stretch, on average, where nothing else is asked for
+MOST_STRETCHES = 1 << 12  # whose cuts are sought at once
 
 
 def nan_to_null(value: str | Column) -> Column:
@@ -28,16 +31,23 @@ def _place(samples: DataFrame, order: str) -> Column:
     return F.unix_micros(F.col(order).cast("timestamp")) / 1e6 if is_time else F.col(order).cast("double")
 
 
-def stretched(samples: DataFrame, order: str, spread: float | None = None, stretch: str = "__stretch") -> DataFrame:
+def stretched(samples: DataFrame, order: str, spread: float | None = None, stretch: str = "__stretch", rows: int = STRETCH) -> DataFrame:
     """``samples`` with the number of the stretch of ``order`` that they lie in, each ``spread`` long.
 
-    Without ``spread`` one pass finds a length that gives stretches of STRETCH rows on average.
+    Without ``spread`` two passes over ``order`` find approximate quantiles that cut all samples into stretches of ``rows``
+    each, about, however unevenly they are spread; beyond MOST_STRETCHES stretches they grow. Equal values of ``order`` are
+    in one stretch, and later values in no earlier one. Rows without ``order`` have the last number.
     """
     place = _place(samples, order)
-    if spread is None:
-        low, high, n = samples.agg(F.min(place), F.max(place), F.count(F.lit(1))).head()
-        spread = (high - low) / (n / STRETCH) if n and high > low else 1.0
-    return samples.withColumn(stretch, F.floor(place / F.lit(float(spread))).cast("long"))
+    if spread is not None:
+        return samples.withColumn(stretch, F.floor(place / F.lit(float(spread))).cast("long"))
+    placed = samples.withColumn("__place", place)
+    parts = min(-(-placed.where("__place IS NOT NULL").count() // rows), MOST_STRETCHES)
+    cuts = sorted(set(placed.approxQuantile("__place", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    if not cuts:
+        return placed.withColumn(stretch, F.lit(0).cast("long")).drop("__place")
+    numbers = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__place", outputCol="__number", handleInvalid="keep").transform(placed)
+    return numbers.withColumn(stretch, F.col("__number").cast("long")).drop("__place", "__number")
 
 
 def indexed(samples: DataFrame, keys: Sequence[str], order: str, spread: float | None = None, idx: str = "idx") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -62,6 +63,75 @@ def counted(samples: DataFrame, key: str, time: str, value: str, size: int, step
     )
 
 
+def counted_in_order(samples: DataFrame, key: str, time: str, value: str, size: int, step: int, late: str = "10 seconds") -> DataFrame:
+    """(key, window_start_sample, array): as ``counted``, in the order of event time whatever the order of arrival.
+
+    Samples wait in state until the watermark, ``late`` behind the newest time of all keys, has passed them: then nothing
+    earlier can come any more, and they go into windows by time, equal times by value. A key without new samples is
+    woken by a timer when the watermark passes its next waiting one. What comes later than ``late`` is dropped and
+    counted (``late_rows``). The state of a key is the samples of ``late`` and the tail of ``counted``. ``time`` is a
+    timestamp; null keys, times and values are left out.
+    """
+
+    def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, seen, times, values = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else ([], 0, [], [])
+        waiting = list(zip(times, values, strict=True))
+        for rows in batches if not state.hasTimedOut else ():
+            waiting += zip(rows["__micros"].tolist(), rows[value].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = sum(1 for t, _ in waiting if t < passed * 1000)
+        held += [float(x) for _, x in waiting[:ready]]
+        waiting = waiting[ready:]
+        out = []
+        while (start := -(-seen // step) * step) + size <= seen + len(held):
+            at = start - seen
+            out.append((name[0], start, held[at : at + size]))
+            drop = min(start + step - seen, len(held))
+            held, seen = held[drop:], seen + drop
+        state.update((held, seen, [t for t, _ in waiting], [float(x) for _, x in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed) + 1)
+        yield pd.DataFrame(out, columns=[key, "window_start_sample", value])
+
+    kind = samples.schema[key].dataType.simpleString()
+    sound = samples.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(value).isNotNull()).withWatermark(time, late)
+    return sound.select(key, time, F.unix_micros(F.col(time)).alias("__micros"), F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(
+        advance, f"`{key}` {kind}, window_start_sample long, `{value}` array<double>", "held array<double>, seen long, times array<long>, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def session_totals(samples: DataFrame, key: str, time: str, value: str, gap: str, late: str = "10 seconds") -> DataFrame:
+    """(key, session_start, session_end, n, total) of sessions that a pause of more than ``gap`` ends, across micro-batches.
+
+    The counterpart over streams of ``temporal.sessions``; ends are the first and last sample's time. State is a row for
+    each open session: samples of a batch are merged into it and into each other before they are stored. A session is
+    given out, in append mode, once the watermark has passed its end; samples later than ``late`` are dropped and counted
+    (``late_rows``). Null keys and times belong to no session; null values count as 0.
+    """
+    sound = samples.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    last = F.max(time)
+    rows = sound.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("__s")).agg(F.min(time).alias("session_start"), last.alias("session_end"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"))
+    return rows.select(key, "session_start", "session_end", "n", "total")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators have dropped as too late, over the progress that is kept."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def replayed(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """The last result of a finite stream, run to its end: each batch's result is written to ``folder``, for ``complete``
+    the last one counts and else all together."""
+
+    def stored(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{'last' if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).foreachBatch(stored).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/*")
+
+
 def scored(windows: DataFrame, features, calibration: DataFrame, selection: Sequence[str], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Health of streamed windows: ``features`` gives their feature columns, and the fitted model is small and stated.
 
