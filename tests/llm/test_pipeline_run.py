@@ -1,4 +1,7 @@
-"""run() on several executors, each a process of its own, against the stages written one by one."""
+"""run() on several executors, each a process of its own, against the stages written one by one.
+
+It starts three more JVMs, so ``conftest.py`` puts it before the tests that share a session.
+"""
 
 import json
 import os
@@ -19,7 +22,7 @@ from vibrata.llm.common import table
 
 scratch, sf = sys.argv[1:]
 spark = (
-    SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false")
+    SparkSession.builder.master("local-cluster[2,1,768]").config("spark.executor.memory", "768m").config("spark.driver.memory", "768m").config("spark.ui.enabled", "false")
     .config("spark.sql.shuffle.partitions", "5").config("spark.driver.host", "127.0.0.1").config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
     .config("spark.checkpoint.dir", f"file://{scratch}/shared").config("spark.sql.files.maxPartitionBytes", "100k").getOrCreate()
 )

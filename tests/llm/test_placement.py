@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,7 +70,6 @@ def test_top_k_of_odd_vectors(spark):
 
 def test_top_k_of_repeats_and_large_components_against_all_pairs(spark):
     """Repeated ids are rows of their own, and components of any size are multiplied exactly."""
-    import random
     from fractions import Fraction
 
     draw = random.Random(4)
@@ -135,7 +135,6 @@ def test_mixing_of_overlapping_sources(spark):
 def test_routes_are_cheapest_against_brute_force():
     """All ways to send small patterns to quotas: as much as possible, and of that the fewest repeated words."""
     import itertools
-    import random
 
     draw = random.Random(8)
     for _ in range(60):
@@ -164,7 +163,6 @@ def _reached(patterns, quotas, amounts):
 
 
 def test_many_patterns_are_routed():
-    import random
 
     draw = random.Random(1)
     patterns = {i: (draw.randrange(1, 1000), draw.sample(range(50), 3)) for i in range(20_000)}
@@ -241,7 +239,6 @@ def plain_rebalanced(shard_of, loads, shards):
 
 
 def test_rebalancing_against_the_plain_rule(spark):
-    import random
 
     draw = random.Random(2)
     loads = {s: draw.randrange(1, 500) for s in range(128) if draw.random() < 0.8}
