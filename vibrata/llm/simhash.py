@@ -27,6 +27,12 @@ SAMPLE = 4096  # fingerprints from which correlations and candidate counts are e
 PROBE_COST, VERIFY_COST = 1.0, 0.002  # of one probe row and one verification, relative
 BLOCK, BLOCKS = 1 << 18, 16  # rows of a block, at most about, and blocks of a small table, for near-dedup by similarity
 TILE = [("i", np.int32), ("j", np.int32), ("own", bool), ("row", np.int64), ("fp", np.int64), ("size", np.int64)]  # what a tile holds
+SKETCH = ["s0", "s1", "s2", "s3"]  # longs of 16 minwise values of 4 bits each
+MINWISE = np.random.default_rng(64).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
+#: Equal values of 64 that a sketch needs: sets as similar as 0.8 have 52 on average, and fewer than 40 once in ten thousand times.
+AGREEING = 40
+DEGREE = 32  # candidates in a key up to which all of a node's are kept
+RECALL = 0.95  # of pairs that are just as similar as asked, for the choice of a radius
 
 
 def digests(words: list[bytes], shingle: int, seed: int = 42):
@@ -287,40 +293,106 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def lightest_forest(fps: np.ndarray, sizes: np.ndarray, tau: int, similarity: float) -> np.ndarray:
-    """Edges (k, 2), as places, of a minimum spanning forest of bit distances up to ``tau``, grown from node to node.
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Four longs: 4 bits of the least of a set's hashes under each of 64 multipliers; of the empty set, zeros."""
+    least = np.full(64, np.iinfo(np.uint64).max)
+    for lo in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[lo : lo + (1 << 12), None] * MINWISE).min(0), out=least)
+    nibbles = (least >> np.uint64(24)) & np.uint64(15) if len(hashes) else np.zeros(64, np.uint64)
+    return np.bitwise_or.reduce(nibbles.reshape(4, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
 
-    Sets whose sizes alone keep them from being as similar as ``similarity`` have no edge. Memory is linear in the nodes.
+
+def disagreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of 64 values sketches (..., 4) don't have in common."""
+    apart = a ^ b
+    apart = apart | (apart >> np.uint64(1))
+    apart = (apart | (apart >> np.uint64(2))) & np.uint64(0x1111111111111111)
+    return np.bitwise_count(apart).sum(-1, dtype=np.int64)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches have AGREEING values in common."""
+    return 64 - disagreeing(a, b) >= AGREEING
+
+
+def radius(similarity: float, recall: float = RECALL) -> int:
+    """Bits in which fingerprints of sets of one size and this similarity differ at most, in a share ``recall`` of cases.
+
+    A bit differs with the angle between the sets over pi; bits count as independent.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total, tau = 0.0, -1
+    while total < recall and tau < BITS - 1:
+        tau += 1
+        total += math.comb(BITS, tau) * share**tau * (1 - share) ** (BITS - tau)
+    return max(tau, 0)
+
+
+def lightest_forest(fps: np.ndarray, sizes: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None) -> np.ndarray:
+    """Edges (k, 2), as places, of a minimum spanning forest over bit distances up to ``tau``, grown from node to node.
+
+    With sketches the weight of an edge is what tells most about similarity: twice the values that differ, and the bits.
+    Sets whose sizes alone keep them from being as similar as ``similarity``, or whose sketches don't agree, have no edge.
+    Memory is linear in the nodes.
     """
     n = len(fps)
-    away, via, free, edges = np.full(n, tau + 1, np.uint8), np.zeros(n, np.int64), np.ones(n, bool), []
+    least_alike = 2 * (64 - AGREEING) if sketches is not None else 0
+    away, via, free, edges = np.full(n, tau + least_alike + 1, np.uint8), np.zeros(n, np.int64), np.ones(n, bool), []
     alike = not n or sizes.min() >= similarity * sizes.max() - 1e-9
     at = 0
     for _ in range(n - 1):
         free[at], away[at] = False, 255
         apart = np.bitwise_count(fps ^ fps[at])
-        closer = (apart < away) & free
+        closer = (apart <= tau) & (apart < away) & free
         if not alike:
             closer &= np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-9
+        if sketches is not None:
+            some = np.flatnonzero(closer)
+            differ = disagreeing(sketches[some], sketches[at])
+            apart[some] += (2 * differ).astype(np.uint8)
+            closer[some] = (differ <= 64 - AGREEING) & (apart[some] < away[some])
         np.copyto(away, apart, where=closer)
         via[closer] = at
         at = int(away.argmin())
-        if away[at] <= tau:
+        if away[at] <= tau + least_alike:
             edges.append((via[at], at))
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float) -> np.ndarray:
-    """Links (k, 2) of places: a key's owners with its visitors, thinned to a minimum spanning forest of bit distances."""
-    shared = np.isin(visiting, own)  # in a block's tile with itself owners visit too, and meet themselves
-    by_owner, linked = np.zeros(len(own), np.int64), []
+def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None) -> np.ndarray:
+    """Links (k, 2) of places: a key's owners with its visitors, where bits, sizes and sketches allow that they are alike.
+
+    All links are kept of nodes that have DEGREE or fewer in the key, so that the texts decide on each; those among the
+    others, which lie in dense groups, are thinned to a minimum spanning forest of bit distances.
+    """
     step = max((1 << 20) // max(len(own), 1), 1)
-    for lo in range(0, len(visiting), step):
-        near = np.bitwise_count(fps[visiting[lo : lo + step], None] ^ fps[None, own]) <= tau
-        by_owner += np.count_nonzero(near, axis=0)
-        linked.append(np.count_nonzero(near, axis=1) > shared[lo : lo + step])
-    nodes = np.union1d(own[by_owner > np.isin(own, visiting)], visiting[np.concatenate(linked)])
-    return nodes[lightest_forest(fps[nodes], sizes[nodes], tau, similarity)]
+
+    def met(lo: int) -> tuple[np.ndarray, np.ndarray]:
+        v, o = np.nonzero(np.bitwise_count(fps[visiting[lo : lo + step], None] ^ fps[None, own]) <= tau)
+        v += lo
+        a, b = visiting[v], own[o]
+        # In a block's tile with itself owners visit too, and meet themselves.
+        good = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        v, o = v[good], o[good]
+        if sketches is not None and len(v):
+            good = agreeing(sketches[visiting[v]], sketches[own[o]])
+            v, o = v[good], o[good]
+        return v, o
+
+    starts = range(0, len(visiting), step)
+    once = [met(0)] if len(starts) == 1 else None
+    by_owner, by_visitor = np.zeros(len(own), np.int64), np.zeros(len(visiting), np.int64)
+    for v, o in once or map(met, starts):
+        by_owner += np.bincount(o, minlength=len(own))
+        by_visitor += np.bincount(v, minlength=len(visiting))
+    found = [np.zeros((0, 2), np.int64)]
+    for v, o in once or map(met, starts):
+        few = (by_visitor[v] <= DEGREE) | (by_owner[o] <= DEGREE)
+        found.append(np.stack([visiting[v[few]], own[o[few]]], 1))
+    many = np.union1d(own[by_owner > DEGREE], visiting[by_visitor > DEGREE])
+    if len(many):
+        found.append(many[lightest_forest(fps[many], sizes[many], tau, similarity, None if sketches is None else sketches[many])])
+    return np.concatenate(found)
 
 
 def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +403,7 @@ def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, n
     return places[order], found, np.append(starts, len(places))
 
 
-def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float) -> np.ndarray:
+def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None) -> np.ndarray:
     """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold."""
     found = [np.zeros((0, 2), np.int64)]
     for part, threshold in parts:
@@ -346,7 +418,7 @@ def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np
             hit = theirs[at] == probed
             for k in np.flatnonzero(hit.any(1)):
                 met = np.concatenate([guests[starts[x] : starts[x + 1]] for x in at[k, hit[k]]])
-                found.append(key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity))
+                found.append(key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches))
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
@@ -363,9 +435,10 @@ def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
 
 
 def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS) -> DataFrame:
-    """(a, b) rows of ``prints`` (row, fp, size) whose fingerprints differ in at most ``tau`` bits; copies may repeat.
+    """(a, b) rows of ``prints`` (row, fp, size and, if it has them, the longs of a sketch) whose fingerprints differ in at
+    most ``tau`` bits and whose sketches agree; copies may repeat.
 
-    The links of each probed key are a minimum spanning forest. Rows lie in blocks by the sizes of their sets, of at
+    Links are thinned in dense groups only (``key_links``). Rows lie in blocks by the sizes of their sets, of at
     most about ``block`` rows, and a tile is a pair of blocks: a row goes only to tiles whose other block holds sizes
     that can be as similar as ``similarity``. Parts are probed inside a tile, so what is shuffled is a row for each
     block in reach, however many keys the plan probes; a task holds two blocks of numbers. Small tables are cut in
@@ -385,7 +458,9 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
     ]
     tiles = prints.sparkSession.createDataFrame(reach, "block int, i int, j int, lo double, hi double")
     met = looked_up(placed, tiles, ["block"]).where((F.col("size") >= F.col("lo")) & (F.col("size") * F.lit(float(similarity)) <= F.col("hi")))
-    dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size")
+    more = [c for c in SKETCH if c in prints.columns]
+    held_columns = [*TILE, *((c, np.int64) for c in more)]
+    dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size", *more)
     dealt = dealt.repartition(max(len({r[1:3] for r in reach}), 1), "i", "j").sortWithinPartitions("i", "j")
 
     def run(batches):
@@ -393,7 +468,8 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
 
         def settled(last: bool):
             nonlocal held
-            i, j, own, row, fp, size = held
+            i, j, own, row, fp, size, *longs = held
+            sketches = np.stack(longs, 1).view(np.uint64) if longs else None
             new = np.ones(len(fp), bool)
             new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = np.append(np.flatnonzero(new), len(fp))
@@ -403,13 +479,13 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
                 mine = np.flatnonzero(own[s:e])
                 others = mine if i[s] == j[s] else np.flatnonzero(~own[s:e])
                 if len(mine) and len(others):
-                    found.append(row[s:e][tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity)])
+                    found.append(row[s:e][tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, None if sketches is None else sketches[s:e])])
             held = [] if last else [x[starts[stop] :] for x in held]
             edges = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
 
         for b in batches:
-            columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False).astype(t) for c, t in TILE]
+            columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False).astype(t) for c, t in held_columns]
             held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
             if len(held[0]):
                 yield settled(last=False)
@@ -436,41 +512,46 @@ def similar_links(links: DataFrame, texts: DataFrame, shingle: int, similarity:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 12) -> DataFrame:
+def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int | None = None) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id, with all its columns.
 
     Texts link when the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
-    Fingerprints of those sets find the candidates, at ``tau`` or fewer of 64 bits, and the texts themselves decide; of
-    texts as similar as 0.8 about one pair in ten has fingerprints further apart and is found through others only. Texts of
+    Fingerprints of those sets find the candidates, at ``tau`` or fewer of 64 bits (by default the ``radius`` of the
+    similarity), minwise sketches leave out those that are not alike by far, and the texts themselves decide; of texts
+    just as similar as asked about one pair in twenty has fingerprints further apart and is found through others only. Texts of
     the same words link, so null texts and texts without words are one group. Null ids come last in a group, and of
     repeated rows one stays. An empty table gives an empty result. Rows are written once with their number and
     fingerprint, so the result doesn't hang on the order in which rows come.
     """
     columns = documents.columns
-    row, one, two, three, raw = unused(columns, "row", "fp", "words", "size", "raw_text")
+    tau = radius(similarity) if tau is None else tau
+    row, one, two, three, raw, *longs = unused(columns, "row", "fp", "words", "size", "raw_text", *SKETCH)
 
     def run(batches):
         for b in batches:
-            prints, same, sizes = [], [], []
+            prints, same, sizes, minwise = [], [], [], [np.zeros((0, 4), np.uint64)]
             for text in binaries(b, raw):
                 hashes = shingle_hashes(text, shingle)
                 prints.append(majority([hashes]))
                 same.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
                 sizes.append(len(hashes))
+                minwise.append(sketch(hashes)[None])
             values = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, same, sizes)]
-            yield pa.RecordBatch.from_arrays([*carried(b, [*columns, row]), *values], [*columns, row, one, two, three])
+            values += [pa.array(x) for x in np.concatenate(minwise).view(np.int64).T.copy()]
+            yield pa.RecordBatch.from_arrays([*carried(b, [*columns, row]), *values], [*columns, row, one, two, three, *longs])
 
     numbered = documents.select(*quoted(columns), F.monotonically_increasing_id().alias(row))
     if dict(documents.dtypes)[text_col] == "string":
         raw = text_col
     else:
         numbered = numbered.withColumn(raw, F.col(f"`{text_col}`").cast("string"))
-    rows = written(numbered.mapInArrow(run, f"{fields(documents, columns)}, `{row}` bigint, `{one}` bigint, `{two}` bigint, `{three}` bigint"))
-    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(one).alias("fp"), F.col(two).alias("words"), F.col(three).alias("size"))
+    rows = written(numbered.mapInArrow(run, f"{fields(documents, columns)}, `{row}` bigint, `{one}` bigint, `{two}` bigint, `{three}` bigint, {', '.join(f'`{c}` bigint' for c in longs)}"))
+    sketched = [F.col(c).alias(s) for c, s in zip(longs, SKETCH, strict=True)]
+    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(one).alias("fp"), F.col(two).alias("words"), F.col(three).alias("size"), *sketched)
     first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     # A row for each sequence of words, and of those one for each fingerprint and size; the rest hang on these.
-    texts = written(narrow.groupBy("fp", "size", "words").agg(F.min(first).alias("first"), F.min("row").alias("row")))
-    prints = written(texts.groupBy("fp", "size").agg(F.min("row").alias("row")))
+    texts = written(narrow.groupBy("fp", "size", "words").agg(F.min(first).alias("first"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in SKETCH)))
+    prints = written(texts.groupBy("fp", "size").agg(F.min(F.struct("row", *SKETCH)).alias("of")).select("of.row", "fp", "size", *(f"of.{c}" for c in SKETCH)))
     named = written(candidate_links(prints, tau, similarity).distinct())
     alike = texts.join(prints.select("fp", "size", F.col("row").alias("of")), ["fp", "size"]).where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
     sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
