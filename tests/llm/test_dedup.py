@@ -285,3 +285,23 @@ def test_rows_that_come_out_of_a_shuffle(spark, operator):
         found = operator(mixed)
         assert found.count() == len(want) and sorted(r.doc_id for r in found.select("doc_id").collect()) == want
         assert sorted(r.doc_id for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["lines", "words", "code", "characters", "sentences"])
+def test_an_inserted_character_changes_the_chunks_about_it_alone(spark, kind):
+    """Texts without stops too: lines that begin with a letter, one long line, and letters without white space."""
+    import random
+
+    rng = random.Random(kind)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9)))
+    joined = {"lines": lambda: f"{word()} {word()} {word()}\n", "words": lambda: f"{word()} ", "code": lambda: f"{word()}={word()};\n", "characters": lambda: rng.choice("漢字仮名交文中日月火水木金土")}
+    text = "".join(joined.get(kind, lambda: f"{word()} {word()}. ")() for _ in range({"characters": 60_000}.get(kind, 6000)))
+    at = len(text) // 3
+    rows = [(0, text), (1, "!" + text), (2, text[:at] + "!" + text[at:]), (3, text[:at] + "a longer passage in between " * 9 + text[at:])]
+    found = {r.doc_id: r.c for r in documents(spark, rows).select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    assert all("".join(found[i]) == t for i, t in rows) and max(map(len, found[0])) <= exact_dedup.LONGEST
+    assert len(found[0]) > 20
+    for i in (1, 2):
+        assert len(set(found[0]) & set(found[i])) > 0.9 * len(set(found[0])), (kind, i)
+    # Behind a long insertion, a third into the text, texts fall into step again.
+    assert len(set(found[0]) & set(found[3])) > 0.6 * len(set(found[0])), (kind, len(set(found[0]) & set(found[3])), len(set(found[0])))

@@ -12,18 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vibrata.llm.common import quoted
+from vibrata.llm.common import quoted, unused
 from vibrata.sources.scratch import written
 
-#: A chunk ends with a stop or line end before white space, from the shortest length on, or at the longest.
+#: Characters of a chunk; the last of a text may be shorter.
 SHORTEST, LONGEST = 512, 4096
+#: Where a chunk ends, from the shortest length on: the first kind of place that comes before the longest length counts, so
+#: text without sentences is cut by its lines, its words or, without white space, by a character that comes twice. Of each
+#: kind the rarer places come first: two texts that are out of step fall into step at a place that both come to first.
+ENDS = (r"[.\n](?=\s+[19AIQYaiqy])", r"[.\n](?=\s|$)", r"\n(?=[19AIQYaiqy])", r"\n", r"\s(?=[19AIQYaiqy][aeiou])", r"\s", r"(.)\1(?=(.)\2)", r"(.)\3")
+MOST = 1 << 20  # numbers of dropped rows that are broadcast
 #: Identifiers to try, in order: the first under which no two contents meet is used.
 KEYS: tuple[Callable[[Column], Column], ...] = (lambda c: F.unhex(F.md5(c.cast("binary"))), lambda c: F.unhex(F.sha2(c.cast("binary"), 256)))
 
 
 def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
-    """The text's chunks in order; joined they give the text. The empty text has none."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{shortest},{longest - 1}}}?[.\n](?=\s|$)|.{{1,{longest}}}"), F.lit(0))
+    """The text's chunks in order; joined they give the text. The empty text has none.
+
+    Each end depends on what lies between it and the end before, so an insertion changes the chunks about it alone.
+    """
+    body = f".{{{shortest},{longest - 2}}}?"
+    return F.regexp_extract_all(text, F.lit("(?s)" + "|".join(body + end for end in ENDS) + f"|.{{1,{longest}}}"), F.lit(0))
 
 
 def recipe(text: Column, key: Callable[[Column], Column]) -> Column:
@@ -85,13 +94,18 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows that stay, with all their columns: of each group of equal texts the one with the largest id.
 
     Null texts count as empty, null ids as the smallest; of repeated rows with the largest id one stays, whichever. An
-    empty table gives an empty result. Rows are not numbered: tasks combine the rows of a recipe before the shuffle, so a
-    group of any size reaches the next task as a row for each task, and the result doesn't hang on the order of rows.
+    empty table gives an empty result. Rows are written once, with a number and their recipe; the numbers alone are
+    compared, and the rows that go are taken out where they lie, by a broadcast of up to MOST numbers, or else by a shuffle.
     """
     key = verified_key(documents, text_col, keys)
-    rows = documents.select(recipe(_text(text_col), key).alias("recipe"), F.struct(F.col(id_col)).alias("id"), F.struct(*quoted(documents.columns)).alias("row"))
-    best = rows.groupBy("recipe").agg(F.max_by("row", "id").alias("row"))
-    return best.select(*(F.col("row")[c].alias(c) for c in documents.columns))
+    columns = documents.columns
+    number, own = unused(columns, "row", "recipe")
+    rows = written(documents.select(*quoted(columns), F.monotonically_increasing_id().alias(number), recipe(_text(f"`{text_col}`"), key).alias(own)))
+    narrow = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(number).alias("number"), F.col(own).alias("recipe"))
+    best = written(narrow.groupBy("recipe").agg(F.max(F.struct("id", "number"))["number"].alias("number")))
+    gone = written(narrow.select("number").join(best.hint("shuffle_hash"), "number", "left_anti").withColumnRenamed("number", number))
+    few = gone.limit(MOST + 1).count() <= MOST
+    return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), number, "left_anti").select(*quoted(columns))
 
 
 def exact_dedup(documents: DataFrame) -> DataFrame:
