@@ -90,9 +90,6 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words of which a text must hold one, in any case, to hold a notice at all; all templates do.
-ANCHOR = r"(?i)licen[cs]e|permission|redistribut|public domain|free software|copyright"
-BEFORE, AFTER = 256, 1024  # bytes of a block before its first anchor and after its last; blocks that meet are one
 RATIO = 0.2  # bytes that a template must save in a block's compressed size, as a share of its own compressed size
 LEVEL = -1  # negative levels leave literals as they are, so that sizes only tell of matches
 #: A raw dictionary that no text shares anything with: blocks compressed with it pay what any dictionary costs.
@@ -107,28 +104,41 @@ VERSION, FAMILY = re.compile(rb"v?\d{1,2}(\.\d+)*"), {b"lesser", b"affero"}
 GOES_ON = {"BSD-1-Clause": b"redistributions", "BSD-2-Clause": b"neither"}
 SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[\w.+-]+)*)")
 
-_ANCHOR, _WORD = re.compile(ANCHOR.encode()), re.compile(rb"\w[\w./+-]*\w|\w")
-
-
-def blocks(text: bytes) -> list[tuple[int, int]]:
-    """Spans around anchors; a notice lies in one whole block."""
-    found: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        lo, hi = max(m.start() - BEFORE, 0), min(m.end() + AFTER, len(text))
-        if found and lo <= found[-1][1]:
-            found[-1][1] = hi
-        else:
-            found.append([lo, hi])
-    return [(a, b) for a, b in found]
+_WORD = re.compile(rb"\w[\w./+-]*\w|\w")
+COMMON = ("license", "licence", "permission", "redistribut", "public domain", "free software", "copyright")  # anchors that need no template
 
 
 def words(text: bytes) -> list[tuple[bytes, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def anchors(templates: dict[str, str]) -> list[str]:
+    """Parts of words of which every text with a notice holds one, in lower case.
+
+    Besides those of COMMON, each template's longest words, as many as it takes for more words to hold an anchor than may
+    differ: whichever words of a notice are changed, one anchor is left.
+    """
+    found = list(COMMON)
+    for text in templates.values():
+        own = [w.decode() for w, _, _ in words(text.encode())]
+        while sum(any(a in w for a in found) for w in own) <= int(DIFFERENCE * len(own)):
+            left = [w for w in own if w.isalpha() and not any(a in w for a in found)]
+            if not left:  # a template of few words, all of which are anchors
+                break
+            found.append(max(left, key=lambda w: (len(w), w)))
+    return found
+
+
+def anchor_pattern(templates: dict[str, str]) -> str:
+    return "(?i)" + "|".join(re.escape(a) if a.isalpha() else a for a in anchors(templates))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {k: [w for w, _, _ in words(t.encode())] for k, t in templates.items()}
+        self.anchor = re.compile(anchor_pattern(templates).encode())
+        #: Bytes of a block before its first anchor and after its last, more than any notice has; blocks that meet are one.
+        self.reach = max((len(t.encode()) for t in templates.values()), default=0) * 5 // 4 + 64
         self.runs: dict[str, dict[tuple[bytes, ...], list[int]]] = {k: {} for k in templates}
         for k, want in self.words.items():
             for i in range(len(want) - RUN + 1):
@@ -140,6 +150,17 @@ class Scanner:
         self.cost = {k: len(self.neutral.compress(self._joined(t.encode()))) - frame for k, t in templates.items()}
         self.with_template = {k: self._compressor(self._joined(t.encode())) for k, t in templates.items()}
 
+    def blocks(self, text: bytes) -> list[tuple[int, int]]:
+        """Spans around anchors; a notice lies in one whole block."""
+        found: list[list[int]] = []
+        for m in self.anchor.finditer(text):
+            lo, hi = max(m.start() - self.reach, 0), min(m.end() + self.reach, len(text))
+            if found and lo <= found[-1][1]:
+                found[-1][1] = hi
+            else:
+                found.append([lo, hi])
+        return [(a, b) for a, b in found]
+
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -219,7 +240,7 @@ class Scanner:
         """
         tags = [(m[1].decode(errors="replace"), m.start(), m.end(1), 1.0, len(words(m[0])), 0, []) for m in SPDX.finditer(text)]
         out = []
-        for lo, hi in blocks(text):
+        for lo, hi in self.blocks(text):
             block = text[lo:hi]
             spans = words(block)
             # Windows are twice as long as the longest template ranked in them and overlap by half, so each holds any such
@@ -228,7 +249,7 @@ class Scanner:
             for step, names in self.sizes:
                 for s in range(0, max(len(spans) - step, 1), step):
                     part = spans[s : s + 2 * step]
-                    if not part or not _ANCHOR.search(block[part[0][1] : part[-1][2]]):
+                    if not part or not self.anchor.search(block[part[0][1] : part[-1][2]]):
                         continue
                     gains = self.reductions(block[part[0][1] : part[-1][2]], names)
                     for gain, name in sorted((-g, k) for k, g in gains.items() if g >= RATIO):
@@ -269,7 +290,7 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: st
             yield pa.RecordBatch.from_arrays([carried(b, ["__id"])[0].take(pa.array(where, pa.int64())), *columns], [id_col, *names])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    source = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__text").rlike(ANCHOR))
+    source = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__text").rlike(anchor_pattern(templates)))
     return source.mapInArrow(run, f"`{id_col}` {kind}, license string, start bigint, end bigint, reduction double, n_words int, n_changed int, changes array<string>")
 
 
