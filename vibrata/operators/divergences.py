@@ -69,19 +69,21 @@ def histograms(values: DataFrame, keys: Sequence[str], value: str, bins: int = d
 def densities(values: DataFrame, keys: Sequence[str], value: str, bins: int = divergence.BINS) -> DataFrame:
     """keys, centers, probs by Gaussian kernels of Silverman's width, on a grid a tenth beyond the range.
 
-    Every value adds to ``bins`` places; tasks add up before the shuffle. Keys with one value or equal ones have no row.
+    A value adds to ``bins`` sums of its key, a column each, so tasks pass on a row for each key and no value is copied.
+    Keys with one value or equal ones have no row.
     """
     stats = values.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).where("n > 1 AND sd > 0")
     margin = 0.1 * (F.col("high") - F.col("low") + 1e-12)
     stats = stats.withColumn("start", F.col("low") - margin).withColumn("step", (F.col("high") - F.col("low") + 2 * margin) / (bins - 1))
     stats = stats.withColumn("width", F.col("sd") * F.pow(3.0 * F.col("n") / 4, F.lit(-0.2))).drop("low", "high", "sd")
-    spread = looked_up(values.where(F.col(value).isNotNull()), stats, keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    z = (F.col("start") + F.col("bin") * F.col("step") - F.col(value)) / F.col("width")
-    sums = spread.groupBy(*keys, "start", "step", "n", "width", "bin").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
-    mass = F.col("s") / (F.col("n") * F.col("width") * float(np.sqrt(2 * np.pi)))
-    rows = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", (F.col("start") + F.col("bin") * F.col("step")).alias("x"), mass.alias("m")))).alias("rows"))
-    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["m"]) + 1e-12
-    return rows.withColumn("total", total).select(*keys, F.transform("rows", lambda r: r["x"]).alias("centers"), F.transform("rows", lambda r: r["m"] / F.col("total")).alias("probs"))
+    near = looked_up(values.where(F.col(value).isNotNull()), stats, keys)
+    place = lambda i: F.col("start") + i * F.col("step")
+    z = lambda i: (place(i) - F.col(value)) / F.col("width")
+    rows = near.groupBy(*keys, "start", "step", "n", "width").agg(*(F.sum(F.exp(-0.5 * z(i) * z(i))).alias(f"__s{i}") for i in range(bins)))
+    mass = F.transform(F.array(*(F.col(f"__s{i}") for i in range(bins))), lambda s: s / (F.col("n") * F.col("width") * float(np.sqrt(2 * np.pi))))
+    told = rows.select(*keys, F.array(*(place(i) for i in range(bins))).alias("centers"), mass.alias("mass"))
+    total = F.aggregate("mass", F.lit(0.0), lambda s, m: s + m) + 1e-12
+    return told.withColumn("total", total).select(*keys, "centers", F.transform("mass", lambda m: m / F.col("total")).alias("probs"))
 
 
 def reference_distributions(samples: DataFrame, keys: Sequence[str], level: int = 5, bins: int = divergence.BINS, method: str = "histogram", idx: str = "idx", value: str = "value") -> DataFrame:

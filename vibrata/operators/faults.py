@@ -201,3 +201,22 @@ def added_noise(samples: DataFrame, keys: Sequence[str], severity: float, seed:
     stats = samples.groupBy(*keys).agg(F.stddev_pop(value).alias("__std"))
     draw = normal(seed, [*(F.col(k) for k in keys), F.col(idx)], "noise")
     return looked_up(samples, stats, keys).withColumn(value, F.col(value) + draw * severity * F.col("__std")).select(*samples.columns)
+
+
+#: What a sweep may raise by steps: noise in deviations and a straight drift in ranges of the signal.
+SWEEPS = {"noise": added_noise, "drift": linear_drift}
+
+
+def swept(samples: DataFrame, keys: Sequence[str], severities: dict[str, Sequence[float]], idx: str = "idx", value: str = "value") -> DataFrame:
+    """``samples`` once for each severity of each sweep of SWEEPS that is named, with ``sweep`` and ``severity``.
+
+    The same draws are used at every severity of noise, so a sweep changes nothing but the amount.
+    """
+    steps = [(name, float(severity)) for name, some in severities.items() for severity in some]
+    if not steps:
+        raise ValueError("a sweep needs a severity")
+    every = None
+    for name, severity in steps:
+        one = SWEEPS[name](samples, keys, severity, idx=idx, value=value).withColumn("sweep", F.lit(name)).withColumn("severity", F.lit(severity))
+        every = one if every is None else every.unionByName(one)
+    return every

@@ -29,6 +29,25 @@ def filled(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return features.select(*(c for c in features.columns if c not in names), *(F.coalesce(F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")), F.lit(0.0)).alias(n) for n in names))
 
 
+def label_codes(labelled: DataFrame, label: str) -> DataFrame:
+    """(label, code): the labels that occur, numbered from 0 in the order of their text; null is no label.
+
+    Labels are few, so one task ranks them.
+    """
+    known = labelled.select(label).where(F.col(label).isNotNull()).distinct()
+    return known.withColumn("code", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(label).cast("string"))) - 1).cast("int"))
+
+
+def encoded(table: DataFrame, codes: DataFrame, label: str, unseen: int = -1) -> DataFrame:
+    """``table`` with ``code``; ``unseen`` for labels without one and for null."""
+    return looked_up(table, codes, [label], "left").withColumn("code", F.coalesce("code", F.lit(unseen)))
+
+
+def decoded(table: DataFrame, codes: DataFrame, label: str) -> DataFrame:
+    """``table`` with the label of its ``code``; null for numbers that are no code."""
+    return looked_up(table, codes.select("code", label), ["code"], "left")
+
+
 def forest(names: Sequence[str], label: str, trees: int = 100, depth: int = 10, scale: bool = True, seed: int = 42) -> Pipeline:
     """Assembling, scaling, indexing of the label, the forest, and the label back as ``predicted``."""
     indexer = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibrata.functions import allan, quality, registered, spectrum, wavelet
-from vibrata.operators import temporal, whole
+from vibrata.operators import temporal, whole, windows
+from vibrata.operators.extract import Families, FeatureExtractor
 from vibrata.plans import oracle as o
 from vibrata.plans.queries_windows import _welch_sql
 from vibrata.plans.registry import query
 from vibrata.plans.tables import FS, PLAIN_NAMES, read, rounded, signal
 from vibrata.sources.scratch import shared_folder
-from vibrata.streaming.windows import replayed, session_totals
+from vibrata.streaming.windows import counted_in_order, replayed, session_totals
 
 KEY = ["signal_id"]
 WHOLE = f"WITH {o.SIGNAL}, base AS (SELECT signal_id, 0 AS ws, idx AS i, value AS x FROM sig)"
@@ -185,3 +186,37 @@ def k06_sql_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "embeddings").createOrReplaceTempView("vectors")
     found = spark.sql("SELECT vec_id, posexplode(modwt_band(CAST(embedding AS ARRAY<DOUBLE>), 3, 2)) AS (i, coef) FROM vectors")
     return rounded(found.withColumn("i", F.col("i").cast("long")))
+
+
+@query(f"""WITH {o.SIGNAL}, n AS (SELECT signal_id, count(*) AS n FROM sig GROUP BY 1),
+starts AS (SELECT signal_id, w AS "window", floor({o.uniform(42, ['signal_id', 'w'], 'start')} * (n - 49))::BIGINT AS s FROM n CROSS JOIN range(20) t(w) WHERE n >= 50)
+SELECT signal_id, "window"::INTEGER AS "window", s AS window_start_sample, (idx - s)::INTEGER AS place, {o.r('value', 'value')} FROM starts JOIN sig USING (signal_id) WHERE idx >= s AND idx < s + 50""")
+def c03_random_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of windows at random starts."""
+    own = signal(spark, sf_dir)
+    cut = windows.at_starts(own, windows.random_starts(own, KEY, 50, 20), KEY, 50)
+    return rounded(cut.select(*KEY, "window", "window_start_sample", F.posexplode("value").alias("place", "value")))
+
+
+@query(f"""WITH {o.SIGNAL}, {o.windows('sig', KEY, 100, 100)}, {o.time_features('win', KEY, 'feat')}
+SELECT signal_id, ws AS window_start_sample, {', '.join(o.r(n, n) for n in ('mean', 'variance', 'rms', 'skewness', 'kurtosis', 'zcr', 'quantile_25', 'quantile_50', 'quantile_75'))} FROM feat""")
+def c10_only_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All other families switched off: the columns that are left, with their values."""
+    found = FeatureExtractor(FS, Families(spectrum=False, allan=False, wavelet_level=None, signal_quality=False)).process(signal(spark, sf_dir), KEY, 1.0, 1.0)
+    return rounded(found.drop("window_start_sec"))
+
+
+@query(f"WITH {o.SIGNAL}, {o.windows('sig', KEY, 64, 32)} SELECT signal_id, ws AS window_start_sample, {o.r('avg(x)', 'mean')}, {o.r('max(x) FILTER (WHERE i = 0)', 'first')}, {o.r('max(x) FILTER (WHERE i = 63)', 'last')} FROM win GROUP BY signal_id, ws")
+def k07_ordered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a count of samples from a stream whose batches come out of order; two late rows of no sensor end it."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("signal_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows.repartition(4, F.xxhash64("ts")).write.parquet(f"{folder}/events")
+    latest = rows.agg(F.max("ts").alias("ts"))
+    for days in (100, 200):  # the first lets the watermark pass all samples, the second lets it be noticed
+        end = latest.select(F.lit("end").alias("signal_id"), (F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), F.lit(0.0).alias("value"))
+        end.where("ts IS NOT NULL").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    found = replayed(counted_in_order(stream, "signal_id", "ts", "value", 64, 32, "60 days"), f"{folder}/found", "append")
+    mean = F.aggregate("value", F.lit(0.0), lambda s, x: s + x) / F.size("value")
+    return rounded(found.select(*KEY, "window_start_sample", mean.alias("mean"), F.get("value", F.lit(0)).alias("first"), F.element_at("value", -1).alias("last")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibrata.operators import divergences, evaluation, faults, learning, scoring, signals, stability, windows
+from vibrata.operators import autoencoder, divergences, evaluation, faults, learning, scoring, signals, stability, windows
 from vibrata.operators.extract import FeatureExtractor
 from vibrata.plans import health, oracle as o
 from vibrata.plans.queries_windows import KEY, PLAIN_SQL
@@ -476,3 +476,80 @@ def j40_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learning.fit_window_pca(healthy, k=8)
     both = healthy.withColumn("label", F.lit(0)).unionByName(hurt.withColumn("label", F.lit(1)))
     return learning.reconstruction_error(model, both).select(*KEY, "window_start_sample", "label", "error")
+
+
+@query()
+def j40_sequence_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a recurrent autoencoder that learns from healthy windows, on healthy and degraded ones."""
+    normal = signals.normalised(signal(spark, sf_dir), KEY)
+    healthy = written(windows.sliding(normal, KEY, 64, 32))
+    hurt = windows.sliding(faults.injected(normal, KEY, F.lit("noise_increase"), F.lit(1.0)), KEY, 64, 32)
+    both = written(healthy.withColumn("label", F.lit(0)).unionByName(hurt.withColumn("label", F.lit(1))))
+    model = autoencoder.fit(healthy, validation=both, rounds=3, epochs=2, hidden=16)
+    return model.score(both).select(*KEY, "window_start_sample", "label", "error")
+
+
+SWEPT = {"noise": (0.0, 0.5, 1.0, 2.0), "drift": (0.5, 1.0)}
+SWEEP = ["signal_id", "sweep", "severity"]
+
+
+@query(f"""{LONG}, {STATS}, {o.SIGNAL}, own AS (SELECT signal_id, count(*) AS n, stddev_pop(value) AS s, max(value) - min(value) AS r FROM sig GROUP BY 1),
+grid AS (SELECT unnest({[k for k, v in SWEPT.items() for _ in v]}) AS sweep, unnest({[x for v in SWEPT.values() for x in v]})::DOUBLE AS severity),
+raised AS (SELECT signal_id, sweep, severity, idx, CASE sweep WHEN 'noise' THEN value + {o.normal(42, ['signal_id', 'idx'], 'noise')} * severity * s ELSE value + severity * r * idx / greatest(n - 1, 1) END AS value FROM sig JOIN own USING (signal_id) CROSS JOIN grid),
+{o.windows('raised', SWEEP, 64, 32, 'rw')}, {o.time_features('rw', SWEEP, 'rf')}, rlong AS (SELECT signal_id, sweep, severity, ws, {UNPIVOT} FROM rf),
+v AS (SELECT unnest(['level', 'level', 'shape', 'centre']) AS vector, unnest(['mean', 'rms', 'kurtosis', 'quantile_50']) AS feature)
+SELECT vector, signal_id, sweep, severity, {o.r('avg(score)', 'mean_health_score')} FROM (
+  SELECT vector, signal_id, sweep, severity, ws, avg(abs((value - mean) / std)) AS score FROM rlong JOIN st USING (signal_id, feature) JOIN v USING (feature) GROUP BY ALL) GROUP BY ALL""")
+def j48_composition_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of different features under rising noise and drift, against the healthy windows."""
+    reference = plain_features(spark, sf_dir)
+    hurt = written(faults.swept(signal(spark, sf_dir), KEY, SWEPT))
+    features = FeatureExtractor(FS, PLAIN).process(hurt, SWEEP, 0.64, 0.32)
+    vectors = {"level": ["mean", "rms"], "shape": ["kurtosis"], "centre": ["quantile_50"]}
+    return rounded(scoring.composition(features, NAMES, vectors, reference, ["sweep", "severity"], KEY))
+
+
+@query(f"""WITH {o.SIGNAL}, {o.windows('sig', KEY, 64, 32, 'bw')}, {o.time_features('bw', KEY, 'bf')}, blong AS (SELECT signal_id, ws, {UNPIVOT} FROM bf),
+st AS (SELECT signal_id, feature, avg(value) AS base, stddev_samp(value) + 1e-12 AS std FROM blong GROUP BY ALL),
+{_hurt_sql()}, worst AS (SELECT * FROM hurt WHERE severity = 2.0), {o.windows('worst', CELL, 64, 32, 'hw')}, {o.time_features('hw', CELL, 'hf')}, hlong AS (SELECT signal_id, fault_type, ws, {UNPIVOT} FROM hf),
+moved AS (SELECT signal_id, fault_type, feature, avg(value) AS mean FROM hlong GROUP BY ALL),
+told AS (SELECT signal_id, feature, avg(abs(mean - base) / greatest(std, 1e-12)) AS response FROM moved JOIN st USING (signal_id, feature) GROUP BY ALL)
+SELECT signal_id, feature, {o.r('response', 'fault_response')}, row_number() OVER (PARTITION BY signal_id ORDER BY response DESC, feature)::INTEGER AS response_rank FROM told""")
+def j11_response_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features ranked by how far faults at severity 2 move their means, in deviations of the healthy windows."""
+    extractor = FeatureExtractor(FS, PLAIN)
+    own = signal(spark, sf_dir)
+    healthy = written(extractor.process(own, KEY, 0.64, 0.32))
+    hurt = extractor.process(written(faults.injected_cells(own, KEY, POINTWISE, (2.0,))), CELL, 0.64, 0.32)
+    return rounded(stability.response_ranks(healthy, hurt, NAMES, stability.reference_stats(healthy, NAMES, KEY), keys=KEY))
+
+
+@query(f"""WITH {o.CELLS}, {o.windows('cells', CELLS_KEYS, 64, 32)}, {o.time_features('win', CELLS_KEYS, 'feat')},
+codes AS (SELECT condition, row_number() OVER (ORDER BY condition) - 1 AS code FROM (SELECT DISTINCT condition FROM feat WHERE condition <> 'c1'))
+SELECT signal_id, f.condition, ws AS window_start_sample, coalesce(code, -1)::INTEGER AS code, CASE WHEN code IS NULL THEN NULL ELSE f.condition END AS again, {o.r("CASE WHEN f.skewness > 1 THEN 0.0 ELSE f.skewness END", 'skewness')}
+FROM feat f LEFT JOIN codes USING (condition)""")
+def j34_encoded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of two conditions given to windows of all three, and the labels back; missing features filled."""
+    features = plain_features(spark, sf_dir)
+    codes = learning.label_codes(features.where("condition <> 'c1'"), "condition")
+    given = learning.encoded(features, codes, "condition")
+    back = learning.decoded(given.withColumnRenamed("condition", "own"), codes, "condition").withColumnRenamed("condition", "again").withColumnRenamed("own", "condition")
+    holed = back.withColumn("skewness", F.when(F.col("skewness") <= 1, F.col("skewness")))
+    return rounded(learning.filled(holed, ["skewness"]).select(*CELLS_KEYS, "window_start_sample", "code", "again", "skewness"))
+
+
+@query(f"""WITH {o.CELLS}, {o.windows('cells', CELLS_KEYS, 128, 64)},
+k AS (SELECT condition, row_number() OVER (ORDER BY condition) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT condition FROM cells)),
+w AS (SELECT signal_id, condition, ws, i, x, CASE WHEN k < floor(0.7 * n + 1e-9) THEN 'train' WHEN k < floor(0.85 * n + 1e-9) THEN 'val' ELSE 'test' END AS split,
+  ({o.uniform(42, ['signal_id', 'condition', 'ws'], 'degraded')} < 0.5)::INTEGER AS label FROM win JOIN k USING (condition)),
+st AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM w WHERE split = 'train' AND label = 0)
+SELECT signal_id, condition, ws AS window_start_sample, split, label, CASE WHEN label = 0 THEN round(avg((x - m) / s), 6) + 0.0 END AS mean, CASE WHEN label = 0 THEN round(min((x - m) / s), 6) + 0.0 END AS low,
+  CASE WHEN label = 0 THEN round(max((x - m) / s), 6) + 0.0 END AS high, CASE WHEN label = 0 THEN round(max((x - m) / s) FILTER (WHERE i = 0), 6) + 0.0 END AS first FROM w CROSS JOIN st GROUP BY signal_id, condition, ws, split, label""")
+def j41_window_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled values of the healthy windows of the dataset; those of degraded ones, which have random faults, are left null."""
+    cut = written(windows.sliding(cells(spark, sf_dir), CELLS_KEYS, 128, 64))
+    mixed = written(learning.degraded_share(learning.subject_splits(cut, "condition"), [*CELLS_KEYS, "window_start_sample"]))
+    scaled = learning.scaled_windows(mixed, mixed.where("split = 'train' AND label = 0"))
+    mean = F.aggregate("value", F.lit(0.0), lambda s, x: s + x) / F.size("value")
+    told = {"mean": mean, "low": F.array_min("value"), "high": F.array_max("value"), "first": F.get("value", F.lit(0))}
+    return rounded(scaled.select(*CELLS_KEYS, "window_start_sample", "split", "label", *(F.when(F.col("label") == 0, c).alias(n) for n, c in told.items())))

@@ -53,26 +53,30 @@ def a06_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tables.shl_motion(lines).select("timestamp", "accel_x", "accel_y")
 
 
-NOISE = f"""draws AS (SELECT kind, c AS channel, i AS idx, CASE kind WHEN 'white' THEN {o.normal(42, ['c', 'i'], 'white')} ELSE {o.normal(42, ['c', 'i'], 'brown')} END AS d
-  FROM (SELECT unnest(['white', 'brown']) AS kind) CROSS JOIN range(2) a(c) CROSS JOIN range(4096) b(i)),
-raw AS (SELECT kind, channel, idx, CASE kind WHEN 'white' THEN d ELSE sum(d) OVER (PARTITION BY kind, channel ORDER BY idx) END AS v FROM draws)"""
+OCTAVES = " + ".join(o.normal(42, ["signal_id", str(k), f"(idx >> {k})"], "pink") for k in range(synthetic.OCTAVES))
+NOISE = f"""{o.SIGNAL}, draws AS (SELECT kind, signal_id, idx, CASE kind WHEN 'white' THEN {o.normal(42, ['signal_id', 'idx'], 'white')} WHEN 'brown' THEN {o.normal(42, ['signal_id', 'idx'], 'brown')} ELSE {OCTAVES} END AS d
+  FROM sig CROSS JOIN (SELECT unnest(['white', 'brown', 'pink']) AS kind)),
+raw AS (SELECT kind, signal_id, idx, CASE kind WHEN 'brown' THEN sum(d) OVER (PARTITION BY kind, signal_id ORDER BY idx) ELSE d END AS v FROM draws)"""
 
 
-@query(f"WITH {NOISE} SELECT kind, channel::INTEGER AS channel, idx, {o.r('(v - avg(v) OVER w) / stddev_pop(v) OVER w * 2.0 + 1.5', 'value')} FROM raw WINDOW w AS (PARTITION BY kind, channel)")
+def _noises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, made = signal(spark, sf_dir), None
+    for kind in synthetic.KINDS:
+        one = synthetic.noise_like(own, KEY, 1.5, 2.0, kind).withColumn("kind", F.lit(kind))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query(f"WITH {NOISE} SELECT kind, signal_id, idx, {o.r('(v - avg(v) OVER w) / stddev_pop(v) OVER w * 2.0 + 1.5', 'value')} FROM raw WINDOW w AS (PARTITION BY kind, signal_id)")
 def a11_drawn_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """White and brown noise, sample by sample."""
-    made = [synthetic.noise(spark, 4096, 2, 1.5, 2.0, kind).withColumn("kind", F.lit(kind)) for kind in ("white", "brown")]
-    return rounded(made[0].unionByName(made[1]))
+    """White, brown and pink noise for each sample of every sensor."""
+    return rounded(_noises(spark, sf_dir))
 
 
-@query("SELECT unnest(['white', 'brown', 'pink']) AS kind, channel, 1.5::DOUBLE AS mean, 2.0::DOUBLE AS std, 4096::BIGINT AS n FROM (SELECT unnest([0, 1])::INTEGER AS channel)")
+@query(f"WITH {o.SIGNAL} SELECT unnest(['white', 'brown', 'pink']) AS kind, signal_id, 1.5::DOUBLE AS mean, 2.0::DOUBLE AS std, n FROM (SELECT signal_id, count(*) AS n FROM sig GROUP BY 1)")
 def a11_synthetic_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments of the three kinds of noise; they are what was asked for."""
-    made = None
-    for kind in synthetic.KINDS:
-        one = synthetic.noise(spark, 4096, 2, 1.5, 2.0, kind).withColumn("kind", F.lit(kind))
-        made = one if made is None else made.unionByName(one)
-    return rounded(made.groupBy("kind", "channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")))
+    """Moments of the three kinds of noise in the shape of every sensor's signal; they are what was asked for."""
+    return rounded(_noises(spark, sf_dir).groupBy("kind", *KEY).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")))
 
 
 @query(f"""SELECT event_type AS signal_id, channel, {o.r('value * CASE channel WHEN $$accel$$ THEN 0.061e-3 * 9.81 ELSE 1 / 131.0 END', 'value', 9)}
