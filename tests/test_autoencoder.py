@@ -75,9 +75,9 @@ def test_tasks_train_one_network_that_tells_degraded_windows(spark, waves, tmp_p
     healthy, bad = waves
     frame = lambda rows, label: spark.createDataFrame([(x.tolist(), label) for x in rows], "value array<double>, label int")
     checked, tested = frame(healthy[160:200], 0).union(frame(bad[:40], 1)), frame(healthy[200:], 0).union(frame(bad[40:], 1))
-    model = autoencoder.fit(frame(healthy[:160], 0).repartition(3), validation=checked, hidden=16, latent=6, rounds=5, epochs=8, tasks=3)
+    model = autoencoder.fit(frame(healthy[:160], 0).repartition(3), validation=checked, hidden=16, latent=6, rounds=5, epochs=20, batch=16, tasks=3)
     assert 1 <= model.round <= 5 and model.separation > 0
-    again = autoencoder.fit(frame(healthy[:160], 0).repartition(7), validation=checked, hidden=16, latent=6, rounds=5, epochs=8, tasks=3)
+    again = autoencoder.fit(frame(healthy[:160], 0).repartition(7), validation=checked, hidden=16, latent=6, rounds=5, epochs=20, batch=16, tasks=3)
     assert np.allclose(again.weights, model.weights)  # however the rows come
     model.save(spark, str(tmp_path / "model"))
     loaded = autoencoder.SequenceAutoencoder.load(spark, str(tmp_path / "model"))

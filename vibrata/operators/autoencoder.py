@@ -206,17 +206,19 @@ def fit(
     if dealt.isEmpty():
         raise ValueError("no healthy window to learn from")
     checked = None if validation is None else written(validation.select(*names, label))
-    now, best = flat(started(len(channels), hidden, latent, seed)), None
-    for number in range(1, rounds + 1):
-        shared = spark.sparkContext.broadcast(now)
 
-        def learn(key: tuple, table: pa.Table, number: int = number, shared=shared) -> pa.Table:
+    def learner(number: int, shared):
+        def learn(key: tuple, table: pa.Table) -> pa.Table:
             rows = table.combine_chunks().sort_by([("__order", "ascending")]).to_batches()
             windows = np.concatenate([matrices(b, names) for b in rows])
             copy = trained(unflat(shared.value, len(names), hidden, latent), windows, epochs, rate / number**0.5, batch, seed + 1000 * number + key[0].as_py())
             return pa.table({"n": pa.array([len(windows)], pa.int64()), "weights": pa.array([flat(copy)], pa.list_(pa.float64()))})
 
-        copies = dealt.withColumn("__order", F.xxhash64(*names)).groupBy("part").applyInArrow(learn, "n long, weights array<double>")
+        return learn
+
+    now, best = flat(started(len(channels), hidden, latent, seed)), None
+    for number in range(1, rounds + 1):
+        copies = dealt.withColumn("__order", F.xxhash64(*names)).groupBy("part").applyInArrow(learner(number, spark.sparkContext.broadcast(now)), "n long, weights array<double>")
         mean = copies.select("n", F.posexplode("weights").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
         now = np.zeros(width)
         for r in mean.collect():  # a row for each weight
