@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vibrata.operators import temporal
 from vibrata.operators.signals import indexed
 from vibrata.operators.windows import sliding
-from vibrata.streaming.windows import counted_in_order, late_rows, session_totals
+from vibrata.streaming.windows import counted_in_order, late_rows, lateness, replayed, session_totals
 
 START = 1_700_000_000
 
@@ -52,3 +52,17 @@ def test_streamed_sessions_equal_those_of_the_table_and_late_rows_are_counted(sp
     told = lambda t: round(t.timestamp() - START, 3)
     assert sorted((r.k, told(r.session_start), told(r.session_end), r.n, r.total) for r in got) == sorted((r.k, r.session_start, r.session_end, r.n, r.total) for r in want)
     assert late_rows(query) == 1
+
+
+def test_files_of_a_table_give_its_sessions_whatever_their_order(spark, tmp_path):
+    rows = [(k, float(i * step), 1.0) for k, step in (("a", 5), ("b", 4), ("c", 7)) for i in range(40)]  # pauses of the gap itself, less and more
+    rows.sort(key=lambda r: -r[1])
+    frame = lambda b: spark.createDataFrame(b, "k string, s double, value double").select("k", F.timestamp_micros((F.col("s") * 1e6).cast("long") + START * 10**6).alias("ts"), "value")
+    for i in range(0, 120, 30):  # the newest file first
+        frame(rows[i : i + 30]).coalesce(1).write.mode("append").parquet(str(tmp_path / "reversed"))
+    stream = spark.readStream.schema("k string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "reversed"))
+    got = replayed(session_totals(stream, "k", "ts", "value", "5 seconds", lateness(frame(rows), "ts")), str(tmp_path / "found")).collect()
+    want = temporal.sessions(spark.createDataFrame(rows, "k string, s double, value double"), ["k"], "s", 5.0, 9, {"total": "value"}).collect()
+    told = lambda t: round(t.timestamp() - START, 3)
+    assert sorted((r.k, told(r.session_start), told(r.session_end), r.n, r.total) for r in got) == sorted((r.k, r.session_start, r.session_end, r.n, r.total) for r in want)
+    assert lateness(frame(rows).where("false"), "ts") == "0 milliseconds"

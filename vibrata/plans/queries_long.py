@@ -15,7 +15,7 @@ from vibrata.plans.queries_windows import _welch_sql
 from vibrata.plans.registry import query
 from vibrata.plans.tables import FS, PLAIN_NAMES, read, rounded, signal
 from vibrata.sources.scratch import shared_folder
-from vibrata.streaming.windows import counted_in_order, replayed, session_totals
+from vibrata.streaming.windows import counted_in_order, lateness, replayed, session_totals
 
 KEY = ["signal_id"]
 WHOLE = f"WITH {o.SIGNAL}, base AS (SELECT signal_id, 0 AS ws, idx AS i, value AS x FROM sig)"
@@ -147,14 +147,18 @@ def k05_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SESSIONS)
 def k05_streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sessions from the events as a stream of several files, a batch each, run to its end."""
+    """The same sessions from the events as a stream of several files, a batch each, run to its end.
+
+    Tasks finish in any order and the stream takes files by their age, so a batch may be older than those before it.
+    """
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     rows = read(spark, sf_dir, "events")
     rows.repartitionByRange(4, "ts").write.parquet(f"{folder}/events")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
     condition = F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))
     own = stream.select(condition.alias("condition"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    found = replayed(session_totals(own, "condition", "ts", "value", "15 minutes"), f"{folder}/found")
+    late = lateness(rows.select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    found = replayed(session_totals(own, "condition", "ts", "value", "15 minutes", late), f"{folder}/found")
     return rounded(found.select("condition", F.unix_micros("session_start").alias("started"), F.unix_micros("session_end").alias("ended"), "n", F.col("total").alias("amount")))
 
 

@@ -102,19 +102,26 @@ def counted_in_order(samples: DataFrame, key: str, time: str, value: str, size:
 
 
 def session_totals(samples: DataFrame, key: str, time: str, value: str, gap: str, late: str = "10 seconds") -> DataFrame:
-    """(key, session_start, session_end, n, total) of sessions that a pause of more than ``gap`` ends, across micro-batches.
+    """(key, session_start, session_end, n, total) of sessions that a pause of ``gap`` or more ends, across micro-batches.
 
-    The counterpart over streams of ``temporal.sessions``; ends are the first and last sample's time. State is a row for
+    The counterpart over streams of ``temporal.sessions``; ends are the first and last sample's time. Spark's session
+    windows go on over a pause of exactly their gap, so theirs is a microsecond shorter. State is a row for
     each open session: samples of a batch are merged into it and into each other before they are stored. A session is
     given out, in append mode, once the watermark has passed its end; samples later than ``late`` are dropped and counted
     (``late_rows``). Null keys and times belong to no session; null values count as 0.
     """
     sound = samples.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     last = F.max(time)
-    rows = sound.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("__s")).agg(F.min(time).alias("session_start"), last.alias("session_end"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"))
+    rows = sound.withWatermark(time, late).groupBy(key, F.session_window(time, f"{gap} -1 microseconds").alias("__s")).agg(F.min(time).alias("session_start"), last.alias("session_end"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"))
     return rows.select(key, "session_start", "session_end", "n", "total")
 
 
+def lateness(table: DataFrame, time: str) -> str:
+    """How late rows of a finite ``table`` can come at most, in whatever order its parts are streamed."""
+    first, last = table.agg(F.min(F.unix_micros(F.col(time))), F.max(F.unix_micros(F.col(time)))).head()
+    return f"{(last - first) // 1000 + 1 if first is not None else 0} milliseconds"
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the query's stateful operators have dropped as too late, over the progress that is kept."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
