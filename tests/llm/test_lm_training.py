@@ -53,3 +53,24 @@ def test_held_out_rows_alone_are_scored(spark):
     got = gru_lm.lm_scoring(documents(spark, [(i, "some words here") for i in held])).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(i, 4, 0, 0, 0.0) for i in held]
     assert all(r.held_out and r.score < 0 for r in got)
+
+
+def test_the_query_learns_from_every_training_text(spark, monkeypatch):
+    seen = []
+
+    def watched(pieces, network):
+        seen.extend(len(r.ids) // 2 for r in pieces.collect())
+        return network
+
+    monkeypatch.setattr(gru_lm, "train_apart", watched)
+    monkeypatch.setattr(gru_lm.fit, "__defaults__", tuple(100 if x == gru_lm.FEWEST else x for x in gru_lm.fit.__defaults__))
+    gru_lm.lm_scoring(documents(spark, [(i, "one more text " * (i % 5)) for i in range(2000)]))
+    assert sorted(seen) == sorted(3 * (i % 5) + 1 for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
+def test_every_text_has_its_round():
+    for length in (10, 1000, 40_000):  # pieces that are learned from in all rounds, in two and in one
+        docs = [np.full(length, i, np.int16) for i in range(100)]
+        rounds = [[int(d[0]) for d in gru_lm.part_of_round(docs, k, 3)] for k in range(3)]
+        assert set().union(*rounds) == set(range(100)) and max(map(len, rounds)) - min(map(len, rounds)) <= 1
+        assert sum(map(len, rounds)) == 100 * min(3, -(-gru_lm.WANTED // (100 * length)))

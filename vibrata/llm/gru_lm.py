@@ -3,7 +3,7 @@
 Word counts are gathered over the whole corpus by Spark. The most frequent words are the network's vocabulary; every
 other word is a member of one of its rare-word buckets, and its probability is the bucket's, by the network, times its
 smoothed share of the bucket, by the counts. The output softmax is factored into classes of equal size. Training is
-truncated backpropagation on a fixed share of the texts, which grows with the corpus: tasks train on their pieces of it
+truncated backpropagation; the production query learns from every training text: tasks train on their pieces of them
 and the networks are averaged, round by round. Scoring carries the state over whole documents.
 """
 
@@ -29,8 +29,10 @@ END = b" "  # the end of a text, as a token; no word holds a blank
 KNOWN_WORDS = 1 << 18  # at most, of the most frequent words, whose counts each task has at hand; the others' are joined
 HELD = 500_000  # distinct words that a counting task gathers before it passes them on
 STEP = 256  # positions scored at once in every lane
-SHARE, FEWEST = 1 / 8, 3000  # of the texts that the network learns from; of fewer texts than FEWEST in that share, more
-PIECE, ROUNDS = 1 << 21, 3  # tokens that a task learns from in a round, about; rounds over all pieces
+SHARE, FEWEST = 1 / 8, 3000  # of the texts that the network learns from, where no share is named; of fewer texts than FEWEST in that share, more
+PIECE, ROUNDS = 1 << 23, 3  # tokens of a task's piece, about, and rounds; a large piece is learned from by parts, one a round
+WANTED = 3 << 20  # tokens that a task learns from at least in all rounds: texts of a smaller piece take part in several
+LANE = 1 << 15  # tokens of a piece for each lane of its batches, of which it has 64 to 256
 STRETCH = 4096  # positions of a text that follow each other in a lane when learning; a longer text is dealt in stretches
 
 
@@ -102,10 +104,6 @@ class Network:
         return [self.embed, self.w_in, self.b_in, self.w_state, self.w_class, self.b_class, self.w_word, self.b_word]
 
 
-def logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def lanes(docs: list[np.ndarray], most: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents dealt to lanes of about equal length: inputs, targets and document number, each (lane, position).
 
@@ -175,6 +173,12 @@ def train_network(docs: list[np.ndarray], counts: np.ndarray, epochs: int = ROUN
     return learner.network
 
 
+def part_of_round(docs: list[np.ndarray], k: int, rounds: int) -> list[np.ndarray]:
+    """Those of a piece's texts that round ``k`` learns from: each text is there in one round at least, and in more, or all, of a piece below WANTED tokens."""
+    times = min(max(math.ceil(WANTED / max(sum(map(len, docs)), 1)), 1), rounds)
+    return [d for i, d in enumerate(docs) if (k - i) % rounds < times]
+
+
 def learn(learner: Learner, docs: list[np.ndarray], seed: tuple[int, ...], last: bool, window: int = 24, lanes_: int = 64, rate: float = 6e-3) -> None:
     """One pass of truncated backpropagation through time with Adam; the state goes on from window to window."""
     docs = [d[lo : lo + STRETCH] for d in docs for lo in range(0, len(d), STRETCH)]
@@ -182,58 +186,75 @@ def learn(learner: Learner, docs: list[np.ndarray], seed: tuple[int, ...], last:
         return
     rng, net, first, second = np.random.default_rng(seed), learner.network, learner.first, learner.second
     hidden = len(net.w_state)
-    h3 = hidden * 2
+    h2 = hidden * 2
     order = rng.permutation(len(docs))
     inputs, targets, number = lanes([docs[i] for i in order], lanes_, net.start)
     state = np.zeros((len(inputs), hidden), np.float32)
     for lo in range(0, inputs.shape[1], window):
-        x, y, weigh = inputs[:, lo : lo + window].T, targets[:, lo : lo + window].T.ravel(), (number[:, lo : lo + window] < len(docs)).T.ravel()
-        saved, h = [], state
+        x, y, weigh = np.ascontiguousarray(inputs[:, lo : lo + window].T), targets[:, lo : lo + window].T.ravel(), (number[:, lo : lo + window] < len(docs)).T.ravel()
+        keep = (x != net.start).astype(np.float32)[:, :, None]
+        from_in = (net.embed @ net.w_in + net.b_in)[x]
+        before, gates, n, candidate, states = (np.empty((*x.shape, k), np.float32) for k in (hidden, h2, hidden, hidden, hidden))
         for t in range(len(x)):
-            h = h * (x[t] != net.start)[:, None]
-            from_in, from_state = net.embed[x[t]] @ net.w_in + net.b_in, h @ net.w_state
-            gates = logistic(from_in[:, :h3] + from_state[:, :h3])
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            n = np.tanh(from_in[:, h3:] + r * from_state[:, h3:])
-            saved.append((h, z, r, n, from_state[:, h3:]))
-            h = n + z * (h - n)
-        state = h
-        states = np.stack([n + z * (before - n) for before, z, r, n, _ in saved]).reshape(-1, hidden)
+            h = np.multiply(state, keep[t], out=before[t])
+            from_state = h @ net.w_state
+            open_ = np.add(from_in[t, :, :h2], from_state[:, :h2], out=gates[t])
+            np.exp(np.negative(open_, out=open_), out=open_)
+            open_ += 1
+            np.reciprocal(open_, out=open_)
+            candidate[t] = from_state[:, h2:]
+            np.tanh(from_in[t, :, h2:] + open_[:, hidden:] * candidate[t], out=n[t])
+            state = np.add(n[t], open_[:, :hidden] * (h - n[t]), out=states[t])
+        z, r = gates[..., :hidden], gates[..., hidden:]
+        # Positions in the order of their targets' classes, so that a class is one product.
         c, m = y // MEMBERS, y % MEMBERS
-        scale = weigh / max(weigh.sum(), 1)
-        at = np.arange(len(y))
-        to_class = states @ net.w_class + net.b_class
-        p_class = np.exp(to_class - to_class.max(1, keepdims=True))
-        p_class /= p_class.sum(1, keepdims=True)
-        p_class[at, c] -= 1
-        p_class *= scale[:, None].astype(np.float32)
-        own = net.w_word[c]
-        to_word = np.einsum("nh,nhm->nm", states, own) + net.b_word[c]
-        p_word = np.exp(to_word - to_word.max(1, keepdims=True))
-        p_word /= p_word.sum(1, keepdims=True)
-        p_word[at, m] -= 1
-        p_word *= scale[:, None].astype(np.float32)
+        by_class = np.argsort(c, kind="stable")
+        c, m, flat = c[by_class], m[by_class], states.reshape(-1, hidden)[by_class]
+        scale = (weigh[by_class] / max(weigh.sum(), 1)).astype(np.float32)[:, None]
+        at, bounds = np.arange(len(y)), np.searchsorted(c, np.arange(CLASSES + 1))
+
+        def errors(p: np.ndarray, of: np.ndarray, scale: np.ndarray) -> np.ndarray:
+            """Gradient of logits ``p``, in their place."""
+            np.exp(p, out=p)
+            p *= scale / (p @ np.ones((p.shape[1], 1), np.float32))
+            p[at[: len(p)], of] -= scale[:, 0]
+            return p
+
+        p_class = errors(flat @ net.w_class + net.b_class, c, scale)
+        g_flat = p_class @ net.w_class.T
         g_word, g_word_bias = np.zeros_like(net.w_word), np.zeros_like(net.b_word)
-        for k in np.unique(c):
-            mine = c == k
-            g_word[k], g_word_bias[k] = states[mine].T @ p_word[mine], p_word[mine].sum(0)
-        g_states = (p_class @ net.w_class.T + np.einsum("nm,nhm->nh", p_word, own)).reshape(len(x), -1, hidden)
-        g_in, g_in_bias, g_state, g_embed = np.zeros_like(net.w_in), np.zeros_like(net.b_in), np.zeros_like(net.w_state), np.zeros_like(net.embed)
+        for k in range(CLASSES):
+            own = slice(bounds[k], bounds[k + 1])
+            if own.start < own.stop:
+                p_word = errors(flat[own] @ net.w_word[k] + net.b_word[k], m[own], scale[own])
+                g_word[k], g_word_bias[k] = flat[own].T @ p_word, p_word.sum(0)
+                g_flat[own] += p_word @ net.w_word[k].T
+        g_states = np.empty_like(g_flat)
+        g_states[by_class] = g_flat
+        g_states = g_states.reshape(states.shape)
+        # What a unit of a state's gradient pushes into candidate, update and, from the candidate's, reset.
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), candidate * r * (1 - r)
+        push_in, push_state, back = np.empty_like(from_in), np.empty_like(from_in), np.ascontiguousarray(net.w_state.T)
         g_h = np.zeros_like(state)
         for t in reversed(range(len(x))):
-            before, z, r, n, candidate = saved[t]
-            g_h = g_h + g_states[t]
-            g_n = g_h * (1 - z) * (1 - n * n)
-            g_z = g_h * (before - n) * z * (1 - z)
-            g_r = g_n * candidate * r * (1 - r)
-            push_in = np.concatenate([g_z, g_r, g_n], 1)
-            push_state = np.concatenate([g_z, g_r, g_n * r], 1)
-            g_in += net.embed[x[t]].T @ push_in
-            g_in_bias += push_in.sum(0)
-            g_state += before.T @ push_state
-            np.add.at(g_embed, x[t], push_in @ net.w_in.T)
-            g_h = (g_h * z + push_state @ net.w_state.T) * (x[t] != net.start)[:, None]
-        grads = [g_embed, g_in, g_in_bias, g_state, states.T @ p_class, p_class.sum(0), g_word, g_word_bias]
+            g_h += g_states[t]
+            push = push_in[t]
+            g_n = np.multiply(g_h, to_n[t], out=push[:, h2:])
+            np.multiply(g_h, to_z[t], out=push[:, :hidden])
+            np.multiply(g_n, to_r[t], out=push[:, hidden:h2])
+            push_state[t, :, :h2] = push[:, :h2]
+            np.multiply(g_n, r[t], out=push_state[t, :, h2:])
+            g_h *= z[t]
+            g_h += push_state[t] @ back
+            g_h *= keep[t]
+        g_state = before.reshape(-1, hidden).T @ push_state.reshape(-1, 3 * hidden)
+        symbols = x.ravel()
+        by_symbol = np.argsort(symbols, kind="stable")
+        found, starts = np.unique(symbols[by_symbol], return_index=True)
+        g_table = np.zeros((len(net.embed), 3 * hidden), np.float32)
+        g_table[found] = np.add.reduceat(push_in.reshape(-1, 3 * hidden)[by_symbol], starts)
+        state = state.copy()
+        grads = [g_table @ net.w_in.T, net.embed.T @ g_table, g_table.sum(0), g_state, flat.T @ p_class, p_class.sum(0), g_word, g_word_bias]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         learner.steps += 1
@@ -246,7 +267,7 @@ def learn(learner: Learner, docs: list[np.ndarray], seed: tuple[int, ...], last:
 
 
 def train_apart(pieces: DataFrame, network: Network, rounds: int = ROUNDS, seed: int = 5) -> Network:
-    """Each round every partition of ``pieces`` (ids: the symbols of a text) learns from where the last round ended, and
+    """Each round every partition of ``pieces`` (ids: the symbols of a text) learns its part from where the last round ended, and
     the learners are averaged by their tokens, first in about as many tasks as the root of their number, then here."""
     spark, n = pieces.sparkSession, max(pieces.rdd.getNumPartitions(), 1)
     learner, kind = Learner.of(network), "piece int, tokens bigint, steps bigint, state binary"
@@ -266,8 +287,10 @@ def train_apart(pieces: DataFrame, network: Network, rounds: int = ROUNDS, seed:
             docs = [np.frombuffer(x, np.int16) for b in batches for x in binaries(b, "ids")]
             if docs:
                 piece, mine = TaskContext.get().partitionId(), Learner.of(network).at(*shared.value)
-                learn(mine, docs, (seed, k, piece), last=k == rounds - 1)
-                yield record(piece, sum(map(len, docs)), mine.steps, mine.vector().tobytes())
+                whole, docs = sum(map(len, docs)), part_of_round(docs, k, rounds)
+                learn(mine, docs, (seed, k, piece), last=k == rounds - 1, lanes_=min(max(whole // LANE, 64), 256))
+                if docs:  # fewer texts than rounds leave some rounds without
+                    yield record(piece, sum(map(len, docs)), mine.steps, mine.vector().tobytes())
 
         def merge(batches):
             rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
@@ -485,6 +508,6 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, id_col: str = "
 def lm_scoring(documents: DataFrame) -> DataFrame:
     """The production query: every document scored by a model of those whose crc32(doc_id) mod 7 is not 2."""
     held = id_remainder("doc_id", 7) == 2
-    model, counts = fit(documents.where(~held))
+    model, counts = fit(documents.where(~held), share=1.0)
     scored = score(documents, model, counts)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
