@@ -121,6 +121,26 @@ def test_the_stage_keeps_one_of_each_group_that_the_candidates_connect(spark):
     assert kept == {min(g) for g in _grouped(connected(spark, texts, sets, 1 << 18))}
 
 
+def test_groups_of_the_stage_are_those_of_all_candidates(spark):
+    """In dense groups at the edge of similarity, where the link with the nearest sketch often fails and another holds."""
+    rng, texts = random.Random(12), []
+    for g in range(4):
+        base = [f"{g}g{i}" for i in range(160)]
+        for _ in range(80):
+            copy = list(base)
+            for place in rng.sample(range(160), rng.randrange(1, 5)):
+                copy[place] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    sets, fps = [set(h.tolist()) for h in hashes], np.array([simhash.majority([h]) for h in hashes], np.uint64)
+    sketches, radius = np.stack([simhash.sketch(h) for h in hashes]), simhash.radius(0.8)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= radius) & simhash.agreeing(sketches[:, None], sketches[None])
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert max(Counter(x for link in links for x in link).values()) > simhash.DEGREE
+    kept = {r.doc_id for r in simhash.near_deduplicated(documents(spark, list(enumerate(texts)))).collect()}
+    assert kept == {min(g) for g in _grouped(roots_of(len(texts), links))}
+
+
 def test_sketches_agree_with_similarity():
     rng = np.random.default_rng(5)
     for share in (0.0, 0.3, 0.8, 0.9, 1.0):

@@ -9,6 +9,7 @@ within t_i bits of its own in every part, candidates are verified, and links bec
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ SKETCH = ["s0", "s1", "s2", "s3"]  # longs of 16 minwise values of 4 bits each
 MINWISE = np.random.default_rng(64).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
 #: Equal values of 64 that a sketch needs: sets as similar as 0.8 have 52 on average, and fewer than 40 once in ten thousand times.
 AGREEING = 40
-DEGREE = 32  # candidates in a key up to which all of a node's are kept
+DEGREE = 32  # candidates in a key up to which all of a node's are kept at first; the others are asked where they connect what is apart
 RECALL = 0.95  # of pairs that are just as similar as asked, for the choice of a radius
 
 
@@ -359,40 +360,53 @@ def lightest_forest(fps: np.ndarray, sizes: np.ndarray, tau: int, similarity: fl
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None) -> np.ndarray:
+def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Links (k, 2) of places: a key's owners with its visitors, where bits, sizes and sketches allow that they are alike.
 
     All links are kept of nodes that have DEGREE or fewer in the key, so that the texts decide on each; those among the
-    others, which lie in dense groups, are thinned to a minimum spanning forest of bit distances.
+    others, which lie in dense groups, are thinned to a minimum spanning forest of bit distances. With ``roots``, the
+    components that confirmed links have made, nothing is thinned: all links are given whose ends have different roots.
     """
-    step = max((1 << 20) // max(len(own), 1), 1)
 
-    def met(lo: int) -> tuple[np.ndarray, np.ndarray]:
+    def met(visiting: np.ndarray, own: np.ndarray, lo: int, step: int) -> tuple[np.ndarray, np.ndarray]:
         v, o = np.nonzero(np.bitwise_count(fps[visiting[lo : lo + step], None] ^ fps[None, own]) <= tau)
         v += lo
         a, b = visiting[v], own[o]
         # In a block's tile with itself owners visit too, and meet themselves.
         good = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        if roots is not None:
+            good &= roots[a] != roots[b]
         v, o = v[good], o[good]
         if sketches is not None and len(v):
             good = agreeing(sketches[visiting[v]], sketches[own[o]])
             v, o = v[good], o[good]
         return v, o
 
-    starts = range(0, len(visiting), step)
-    once = [met(0)] if len(starts) == 1 else None
+    def steps(visiting: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max((1 << 20) // max(len(own), 1), 1)
+        return (met(visiting, own, lo, step) for lo in range(0, len(visiting), step))
+
+    if roots is not None:
+        known, often = np.unique(np.concatenate([roots[own], roots[visiting]]), return_counts=True)
+        if len(known) > 1:
+            # Nodes of the key's largest component meet the others only, so a dense group that is one takes no squares.
+            first = known[often.argmax()]
+            inside, theirs = roots[visiting] == first, own[roots[own] != first]
+            for guests, hosts in ((visiting[~inside], own), (visiting[inside], theirs)):
+                for v, o in steps(guests, hosts):
+                    yield np.stack([guests[v], hosts[o]], 1)
+        return
+    once = [*steps(visiting, own)] if len(own) * len(visiting) <= 1 << 20 else None
     by_owner, by_visitor = np.zeros(len(own), np.int64), np.zeros(len(visiting), np.int64)
-    for v, o in once or map(met, starts):
+    for v, o in once or steps(visiting, own):
         by_owner += np.bincount(o, minlength=len(own))
         by_visitor += np.bincount(v, minlength=len(visiting))
-    found = [np.zeros((0, 2), np.int64)]
-    for v, o in once or map(met, starts):
+    for v, o in once or steps(visiting, own):
         few = (by_visitor[v] <= DEGREE) | (by_owner[o] <= DEGREE)
-        found.append(np.stack([visiting[v[few]], own[o[few]]], 1))
+        yield np.stack([visiting[v[few]], own[o[few]]], 1)
     many = np.union1d(own[by_owner > DEGREE], visiting[by_visitor > DEGREE])
     if len(many):
-        found.append(many[lightest_forest(fps[many], sizes[many], tau, similarity, None if sketches is None else sketches[many])])
-    return np.concatenate(found)
+        yield many[lightest_forest(fps[many], sizes[many], tau, similarity, None if sketches is None else sketches[many])]
 
 
 def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,9 +417,12 @@ def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, n
     return places[order], found, np.append(starts, len(places))
 
 
-def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None) -> np.ndarray:
-    """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold."""
-    found = [np.zeros((0, 2), np.int64)]
+def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold.
+
+    They are given out by about a million, so copies may repeat.
+    """
+    found, held = [], 0
     for part, threshold in parts:
         mask = sum(1 << b for b in part)
         flips = np.array([sum(1 << b for b in flip) for k in range(threshold + 1) for flip in combinations(part, k)], np.uint64)
@@ -418,8 +435,14 @@ def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np
             hit = theirs[at] == probed
             for k in np.flatnonzero(hit.any(1)):
                 met = np.concatenate([guests[starts[x] : starts[x + 1]] for x in at[k, hit[k]]])
-                found.append(key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches))
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                for some in key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches, roots):
+                    found.append(some)
+                    held += len(some)
+                    if held > 1 << 20:
+                        yield np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                        found, held = [], 0
+    if held:
+        yield np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
 def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
@@ -434,11 +457,12 @@ def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
     return prints.withColumn("block", F.size(F.filter(F.lit([float(b) for b in bounds]), lambda b: b < place)))
 
 
-def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS) -> DataFrame:
+def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS, thinned: bool = False) -> DataFrame:
     """(a, b) rows of ``prints`` (row, fp, size and, if it has them, the longs of a sketch) whose fingerprints differ in at
     most ``tau`` bits and whose sketches agree; copies may repeat.
 
-    Links are thinned in dense groups only (``key_links``). Rows lie in blocks by the sizes of their sets, of at
+    They are all such links; if ``prints`` has a ``root`` of each row, those between rows of different roots, and if
+    ``thinned``, fewer in dense groups (``key_links``). Rows lie in blocks by the sizes of their sets, of at
     most about ``block`` rows, and a tile is a pair of blocks: a row goes only to tiles whose other block holds sizes
     that can be as similar as ``similarity``. Parts are probed inside a tile, so what is shuffled is a row for each
     block in reach, however many keys the plan probes; a task holds two blocks of numbers. Small tables are cut in
@@ -458,9 +482,9 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
     ]
     tiles = prints.sparkSession.createDataFrame(reach, "block int, i int, j int, lo double, hi double")
     met = looked_up(placed, tiles, ["block"]).where((F.col("size") >= F.col("lo")) & (F.col("size") * F.lit(float(similarity)) <= F.col("hi")))
-    more = [c for c in SKETCH if c in prints.columns]
-    held_columns = [*TILE, *((c, np.int64) for c in more)]
-    dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size", *more)
+    more, rooted = [c for c in SKETCH if c in prints.columns], [c for c in ("root",) if c in prints.columns]
+    held_columns = [*TILE, *((c, np.int64) for c in (*rooted, *more))]
+    dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size", *rooted, *more)
     dealt = dealt.repartition(max(len({r[1:3] for r in reach}), 1), "i", "j").sortWithinPartitions("i", "j")
 
     def run(batches):
@@ -469,28 +493,29 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
         def settled(last: bool):
             nonlocal held
             i, j, own, row, fp, size, *longs = held
+            roots = longs.pop(0) if rooted else None if thinned else row
             sketches = np.stack(longs, 1).view(np.uint64) if longs else None
             new = np.ones(len(fp), bool)
             new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = np.append(np.flatnonzero(new), len(fp))
             stop = len(starts) - (1 if last else 2)
-            found = [np.zeros((0, 2), np.int64)]
+            held = [] if last else [x[starts[stop] :] for x in held]
             for s, e in zip(starts[:stop], starts[1 : stop + 1], strict=True):
                 mine = np.flatnonzero(own[s:e])
                 others = mine if i[s] == j[s] else np.flatnonzero(~own[s:e])
                 if len(mine) and len(others):
-                    found.append(row[s:e][tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, None if sketches is None else sketches[s:e])])
-            held = [] if last else [x[starts[stop] :] for x in held]
-            edges = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
+                    cut = [None if x is None else x[s:e] for x in (sketches, roots)]
+                    for places in tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, *cut):
+                        edges = row[s:e][places]
+                        yield pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
 
         for b in batches:
             columns = [carried(b, [c])[0].to_numpy(zero_copy_only=False).astype(t) for c, t in held_columns]
             held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
             if len(held[0]):
-                yield settled(last=False)
+                yield from settled(last=False)
         if held and len(held[0]):
-            yield settled(last=True)
+            yield from settled(last=True)
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -517,7 +542,8 @@ def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     Texts link when the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
     Fingerprints of those sets find the candidates, at ``tau`` or fewer of 64 bits (by default the ``radius`` of the
-    similarity), minwise sketches leave out those that are not alike by far, and the texts themselves decide; of texts
+    similarity), minwise sketches leave out those that are not alike by far, and the texts themselves decide: on a few
+    candidates of each in dense groups first, then on all whose ends are still apart, so that groups are those of all candidates; of texts
     just as similar as asked about one pair in twenty has fingerprints further apart and is found through others only. Texts of
     the same words link, so null texts and texts without words are one group. Null ids come last in a group, and of
     repeated rows one stays. An empty table gives an empty result. Rows are written once with their number and
@@ -552,10 +578,17 @@ def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: st
     # A row for each sequence of words, and of those one for each fingerprint and size; the rest hang on these.
     texts = written(narrow.groupBy("fp", "size", "words").agg(F.min(first).alias("first"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in SKETCH)))
     prints = written(texts.groupBy("fp", "size").agg(F.min(F.struct("row", *SKETCH)).alias("of")).select("of.row", "fp", "size", *(f"of.{c}" for c in SKETCH)))
-    named = written(candidate_links(prints, tau, similarity).distinct())
+    named = written(candidate_links(prints, tau, similarity, thinned=True).distinct())
     alike = texts.join(prints.select("fp", "size", F.col("row").alias("of")), ["fp", "size"]).where("row <> of").select(F.col("row").alias("a"), F.col("of").alias("b"))
     sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    member = components(written(similar_links(named.unionAll(alike), sources, shingle, similarity)), "a", "b")
+    sure = written(similar_links(named.unionAll(alike), sources, shingle, similarity))
+    member = components(sure, "a", "b")
+    # What was thinned, or hangs on another text, is asked too where it would connect what is still apart.
+    apart = texts.join(member, texts.row == member.node, "left").select("row", "fp", "size", *SKETCH, F.coalesce("root", "row").alias("root"))
+    asked = named.unionAll(alike.select(F.least("a", "b"), F.greatest("a", "b")))
+    rest = written(candidate_links(written(apart), tau, similarity).distinct().join(asked, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        member = components(sure.unionAll(similar_links(rest, sources, shingle, similarity)), "a", "b")
     rooted = texts.join(member, texts.row == member.node, "left").select("first", F.coalesce("root", "row").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias(row))
     return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*quoted(columns))
