@@ -141,6 +141,71 @@ def test_groups_of_the_stage_are_those_of_all_candidates(spark):
     assert kept == {min(g) for g in _grouped(roots_of(len(texts), links))}
 
 
+def test_links_of_a_forest_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    for nodes, n in ((1, 3), (5, 0), (40, 25), (300, 200), (300, 5000)):
+        pairs = rng.integers(0, nodes, (n, 2)) * 7
+        kept = simhash.spanning(pairs)
+        roots, all_roots = (roots_of(7 * nodes, p) for p in (kept, pairs))
+        assert {frozenset(g) for g in _grouped(roots)} == {frozenset(g) for g in _grouped(all_roots)}
+        assert len(kept) == 7 * nodes - len(set(all_roots)) and set(map(tuple, kept.tolist())) <= set(map(tuple, pairs.tolist()))
+
+
+def unlike(n, seed=21, changed=10):
+    """Texts of one base, nearly all of whose pairs are candidates though hardly any is as similar as 0.8."""
+    rng, texts = random.Random(seed), []
+    for _ in range(n):
+        copy = [f"base{i}" for i in range(300)]
+        for place in rng.sample(range(300), changed):
+            copy[place] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_rows_of_a_dense_group_without_links_stay_in_proportion(spark, monkeypatch):
+    """What is shuffled for a dense group that sketches don't tell from alike is a few rows a text, and the result that of all pairs."""
+    texts = unlike(240)
+    sets, seen, written = [sets_of(t) for t in texts], [], simhash.written
+
+    def watched(frame):
+        out = written(frame)
+        seen.append((out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    monkeypatch.setattr(simhash, "DEGREE", 2)
+    asked, similar_links = [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda links, *more: (asked.append(links.count()), similar_links(links, *more))[1])
+    kept = {r.doc_id for r in simhash.near_deduplicated(documents(spark, list(enumerate(texts)))).collect()}
+    links = [(i, j) for i, j, _ in all_pairs(sets)]
+    pairs = simhash.candidate_links(prints_of(spark, texts), simhash.radius(0.8), 0.8).distinct().count()
+    assert pairs > 10 * len(texts) > 0  # candidates: a square
+    assert kept >= {min(g) for g in _grouped(roots_of(len(texts), links))}
+    assert max(n for n, _ in seen) <= 8 * len(texts) and sum(asked) <= 8 * len(texts), (seen, asked, pairs)
+
+
+@pytest.mark.parametrize("members,hashes", [(1 << 14, 1 << 21), (7, 1 << 21), (1 << 14, 3000)])
+def test_classes_cut_in_blocks_of_any_size_give_the_same_links(spark, members, hashes):
+    """Two classes, one with a root of many texts, against all candidates of each whose roots differ."""
+    texts = unlike(40, 3, 5) + unlike(40, 4, 6)
+    made = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    rows = [tuple(r) for r in prints_of(spark, texts).collect()]
+    root = [0 if i < 20 else 40 if i in (41, 42) else i for i in range(80)]
+    nodes = spark.createDataFrame([(i // 40 * 40, root[i], *rows[i]) for i in range(80)], "class long, root long, row long, fp long, size long, s0 long, s1 long, s2 long, s3 long")
+    table = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = [tuple(r) for r in simhash.class_links(nodes, table, 5, simhash.radius(0.8), 0.8, members, hashes).collect()]
+    sketches, fps = np.stack([simhash.sketch(h) for h in made]), np.array([r[1] for r in rows], np.int64).view(np.uint64)
+
+    def candidate(i, j):
+        return (int(fps[i]) ^ int(fps[j])).bit_count() <= simhash.radius(0.8) and bool(simhash.agreeing(sketches[i], sketches[j]))
+
+    known = list(enumerate(root))
+    want = [(i, j) for i in range(80) for j in range(i + 1, 80) if i // 40 == j // 40 and candidate(i, j) and simhash.similarity_of(made[i], made[j]) >= 0.8]
+    assert all((i, j) in want and root[i] != root[j] for i, j in found) and found
+    groups = [{frozenset(g) for g in _grouped(roots_of(80, known + pairs))} for pairs in (found, want)]
+    assert groups[0] == groups[1]
+
+
 def test_sketches_agree_with_similarity():
     rng = np.random.default_rng(5)
     for share in (0.0, 0.3, 0.8, 0.9, 1.0):

@@ -33,6 +33,7 @@ MINWISE = np.random.default_rng(64).integers(0, 1 << 63, 64, dtype=np.uint64) *
 #: Equal values of 64 that a sketch needs: sets as similar as 0.8 have 52 on average, and fewer than 40 once in ten thousand times.
 AGREEING = 40
 DEGREE = 32  # candidates in a key up to which all of a node's are kept at first; the others are asked where they connect what is apart
+NODES, HASHES = 1 << 14, 1 << 21  # texts and hashes of a block of a class, at most about; a task compares two blocks
 RECALL = 0.95  # of pairs that are just as similar as asked, for the choice of a radius
 
 
@@ -360,6 +361,28 @@ def lightest_forest(fps: np.ndarray, sizes: np.ndarray, tau: int, similarity: fl
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+def spanning(pairs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Those of some pairs (k, 2) that make a spanning forest, the lightest by ``weights``: fewer than the nodes, and they connect what all do."""
+    if weights is not None:
+        pairs = pairs[np.argsort(weights, kind="stable")]
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends, root, taken, left = ends.reshape(-1, 2), np.arange(len(nodes)), [], np.arange(len(pairs))
+    while True:
+        tops = root[ends[left]]
+        left, tops = left[tops[:, 0] != tops[:, 1]], tops[tops[:, 0] != tops[:, 1]]
+        if not len(left):
+            return pairs[np.unique(np.concatenate([left, *taken]))]
+        # Every tree takes the first pair that leaves it; two that take the same pair are the only circles.
+        mine, at = np.unique(tops.T.ravel(), return_index=True)
+        at %= len(left)
+        taken.append(left[at])
+        root[mine] = tops[at].sum(1) - mine
+        both = mine[(root[root[mine]] == mine) & (mine < root[mine])]
+        root[both] = both
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Links (k, 2) of places: a key's owners with its visitors, where bits, sizes and sketches allow that they are alike.
 
@@ -417,12 +440,12 @@ def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, n
     return places[order], found, np.append(starts, len(places))
 
 
-def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
+def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None, spanned: bool = False) -> Iterator[np.ndarray]:
     """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold.
 
-    They are given out by about a million, so copies may repeat.
+    They are given out by about a million, so copies may repeat. If ``spanned``, only a spanning forest of the tile's links is.
     """
-    found, held = [], 0
+    found, held, most = [], 0, 1 << 20
     for part, threshold in parts:
         mask = sum(1 << b for b in part)
         flips = np.array([sum(1 << b for b in flip) for k in range(threshold + 1) for flip in combinations(part, k)], np.uint64)
@@ -438,11 +461,16 @@ def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np
                 for some in key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches, roots):
                     found.append(some)
                     held += len(some)
-                    if held > 1 << 20:
+                    if held > most and spanned:
+                        found = [spanning(np.concatenate(found))]
+                        held = len(found[0])
+                        most = max(1 << 20, 2 * held)
+                    elif held > most:
                         yield np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
                         found, held = [], 0
     if held:
-        yield np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        last = np.concatenate(found)
+        yield spanning(last) if spanned else np.unique(np.sort(last, axis=1), axis=0)
 
 
 def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
@@ -457,12 +485,12 @@ def size_blocks(prints: DataFrame, blocks: int) -> DataFrame:
     return prints.withColumn("block", F.size(F.filter(F.lit([float(b) for b in bounds]), lambda b: b < place)))
 
 
-def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS, thinned: bool = False) -> DataFrame:
+def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int = BLOCK, least: int = BLOCKS, thinned: bool = False, spanned: bool = False) -> DataFrame:
     """(a, b) rows of ``prints`` (row, fp, size and, if it has them, the longs of a sketch) whose fingerprints differ in at
     most ``tau`` bits and whose sketches agree; copies may repeat.
 
     They are all such links; if ``prints`` has a ``root`` of each row, those between rows of different roots, and if
-    ``thinned``, fewer in dense groups (``key_links``). Rows lie in blocks by the sizes of their sets, of at
+    ``thinned``, fewer in dense groups (``key_links``), and if ``spanned`` a spanning forest of each tile's, fewer than its rows. Rows lie in blocks by the sizes of their sets, of at
     most about ``block`` rows, and a tile is a pair of blocks: a row goes only to tiles whose other block holds sizes
     that can be as similar as ``similarity``. Parts are probed inside a tile, so what is shuffled is a row for each
     block in reach, however many keys the plan probes; a task holds two blocks of numbers. Small tables are cut in
@@ -505,7 +533,7 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
                 others = mine if i[s] == j[s] else np.flatnonzero(~own[s:e])
                 if len(mine) and len(others):
                     cut = [None if x is None else x[s:e] for x in (sketches, roots)]
-                    for places in tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, *cut):
+                    for places in tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, *cut, spanned):
                         edges = row[s:e][places]
                         yield pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
 
@@ -537,6 +565,102 @@ def similar_links(links: DataFrame, texts: DataFrame, shingle: int, similarity:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def class_places(nodes: DataFrame, members: int, hashes: int) -> DataFrame:
+    """``nodes`` (class, root, row, size, ...) with the ``tile`` they meet others in, a row for each, and whether they are its ``left`` side.
+
+    A class is cut in blocks of about ``members`` rows and ``hashes`` in their sets; a tile is a pair of blocks. A root that
+    would fill a block lies in blocks of its own, which don't meet each other, so what is connected already takes no squares.
+    """
+    full = lambda n, size: F.greatest(F.ceil(n / members), F.ceil(size / hashes), F.lit(1)).cast("int")
+    load = written(nodes.groupBy("class", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")))
+    # Each of these has a row for a block that is full, about; classes of one block, as nearly all are, have none.
+    wide = load.where(full(F.col("n"), F.col("hashes")) > 1).select("class", "root", F.col("root").alias("of"))
+    housed = lambda table: looked_up(table, wide, ["class", "root"], "left").withColumn("of", F.coalesce("of", F.lit(-1)))
+    cells = written(housed(load).groupBy("class", "of").agg(full(F.sum("n"), F.sum("hashes")).alias("blocks")))
+    cells = cells.join(cells.groupBy("class").agg(F.sum("blocks").alias("all")).where("all > 1"), "class").select("class", "of", "blocks")
+    others = cells.select("class", F.col("of").alias("their_of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("their_block"))
+    blocked = looked_up(housed(nodes), cells, ["class", "of"], "left").withColumn("block", F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    met = looked_up(blocked, others, ["class"], "left").withColumn("their_of", F.coalesce("their_of", F.lit(-1))).withColumn("their_block", F.coalesce("their_block", F.lit(0)))
+    met = met.where("of <> their_of or of = -1")
+    mine, theirs = F.struct("of", "block"), F.struct(F.col("their_of").alias("of"), F.col("their_block").alias("block"))
+    i, j = F.least(mine, theirs), F.greatest(mine, theirs)
+    tile = F.concat_ws(" ", "class", i["of"], i["block"], j["of"], j["block"])
+    return met.withColumn("tile", tile).withColumn("left", mine == i).withColumn("right", mine == j).select(*nodes.columns, "tile", "left", "right")
+
+
+def class_edges(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tau: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of places whose sets are as similar as asked, of a ``left`` and a ``right`` one, thinned to those that join different roots.
+
+    All candidates (``tau`` bits, sizes, sketches) are compared by their whole sets, unless they are connected already.
+    """
+    _, label = np.unique(roots, return_inverse=True)
+    members, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    lengths = np.array([len(x) for x in sets])
+    starts = np.cumsum(lengths) - lengths
+    marked, edges, right = np.zeros(len(members), bool), [], np.flatnonzero(right)
+    for x in np.flatnonzero(left):
+        may = right[(label[right] != label[x]) & ((right > x) | ~left[right])]
+        may = may[np.bitwise_count(fps[may] ^ fps[x]) <= tau]
+        may = may[np.minimum(sizes[may], sizes[x]) >= similarity * np.maximum(sizes[may], sizes[x]) - 1e-9]
+        may = may[agreeing(sketches[may], sketches[x])]
+        if not len(may):
+            continue
+        own = flat[starts[x] : starts[x] + lengths[x]]
+        marked[own] = True
+        n, of = lengths[may], np.repeat(np.arange(len(may)), lengths[may])
+        at = np.arange(len(of)) + (starts[may] - (np.cumsum(n) - n))[of]
+        shared = np.bincount(of, marked[flat[at]], len(may))
+        marked[own] = False
+        both = n + lengths[x] - shared
+        alike = may[np.divide(shared, both, out=np.ones(len(may)), where=both > 0) >= similarity]
+        found, first = np.unique(label[alike], return_index=True)
+        edges += [(x, y) for y in alike[first]]
+        label[np.isin(label, found)] = label[x]
+    return edges
+
+
+def class_links(nodes: DataFrame, texts: DataFrame, shingle: int, tau: int, similarity: float, members: int = NODES, hashes: int = HASHES) -> DataFrame:
+    """Links (a, b) that connect all that similar candidates in the classes of ``nodes`` (class, root, row, fp, size, a sketch) connect.
+
+    ``texts`` is (row, text). A text is fetched once and its set goes to the tiles of its class, one for most, so rows
+    are as many as nodes however many pairs of a class are candidates; the pairs are met inside the tasks.
+    """
+
+    columns = nodes.columns
+
+    def hashed(batches):
+        for b in batches:
+            sets = [shingle_hashes(t, shingle).tobytes() for t in binaries(b, "text")]
+            yield pa.RecordBatch.from_arrays([*carried(b, columns), pa.array(sets, pa.binary())], [*columns, "members"])
+
+    def run(batches):
+        tile, held = None, []
+
+        def settled():
+            row, fp, size, root, left, right, sets, *longs = zip(*held, strict=True)
+            sketches = np.array(longs, np.int64).T.view(np.uint64)
+            sets = [np.frombuffer(x, np.uint64) for x in sets]
+            edges = class_edges(np.array(fp, np.int64).view(np.uint64), np.array(size), sketches, np.array(root), sets, np.array(left), np.array(right), tau, similarity)
+            ends = np.array(row, np.int64)[np.array(edges, np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], ["a", "b"])
+
+        for b in batches:
+            rows = [x.to_pylist() for x in carried(b, ["tile", "row", "fp", "size", "root", "left", "right", "members", *SKETCH])]
+            for at, *values in zip(*rows, strict=True):
+                if at != tile and held:
+                    yield settled()
+                    held = []
+                tile = at
+                held.append(values)
+        if held:
+            yield settled()
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in nodes.dtypes)
+    fetched = nodes.join(texts.select("row", "text"), "row").select(*columns, "text")
+    placed = class_places(written(fetched.mapInArrow(hashed, f"{kinds}, members binary")), members, hashes)
+    return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int | None = None) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id, with all its columns.
 
@@ -583,12 +707,14 @@ def near_deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: st
     sources = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sure = written(similar_links(named.unionAll(alike), sources, shingle, similarity))
     member = components(sure, "a", "b")
-    # What was thinned, or hangs on another text, is asked too where it would connect what is still apart.
-    apart = texts.join(member, texts.row == member.node, "left").select("row", "fp", "size", *SKETCH, F.coalesce("root", "row").alias("root"))
-    asked = named.unionAll(alike.select(F.least("a", "b"), F.greatest("a", "b")))
-    rest = written(candidate_links(written(apart), tau, similarity).distinct().join(asked, ["a", "b"], "left_anti"))
+    # What was thinned, or hangs on another text, is asked too where it would connect what is still apart: a class is what
+    # such candidates connect, told by forests of them, as they may be the square of a dense group; its texts meet in tasks.
+    apart = written(texts.join(member, texts.row == member.node, "left").select("row", "fp", "size", *SKETCH, F.coalesce("root", "row").alias("root")))
+    rest = written(candidate_links(apart, tau, similarity, spanned=True))
     if not rest.isEmpty():
-        member = components(sure.unionAll(similar_links(rest, sources, shingle, similarity)), "a", "b")
+        classes = components(rest, "a", "b").select(F.col("node").alias("row"), F.col("root").alias("class"))
+        more = class_links(apart.join(classes, "row"), sources, shingle, tau, similarity)
+        member = components(sure.unionAll(more), "a", "b")
     rooted = texts.join(member, texts.row == member.node, "left").select("first", F.coalesce("root", "row").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias(row))
     return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*quoted(columns))
