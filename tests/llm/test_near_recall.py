@@ -151,6 +151,14 @@ def test_links_of_a_forest_connect_what_all_pairs_connect():
         assert len(kept) == 7 * nodes - len(set(all_roots)) and set(map(tuple, kept.tolist())) <= set(map(tuple, pairs.tolist()))
 
 
+def test_a_forest_of_circles_ends():
+    """Trees whose first pairs as left ends run in a circle of three, or of many."""
+    for n in (3, 4, 1000):
+        circle = np.stack([np.arange(n), (np.arange(n) + 1) % n], 1)
+        assert simhash.spanning(circle).tolist() == circle[:-1].tolist()
+        assert simhash.spanning(circle, np.arange(n)[::-1]).tolist() == circle[:0:-1].tolist()
+
+
 def unlike(n, seed=21, changed=10):
     """Texts of one base, nearly all of whose pairs are candidates though hardly any is as similar as 0.8."""
     rng, texts = random.Random(seed), []

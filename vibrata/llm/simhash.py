@@ -372,9 +372,9 @@ def spanning(pairs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray
         left, tops = left[tops[:, 0] != tops[:, 1]], tops[tops[:, 0] != tops[:, 1]]
         if not len(left):
             return pairs[np.unique(np.concatenate([left, *taken]))]
-        # Every tree takes the first pair that leaves it; two that take the same pair are the only circles.
-        mine, at = np.unique(tops.T.ravel(), return_index=True)
-        at %= len(left)
+        # Every tree takes the first pair that leaves it, whichever end it is; two that take the same pair are the only circles.
+        mine, at = np.unique(tops.ravel(), return_index=True)
+        at //= 2
         taken.append(left[at])
         root[mine] = tops[at].sum(1) - mine
         both = mine[(root[root[mine]] == mine) & (mine < root[mine])]
@@ -383,10 +383,10 @@ def spanning(pairs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray
             root = root[root]
 
 
-def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None) -> Iterator[np.ndarray]:
+def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None, degree: int = DEGREE) -> Iterator[np.ndarray]:
     """Links (k, 2) of places: a key's owners with its visitors, where bits, sizes and sketches allow that they are alike.
 
-    All links are kept of nodes that have DEGREE or fewer in the key, so that the texts decide on each; those among the
+    All links are kept of nodes that have ``degree`` or fewer in the key, so that the texts decide on each; those among the
     others, which lie in dense groups, are thinned to a minimum spanning forest of bit distances. With ``roots``, the
     components that confirmed links have made, nothing is thinned: all links are given whose ends have different roots.
     """
@@ -425,9 +425,9 @@ def key_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.
         by_owner += np.bincount(o, minlength=len(own))
         by_visitor += np.bincount(v, minlength=len(visiting))
     for v, o in once or steps(visiting, own):
-        few = (by_visitor[v] <= DEGREE) | (by_owner[o] <= DEGREE)
+        few = (by_visitor[v] <= degree) | (by_owner[o] <= degree)
         yield np.stack([visiting[v[few]], own[o[few]]], 1)
-    many = np.union1d(own[by_owner > DEGREE], visiting[by_visitor > DEGREE])
+    many = np.union1d(own[by_owner > degree], visiting[by_visitor > degree])
     if len(many):
         yield many[lightest_forest(fps[many], sizes[many], tau, similarity, None if sketches is None else sketches[many])]
 
@@ -440,7 +440,7 @@ def keyed(fps: np.ndarray, places: np.ndarray, mask: int) -> tuple[np.ndarray, n
     return places[order], found, np.append(starts, len(places))
 
 
-def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None, spanned: bool = False) -> Iterator[np.ndarray]:
+def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np.ndarray, tau: int, parts: list[tuple[list[int], int]], similarity: float, sketches: np.ndarray | None = None, roots: np.ndarray | None = None, spanned: bool = False, degree: int = DEGREE) -> Iterator[np.ndarray]:
     """Links (k, 2) of places in a tile: in every part each owner's key is probed for visitors within its threshold.
 
     They are given out by about a million, so copies may repeat. If ``spanned``, only a spanning forest of the tile's links is.
@@ -458,7 +458,7 @@ def tile_links(fps: np.ndarray, sizes: np.ndarray, own: np.ndarray, visiting: np
             hit = theirs[at] == probed
             for k in np.flatnonzero(hit.any(1)):
                 met = np.concatenate([guests[starts[x] : starts[x + 1]] for x in at[k, hit[k]]])
-                for some in key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches, roots):
+                for some in key_links(fps, sizes, mine[begins[lo + k] : begins[lo + k + 1]], met, tau, similarity, sketches, roots, degree):
                     found.append(some)
                     held += len(some)
                     if held > most and spanned:
@@ -511,6 +511,7 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
     tiles = prints.sparkSession.createDataFrame(reach, "block int, i int, j int, lo double, hi double")
     met = looked_up(placed, tiles, ["block"]).where((F.col("size") >= F.col("lo")) & (F.col("size") * F.lit(float(similarity)) <= F.col("hi")))
     more, rooted = [c for c in SKETCH if c in prints.columns], [c for c in ("root",) if c in prints.columns]
+    degree = DEGREE  # the driver's, for all tasks
     held_columns = [*TILE, *((c, np.int64) for c in (*rooted, *more))]
     dealt = met.select("i", "j", (F.col("block") == F.col("i")).alias("own"), "row", "fp", "size", *rooted, *more)
     dealt = dealt.repartition(max(len({r[1:3] for r in reach}), 1), "i", "j").sortWithinPartitions("i", "j")
@@ -533,7 +534,7 @@ def candidate_links(prints: DataFrame, tau: int, similarity: float, block: int =
                 others = mine if i[s] == j[s] else np.flatnonzero(~own[s:e])
                 if len(mine) and len(others):
                     cut = [None if x is None else x[s:e] for x in (sketches, roots)]
-                    for places in tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, *cut, spanned):
+                    for places in tile_links(fp[s:e].view(np.uint64), size[s:e], mine, others, tau, parts, similarity, *cut, spanned, degree):
                         edges = row[s:e][places]
                         yield pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
 
