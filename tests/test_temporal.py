@@ -90,6 +90,20 @@ def test_in_spans_joins_by_equal_bins_and_without_spans(spark):
     assert temporal.in_spans(samples, spans.limit(0), ["k"], "t", {}, left=True).count() == 1
 
 
+@pytest.mark.parametrize("left", [False, True])
+def test_many_spans_are_never_broadcast(spark, left):
+    """Spark takes a table of 10,000 spans for small, whatever rows they are laid out to; few spans are broadcast."""
+    spans = spark.range(10_000).select((F.col("id") % 50).alias("k"), F.col("id").cast("double").alias("start"), (F.col("id") + 2.5).alias("stop"), F.col("id").alias("label"))
+    samples = spark.range(0, 10_100, 50).select((F.col("id") % 50).alias("k"), F.col("id").cast("double").alias("t"))
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    found = temporal.in_spans(samples, spans, ["k"], "t", {"label": "label"}, left=left)
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    told = [(r.t, r.label) for r in found.collect()]
+    want = [(float(t), t) for t in range(0, 10_000, 50)] + ([(10_000.0, None), (10_050.0, None)] if left else [])
+    assert sorted(told, key=lambda r: r[0]) == want
+    assert "BroadcastHashJoin" in plan(temporal.in_spans(samples, spans.limit(100), ["k"], "t", {"label": "label"}, left=left))
+
+
 @pytest.mark.parametrize("rows", [4, 11, 1 << 16])
 def test_sessions(spark, rows):
     """Sessions that last through many stretches, and stretches with many sessions."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vibrata.operators.joins import looked_up
+from vibrata.operators.joins import MOST, looked_up
 from vibrata.operators.signals import STRETCH, _place, stretched
 
 SALTS = 8  # tasks that the samples of one bin of spans are dealt to
@@ -81,17 +81,21 @@ def in_spans(
 
     Spans are laid out over bins of equal length, ``per_span`` for a span of mean length and so ``per_span`` + 2 times the
     spans at most, whatever their lengths; samples meet them by bin, where both edges are checked. The samples of a bin
-    are dealt to ``salts`` tasks.
+    are dealt to ``salts`` tasks. Where all spans have MOST rows in bins at most, those are broadcast instead and not dealt;
+    beyond, both sides are sorted, as Spark estimates spans by their table and not by the rows that they are laid out to.
     """
     begin, end = _place(spans, start), _place(spans, stop)
     laid = spans.where(_known([*keys, start, stop])).withColumn("__begin", begin).withColumn("__end", end).where("__begin < __end")
     total, n = laid.agg(F.sum(F.col("__end") - F.col("__begin")), F.count(F.lit(1))).head()
     width = total / (per_span * n) if n else 1.0
+    few = n * (per_span + 2) <= MOST
+    salts = 1 if few else salts
     bin_of = lambda place: F.floor(place / F.lit(width)).cast("long")
     bins = F.explode(F.sequence(bin_of(F.col("__begin")), bin_of(F.col("__end"))))
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     told = [F.col(c).alias(f"__v{i}") for i, c in enumerate(values.values())]
     theirs = laid.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), "__begin", "__end", *told, bins.alias("__bin")).withColumn("__salt", salt)
+    theirs = F.broadcast(theirs) if few else theirs.hint("merge")
     at = _place(samples, order)
     mine = samples.withColumn("__at", at).withColumn("__own_bin", bin_of(F.col("__at"))).withColumn("__own_salt", F.pmod(F.xxhash64(*(f"`{c}`" for c, kind in samples.dtypes if "map<" not in kind)), F.lit(salts)).cast("int"))
     same = (F.col("__own_bin") == F.col("__bin")) & (F.col("__own_salt") == F.col("__salt"))
