@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,14 @@ import pandas as pd
 def by_length(windows: pd.Series, work: Callable[[np.ndarray], list], least: int = 1) -> pd.Series:
     """``work`` on the matrix of all windows of a length, a result a row; None for null, incomplete or shorter windows."""
     out = np.full(len(windows), None, object)
+    for places, matrix in matrices(windows, least):
+        for i, result in zip(places, work(matrix), strict=True):
+            out[i] = result
+    return pd.Series(out)
+
+
+def matrices(windows: pd.Series, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the finite windows of each length from ``least`` on."""
     lengths: dict[int, list[int]] = {}
     arrays: dict[int, np.ndarray] = {}
     for i, w in enumerate(windows):
@@ -21,6 +29,4 @@ def by_length(windows: pd.Series, work: Callable[[np.ndarray], list], least: int
                 arrays[i] = values
                 lengths.setdefault(len(values), []).append(i)
     for places in lengths.values():
-        for i, result in zip(places, work(np.stack([arrays[i] for i in places])), strict=True):
-            out[i] = result
-    return pd.Series(out)
+        yield np.array(places), np.stack([arrays[i] for i in places])

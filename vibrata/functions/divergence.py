@@ -17,13 +17,19 @@ CLIP, SMOOTHING = 1e-12, 1e-10
 
 def bin_masses(rows: np.ndarray, bins: int = BINS) -> list:
     """(centers, probs) of each row: equal bins over its range, one added to each count; None for constant rows."""
+    centers, probs, varied = bin_matrices(rows, bins)
+    return [(c, p) if v else None for c, p, v in zip(centers, probs, varied, strict=True)]
+
+
+def bin_matrices(rows: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres and probs of ``bin_masses`` as matrices, and which rows aren't constant."""
     low, high = rows.min(1, keepdims=True), rows.max(1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         place = np.minimum(np.nan_to_num((rows - low) / (high - low) * bins), bins - 1).astype(int)
-    counts = np.stack([np.bincount(p, minlength=bins) for p in place])
+    own = place + np.arange(len(rows))[:, None] * bins
+    counts = np.bincount(own.ravel(), minlength=len(rows) * bins).reshape(len(rows), bins)
     centers = low + (np.arange(bins) + 0.5) * (high - low) / bins
-    probs = (counts + 1) / (rows.shape[1] + bins)
-    return [(c, p) if h > l else None for c, p, l, h in zip(centers, probs, low[:, 0], high[:, 0], strict=True)]
+    return centers, (counts + 1) / (rows.shape[1] + bins), (high > low)[:, 0]
 
 
 def _structs(found: pd.Series) -> pd.DataFrame:
@@ -114,3 +120,27 @@ def symmetric_kl(p: Column, q: Column) -> Column:
 def jensen_shannon(p: Column, q: Column) -> Column:
     """At most ln 2."""
     return let(F.zip_with(p, q, lambda a, b: (a + b) / 2), lambda m: (kl(p, m) + kl(q, m)) / 2)
+
+
+def _on_grid(grid: np.ndarray, first: np.ndarray, last: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """``interpolated`` in numpy, rows of grids and distributions, smoothed and normalised."""
+    n = probs.shape[1]
+    place = (grid - first) / (last - first) * (n - 1)
+    low = np.clip(np.floor(place), 0, n - 2).astype(np.intp)
+    below = np.take_along_axis(probs, low, 1)
+    value = below + (np.take_along_axis(probs, low + 1, 1) - below) * (place - low)
+    slack = (last - first) * 1e-9
+    value[(grid < first - slack) | (grid > last + slack)] = 0.0
+    value += SMOOTHING
+    return value / value.sum(1, keepdims=True)
+
+
+def apart(pc: np.ndarray, pp: np.ndarray, qc: np.ndarray, qp: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """(symmetric_kl, jensen_shannon) of rows of centres and masses, as of ``aligned`` structs."""
+    (p0, p1), (q0, q1) = ((c[:, :1], c[:, -1:]) for c in (pc, qc))
+    low, high = np.minimum(p0, q0), np.maximum(p1, q1)
+    grid = low + np.arange(bins) * ((high - low) / (bins - 1))
+    grid[:, -1:] = high
+    p, q = np.maximum(_on_grid(grid, p0, p1, pp), CLIP), np.maximum(_on_grid(grid, q0, q1, qp), CLIP)
+    m = (p + q) / 2
+    return ((p - q) * np.log(p / q)).sum(1) / 2, (p * np.log(p / m) + q * np.log(q / m)).sum(1) / 2

@@ -9,15 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vibrata.functions import divergence, wavelet
 from vibrata.functions.arrays import let, mean
-from vibrata.functions.batches import by_length
+from vibrata.functions.batches import by_length, matrices
 from vibrata.operators.joins import looked_up
 from vibrata.operators.signals import finite, renumbered, with_length
 from vibrata.sources.scratch import written
 
 BLOCK = 1 << 14  # samples of a long signal that one row transforms
+MOST_BOOKS = 1 << 12  # keys whose reference distributions, about 5 KB each, are fetched
+CHUNK = 1 << 11  # windows that are worked on at once
 WINDOW_SUMMARY = ("div_mean_kl", "div_max_kl", "div_mean_jsd")
 
 
@@ -113,6 +116,52 @@ def band_distributions(w, level: int = 5, bins: int = divergence.BINS):
     return counted(w)
 
 
+def _band(i, have):
+    """The name of a window's band by its place, of ``have`` details and a smooth."""
+    return F.when(i < have, F.concat(F.lit("D"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("A"), have.cast("string")))
+
+
+def book_divergences(books: Sequence[dict], w, number, level: int = 5):
+    """struct<kl, jsd> of arrays with a value for each band of a window, details first: how far it lies from books[number].
+
+    Null stands for bands that are constant or that the book lacks, or that there is no book for; windows that have no
+    bands are null. The books go to Python with the function and windows are worked on as matrices, so that neither the
+    books nor the windows' distributions are copied for each row.
+    """
+    names = sorted({band for book in books for band in book})
+    centers, probs = (np.full((len(names), len(books) + 1, divergence.BINS), np.nan) for _ in range(2))  # the last for no book
+    for n, book in enumerate(books):
+        for band, d in book.items():
+            if d["centers"][-1] > d["centers"][0]:
+                centers[names.index(band), n], probs[names.index(band), n] = d["centers"], d["probs"]
+
+    @pandas_udf("struct<kl: array<double>, jsd: array<double>>")
+    def told(windows: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        own = numbers.fillna(len(books)).to_numpy(int)
+        kls, jsds = np.full(len(windows), None, object), np.full(len(windows), None, object)
+
+        def work(m: np.ndarray, places: np.ndarray) -> None:
+            bands = wavelet.modwt(m, level)
+            kl, jsd = (np.full((len(m), len(bands)), np.nan) for _ in range(2))  # NaN is null in what Python returns
+            for i, band in enumerate(bands):
+                name = f"D{i + 1}" if i + 1 < len(bands) else f"A{len(bands) - 1}"
+                if name not in names:
+                    continue
+                qc, qp, varied = divergence.bin_matrices(band)
+                k, book = names.index(name), own[places]
+                rows = np.flatnonzero(varied & (qc[:, -1] > qc[:, 0]) & ~np.isnan(centers[k, book, 0]))
+                kl[rows, i], jsd[rows, i] = divergence.apart(centers[k, book[rows]], probs[k, book[rows]], qc[rows], qp[rows])
+            for j, place in enumerate(places):
+                kls[place], jsds[place] = kl[j], jsd[j]
+
+        for places, m in matrices(windows, wavelet.LEAST):
+            for at in range(0, len(m), CHUNK):
+                work(m[at : at + CHUNK], places[at : at + CHUNK])
+        return pd.DataFrame({"kl": kls, "jsd": jsds})
+
+    return told(w, number)
+
+
 def with_window_divergence(table: DataFrame, reference: DataFrame, level: int = 5, w: str = "value", keys: Sequence[str] = ()) -> DataFrame:
     """``table`` with ``divergences`` (band, kl, jsd of each band) and their mean and largest values.
 
@@ -121,17 +170,28 @@ def with_window_divergence(table: DataFrame, reference: DataFrame, level: int =
     have no distribution and are skipped. Windows of a key without a reference stay, with nulls.
     """
     books = reference.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("centers", "probs")))).alias("__book"))
-    joined = looked_up(table, books, keys, "left", most=1 << 12)  # a book has about 5 KB
-    joined = joined.withColumn("__dists", band_distributions(F.col(w), level))
-    have = F.size("__dists") - 1
-    name = lambda i: F.when(i < have, F.concat(F.lit("D"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("A"), have.cast("string")))
-
-    def apart(d, i):
-        return let(F.try_element_at("__book", name(i)), lambda ref: let(divergence.aligned(ref, d), lambda pq: F.when(
-            pq.isNotNull(), F.struct(name(i).alias("band"), divergence.symmetric_kl(pq["p"], pq["q"]).alias("kl"), divergence.jensen_shannon(pq["p"], pq["q"]).alias("jsd")),
-        )))
-
-    told = joined.withColumn("divergences", F.array_compact(F.transform("__dists", apart)))
+    found = books.limit(MOST_BOOKS + 1).collect()
+    shapes = {len(x) for row in found for d in row["__book"].values() for x in (d["centers"], d["probs"])}
+    if len(found) <= MOST_BOOKS and shapes <= {divergence.BINS}:
+        numbered = [(*(row[k] for k in keys), i) for i, row in enumerate(found)]
+        kinds = StructType([*(reference.schema[k] for k in keys), StructField("__number", IntegerType())])
+        numbers = F.broadcast(table.sparkSession.createDataFrame(numbered, kinds, verifySchema=False))
+        joined = table.join(numbers, list(keys), "left") if keys else table.join(numbers, F.lit(True), "left")
+        told = joined.withColumn("__apart", book_divergences([row["__book"].asDict() if hasattr(row["__book"], "asDict") else row["__book"] for row in found], F.col(w), F.col("__number"), level))
+        have = F.size("__apart.kl") - 1
+        one = lambda i: F.when(F.get("__apart.kl", i).isNotNull(), F.struct(_band(i, have).alias("band"), F.get("__apart.kl", i).alias("kl"), F.get("__apart.jsd", i).alias("jsd")))
+        told = told.withColumn("divergences", F.when(F.col("__apart.kl").isNotNull(), F.array_compact(F.transform(F.sequence(F.lit(0), have), one))))
+    else:
+        joined = looked_up(table, books, keys, "left", most=MOST_BOOKS)
+        joined = joined.withColumn("__dists", band_distributions(F.col(w), level))
+        have = F.size("__dists") - 1
+
+        def apart(d, i):
+            return let(F.try_element_at("__book", _band(i, have)), lambda ref: let(divergence.aligned(ref, d), lambda pq: F.when(
+                pq.isNotNull(), F.struct(_band(i, have).alias("band"), divergence.symmetric_kl(pq["p"], pq["q"]).alias("kl"), divergence.jensen_shannon(pq["p"], pq["q"]).alias("jsd")),
+            )))
+
+        told = joined.withColumn("divergences", F.array_compact(F.transform("__dists", apart)))
     kls, jsds = F.transform("divergences", lambda d: d["kl"]), F.transform("divergences", lambda d: d["jsd"])
     return told.select(*table.columns, "divergences", mean(kls).alias("div_mean_kl"), F.array_max(kls).alias("div_max_kl"), mean(jsds).alias("div_mean_jsd"))
 

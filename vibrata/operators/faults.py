@@ -5,20 +5,26 @@ Random draws are hashes of the seed, the signal's key and the sample's number, s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from vibrata.functions.draws import normal, uniform
+from vibrata.functions.draws import head, normal, normals, uniform, uniform_of, uniforms
 from vibrata.operators.joins import looked_up
 from vibrata.operators.signals import with_length
 
 # The fault types.
 FAULT_TYPES = ("noise_increase", "bias_drift", "spike_injection", "bandwidth_loss", "saturation", "gain_change")
+#: Those that change each sample by itself.
+POINTWISE = tuple(f for f in FAULT_TYPES if f != "bandwidth_loss")
 LEAST = 4  # samples of a signal that can have a fault
 STRETCH = 1 << 14
+BLOCK = 1 << 12  # samples whose windows a row gives in ``injected_windows``
 MOST_WIDTHS = 64  # severities of bandwidth loss that ``injected`` takes at once
 
 
@@ -51,12 +57,16 @@ def box_width(severity: float) -> int:
     return int(3 + 20 * max(severity, 0.0))
 
 
-def _measured(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``samples`` with their signal's length, mean, deviation and largest size, a row a signal."""
-    stats = samples.groupBy(*keys).agg(
+def _stats(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Length, mean, deviation and largest size, a row a signal."""
+    return samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), (F.stddev_pop(value) + 1e-8).alias("__std"), F.max(F.abs(F.col(value))).alias("__peak"),
     )
-    return looked_up(samples, stats, keys)
+
+
+def _measured(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``samples`` with their signal's length, mean, deviation and largest size."""
+    return looked_up(samples, _stats(samples, keys, value), keys)
 
 
 def _damped(measured: DataFrame, keys: Sequence[str], severities: Sequence[float], idx: str, value: str) -> DataFrame:
@@ -147,6 +157,79 @@ def injected_cells(
     return copies.withColumn(value, told).select(*samples.columns, *cell)
 
 
+def _hurt_values(fault: str, s: float, start: str, x: np.ndarray, idx: np.ndarray, n: int, d: float, peak: float) -> np.ndarray:
+    """``_hurt`` in numpy, for the pointwise faults by their present rules: samples ``x`` with numbers ``idx`` of a signal."""
+    s = max(s, 0.0)
+    u = idx / max(n - 1, 1)
+    if fault == "noise_increase":
+        return x + normals(start, idx, "noise") * (0.5 + 2.5 * u**1.5) * d * s if s > 0 or not np.isfinite(d) else x
+    if fault == "bias_drift":
+        return x + (-1.0 if uniform_of(start, "sign") < 0.5 else 1.0) * 3.0 * d * s * u**1.5
+    if fault == "spike_injection":
+        hit = np.flatnonzero(uniforms(start, idx, "spike") < 0.02 * s + 0.08 * s * u) if s > 0 else np.array([], int)
+        told = x.copy()
+        if len(hit):
+            told[hit] += np.where(uniforms(start, idx[hit], "side") < 0.5, -1.0, 1.0) * (3 + 3 * uniforms(start, idx[hit], "size")) * d * s
+        return told
+    if fault == "saturation":
+        scale = np.maximum(np.maximum(peak, d), 1e-8)
+        limit, step = min(max(0.95 - 0.30 * s, 0.12), 0.95) * scale, np.maximum(scale * (0.01 + 0.02 * s), 1e-8)
+        clipped = np.minimum(np.maximum(x, -limit), limit)
+        return np.rint(clipped / step) * step if s > 0 else clipped
+    return x * (max(0.1, 1 - 0.45 * s) if uniform_of(start, "gain") < 0.5 else 1 + 1.2 * s)
+
+
+def injected_windows(
+    samples: DataFrame, keys: Sequence[str], faults: Sequence[str], severities: Sequence[float], size: int, step: int,
+    seed: int = 42, idx: str = "idx", value: str = "value", block: int = BLOCK,
+) -> DataFrame:
+    """keys, fault_type, severity, window_start_sample and the array ``value``: the windows of ``injected_cells``.
+
+    They are those that ``windows.sliding`` cuts from the copies of the signal under each fault and severity, with NaN as
+    null. A pointwise fault needs nothing but the sample and its signal's statistics, so the samples are not copied before
+    they are shuffled: they are gathered once, in blocks that carry the samples that their last windows reach, and each
+    block gives the windows of all cells. Draws are hashes as in ``injected_cells``, made in numpy.
+    """
+    unknown = sorted(set(faults) - set(POINTWISE))
+    if unknown:
+        raise ValueError(f"not pointwise fault types {unknown}")
+    if size <= 0 or step <= 0:
+        raise ValueError("windows and steps need at least one sample")
+    long = step * -(-max(block, size) // step)
+    own = F.floor(F.col(idx) / long)
+    before = F.when((own > 0) & (F.col(idx) - own * long < size - step), own - 1)
+    copies = samples.select(*keys, F.col(idx).cast("long").alias("__idx"), F.col(value).cast("double").alias("__x"), F.explode(F.array_compact(F.array(own, before))).alias("__block"))
+    blocks = copies.groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(F.struct("__idx", "__x"))).alias("__rows"))
+    every = [(f, float(s)) for f in faults for s in severities]
+    starts = F.array(*(head(seed, [*(F.col(f"`{k}`") for k in keys), F.lit(f), F.lit(s)]) for f, s in every))
+    sized = looked_up(blocks, _stats(samples, keys, value), keys)
+    rows = sized.select(*keys, (F.col("__block") * long).alias("__first"), "__n", "__std", "__peak", F.col("__rows.__idx").alias("__idx"), F.col("__rows.__x").alias("__x"), starts.alias("__starts"))
+    kinds = StructType([*(samples.schema[k] for k in keys), StructField("fault_type", StringType()), StructField("severity", DoubleType()), StructField("window_start_sample", LongType()), StructField(value, ArrayType(DoubleType()))])
+    named = list(keys)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = {c: batch.column(c).to_pylist() for c in ("__first", "__n", "__std", "__peak", "__starts")}
+            for i in range(batch.num_rows):
+                numbers, x = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("__idx", "__x"))
+                first, n, d, peak, starts = (told[c][i] for c in ("__first", "__n", "__std", "__peak", "__starts"))
+                d, peak = (np.nan if v is None else v for v in (d, peak))  # of a signal that is all null
+                # Windows that start in the block and have all their samples, by the place of their first in the arrays.
+                whole = np.flatnonzero(numbers[size - 1 :] - numbers[: len(numbers) - size + 1] == size - 1) if len(numbers) >= size else np.array([], int)
+                at = whole[(numbers[whole] % step == 0) & (numbers[whole] < first + long)]
+                if not len(at):
+                    continue
+                takes = at[:, None] + np.arange(size)
+                for (fault, severity), start in zip(every, starts, strict=True):
+                    hurt = _hurt_values(fault, severity, start, x, numbers, n, d, peak) if n >= LEAST else x
+                    flat = pa.array(hurt[takes].ravel(), pa.float64(), from_pandas=True)
+                    same = pa.array(np.full(len(at), i))
+                    arrays = [*(batch.column(k).take(same) for k in named), pa.array([fault] * len(at)), pa.array(np.full(len(at), severity)), pa.array(numbers[at]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size), pa.int32()), flat)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)
+
+    return rows.mapInArrow(cut, kinds)
+
+
 DEGRADATIONS = ("noise_increase", "bias_drift", "bandwidth_loss", "spike_injection")
 
 

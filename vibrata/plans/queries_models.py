@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vibrata.operators import autoencoder, divergences, evaluation, faults, learning, scoring, signals, stability, windows
-from vibrata.operators.extract import FeatureExtractor
+from vibrata.operators.extract import FeatureExtractor, window_features
 from vibrata.plans import health, oracle as o
 from vibrata.plans.queries_windows import KEY, PLAIN_SQL
 from vibrata.plans.registry import query
@@ -396,14 +396,13 @@ def j18_severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     healthy = plain_features(spark, sf_dir)
     selection, stats = _selection(healthy), stability.reference_stats(healthy, NAMES, KEY)
     calibration = scoring.fit_calibration(_vectors(healthy), KEY)
-    hurt = written(faults.injected_cells(signal(spark, sf_dir), KEY, POINTWISE, SEVERITIES))
-    features = FeatureExtractor(FS, PLAIN).process(hurt, CELL, 0.64, 0.32)
-    scored = scoring.calibrated(scoring.quality_vectors(features, NAMES, selection, stats, KEY, CELL), calibration, KEY)
-    scores = scored.groupBy(*CELL).agg(F.avg("qv_health_score").alias("mean_health_score"))
-    sensors = hurt.withColumnRenamed("signal_id", "sensor").withColumn("channel", F.lit(SHORT.channels[0]))
-    apart = health.window_divergences(sensors, _reference(_short_samples(spark, sf_dir)), ["sensor", *CELL[1:]], SHORT)
-    apart = apart.withColumnRenamed("sensor", "signal_id").groupBy(*CELL).agg(F.avg("div_mean_kl").alias("mean_div_mean_kl"))
-    return rounded(scoring.severity_summary(scores.join(apart, CELL), ["fault_type", "severity"]))
+    reference = _reference(_short_samples(spark, sf_dir)).withColumnRenamed("sensor", "signal_id")
+    hurt = faults.injected_windows(signal(spark, sf_dir), KEY, POINTWISE, SEVERITIES, SHORT.size, SHORT.step)
+    apart = divergences.with_window_divergence(hurt, reference, SHORT.level, keys=KEY)
+    features = window_features(apart, SHORT.size, FS, PLAIN, keep=[*CELL, "div_mean_kl"])
+    scored = scoring.calibrated(scoring.quality_vectors(features, NAMES, selection, stats, KEY, [*CELL, "div_mean_kl"]), calibration, KEY)
+    results = scored.groupBy(*CELL).agg(F.avg("qv_health_score").alias("mean_health_score"), F.avg("div_mean_kl").alias("mean_div_mean_kl"))
+    return rounded(scoring.severity_summary(results.where("mean_div_mean_kl IS NOT NULL"), ["fault_type", "severity"]))
 
 
 @query(f"""WITH {o.SIGNAL}, st AS (SELECT signal_id, count(*) AS n, avg(value) AS m, stddev_pop(value) + 1e-8 AS d, stddev_pop(value) AS s FROM sig GROUP BY 1)
