@@ -15,7 +15,7 @@ from vibrata.plans.queries_windows import _welch_sql
 from vibrata.plans.registry import query
 from vibrata.plans.tables import FS, PLAIN_NAMES, read, rounded, signal
 from vibrata.sources.scratch import shared_folder
-from vibrata.streaming.windows import counted_in_order, lateness, replayed, session_totals
+from vibrata.streaming.windows import lateness, replayed, replayed_in_order, session_totals
 
 KEY = ["signal_id"]
 WHOLE = f"WITH {o.SIGNAL}, base AS (SELECT signal_id, 0 AS ws, idx AS i, value AS x FROM sig)"
@@ -221,6 +221,6 @@ def k07_ordered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         end = latest.select(F.lit("end").alias("signal_id"), (F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), F.lit(0.0).alias("value"))
         end.where("ts IS NOT NULL").coalesce(1).write.mode("append").parquet(f"{folder}/events")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    found = replayed(counted_in_order(stream, "signal_id", "ts", "value", 64, 32, "60 days"), f"{folder}/found", "append")
+    found = replayed_in_order(stream, "signal_id", "ts", "value", 64, 32, f"{folder}/found", "60 days", "10 minutes")
     mean = F.aggregate("value", F.lit(0.0), lambda s, x: s + x) / F.size("value")
     return rounded(found.select(*KEY, "window_start_sample", mean.alias("mean"), F.get("value", F.lit(0)).alias("first"), F.element_at("value", -1).alias("last")))

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+from vibrata.operators.joins import looked_up
+from vibrata.operators.windows import sliding
 
 
 def timed(samples: DataFrame, key: str, time: str, value: str, length: str = "3 seconds", step: str | None = "1500 milliseconds", late: str = "10 seconds", whole: int | None = None) -> DataFrame:
@@ -69,8 +74,8 @@ def counted_in_order(samples: DataFrame, key: str, time: str, value: str, size:
     Samples wait in state until the watermark, ``late`` behind the newest time of all keys, has passed them: then nothing
     earlier can come any more, and they go into windows by time, equal times by value. A key without new samples is
     woken by a timer when the watermark passes its next waiting one. What comes later than ``late`` is dropped and
-    counted (``late_rows``). The state of a key is the samples of ``late`` and the tail of ``counted``. ``time`` is a
-    timestamp; null keys, times and values are left out.
+    counted (``late_rows``). The state of a key is the samples of ``late`` and the tail of ``counted``, in one task's memory;
+    ``replayed_in_order`` is for more. ``time`` is a timestamp; null keys, times and values are left out.
     """
 
     def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -139,6 +144,54 @@ def replayed(stream: DataFrame, folder: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/*")
 
 
+def replayed_in_order(samples: DataFrame, key: str, time: str, value: str, size: int, step: int, folder: str, late: str = "10 seconds", span: str = "1 minute") -> DataFrame:
+    """(key, window_start_sample, array) of ``counted_in_order`` of a finite stream, run to its end, for any number of samples.
+
+    Samples wait in a row of state for each key and ``span`` of time, 16 bytes each, so a key's waiting samples are dealt to
+    all tasks. A span is given out, in order, once the watermark has passed its end; what comes for it later is dropped.
+    Each batch writes its spans to ``folder`` and numbers their samples by the counts of the spans before; windows are cut as
+    those of a table. From one batch to the next goes a row for each key: the count of its samples, and the samples (under
+    size + step) that coming windows need.
+    """
+    spark = samples.sparkSession
+    sound = samples.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(value).isNotNull()).withWatermark(time, late)
+    # Two lists of the same rows in the same order: a list of structs would take twice the bytes.
+    lists = F.collect_list(F.unix_micros(F.col(time))).alias("__times"), F.collect_list(F.col(value).cast("double")).alias("__values")
+    spans = sound.groupBy(key, F.window(time, span).alias("__w")).agg(*lists)
+    ordered = F.transform(F.sort_array(F.arrays_zip("__times", "__values")), lambda r: r["__values"])
+    spans = spans.select(key, F.unix_micros("__w.start").alias("__span"), ordered.alias("__values"))
+    kept = StructType([spans.schema[key], *StructType.fromDDL("__n long, __rest array<struct<idx: long, v: double>>").fields])
+
+    def stored(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/spans/{number}")
+        own = spark.read.schema(spans.schema).parquet(f"{folder}/spans/{number}")
+        before = spark.read.schema(kept).parquet(f"{folder}/kept/{number - 1}") if number else spark.createDataFrame([], kept)
+        if own.isEmpty():
+            before.write.mode("overwrite").parquet(f"{folder}/kept/{number}")
+            return
+        counts = own.select(key, "__span", F.size("__values").cast("long").alias("__n"))
+        earlier = before.select(key, F.col("__n").alias("__seen"))
+        running = F.sum("__n").over(Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = counts.withColumn("__offset", F.coalesce(running, F.lit(0))).join(earlier, key, "left")
+        offsets = offsets.select(key, "__span", (F.col("__offset") + F.coalesce("__seen", F.lit(0))).alias("__offset"))
+        placed = looked_up(own, offsets, [key, "__span"])
+        rows = lambda table: table.select(key, "__offset", F.posexplode("__values").alias("i", value)).select(key, (F.col("__offset") + F.col("i")).alias("idx"), value)
+        rest = before.select(key, F.explode("__rest").alias("__r")).select(key, F.col("__r.idx").alias("idx"), F.col("__r.v").alias(value))
+        sliding(rows(placed).unionByName(rest), [key], size, step, values=(value,)).write.mode("overwrite").parquet(f"{folder}/found/{number}")
+        every = before.select(key, "__n").unionByName(counts.select(key, "__n")).groupBy(key).agg(F.sum("__n").alias("__n"))
+        coming = every.withColumn("__next", F.greatest(F.ceil((F.col("__n") - size + 1) / step) * step, F.lit(0)).cast("long"))
+        last = looked_up(placed, coming.drop("__n"), [key]).where(F.col("__offset") + F.size("__values") > F.col("__next")).drop("__next")
+        ends = looked_up(rows(last).unionByName(rest), coming.drop("__n"), [key]).where("idx >= __next")
+        ends = ends.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", F.col(value).alias("v")))).alias("__rest"))
+        every.join(ends, key, "left").select(key, "__n", "__rest").write.mode("overwrite").parquet(f"{folder}/kept/{number}")
+
+    query = spans.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(stored).start()
+    query.awaitTermination()
+    found = StructType([spans.schema[key], *StructType.fromDDL(f"window_start_sample long, `{value}` array<double>").fields])
+    spark.createDataFrame([], found).write.parquet(f"{folder}/found/none")  # so that there is a folder
+    return spark.read.schema(found).parquet(f"{folder}/found/*")
+
+
 def scored(windows: DataFrame, features, calibration: DataFrame, selection: Sequence[str], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Health of streamed windows: ``features`` gives their feature columns, and the fitted model is small and stated.
 
